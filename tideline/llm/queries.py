@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,10 +18,57 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.quality_rules import judge
+
+    return judge(_read(spark, sf_dir, "documents"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tideline.llm.bpe import round_trip
+
+    return round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def secrets_digest(docs: DataFrame) -> DataFrame:
+    """Counts of each kind and the spans as text, the base kinds' as a digest too."""
+    from tideline.llm.secrets import scan
+
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    base = F.filter("spans", lambda s: s["kind"] != "checked")
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return scan(docs).select(
+        "doc_id",
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex", "checked")],
+        F.sha2(told(base), 256).alias("base_sha256"),
+        told(F.col("spans")).alias("spans"),
+    )
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_digest(_read(spark, sf_dir, "documents"))
+
+
+def contamination_digest(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.decontaminate import contamination
+
+    return contamination_digest(contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_near_duplicates,
+        op2_quality_rules,
+        op6_byte_bpe,
+        op7_secrets,
+        op8_decontamination,
     )
 }
 
