@@ -42,37 +42,36 @@ def similar_components(
     members: DataFrame,
     near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     verify: Callable[[DataFrame], DataFrame],
+    cross: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """Components of the verified links among items that share a key.
 
-    ``items``: ``id`` and what ``near`` reads; ``members``: ``(key, id)``; ``near(x, y)``: a cheap
-    predicate that every true link meets; ``verify``: candidate ``(a, b)`` rows to the true links.
+    ``items``: ``id`` and what ``near`` reads; ``members``: ``(key, id, score)``; ``near(x, y)``: a
+    cheap predicate that every true link meets; ``verify``: candidate ``(a, b)`` rows to the true links.
 
-    First, each member of a key's list is held against the list's first member only, which joins
-    most of a group of copies at linear cost. Then every pair whose ends are still in different
-    components meets. So no pair that could change a component goes untested, and a group of
-    mutual copies never yields all of its pairs.
+    First, each member of a key's list is held against the list's hub only, its member of the highest
+    score (the one most like the others), which joins most of a group of copies at linear cost. All
+    lists with one hub then form a group. ``cross`` gets ``(hub, id, component, minor)`` for the groups
+    in which some members (``minor``) are not yet in the hub's component, and returns true links, enough
+    to connect what is connected through them. No pair that could change a component goes untested, and
+    a group of mutual copies never yields all of its pairs.
     """
     wide = [c for c in items.columns if c != "id"]
-
-    def pairs(found: DataFrame) -> DataFrame:
-        x, y = (items.select(F.col("id").alias(i), F.struct(*wide).alias(f"_{i}")) for i in "ab")
-        return found.join(x, "a").join(y, "b").where(near(lambda c: F.col(f"_a.{c}"), lambda c: F.col(f"_b.{c}"))).select("a", "b")
-
-    hubs = members.groupBy("key").agg(F.min("id").alias("b"))
-    stars = members.join(hubs, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    links = written(verify(written(pairs(stars), "pairs")), "links")
+    hubs = members.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("id"))).alias("top")).select("key", (-F.col("top.id")).alias("hub"))
+    stars = written(members.join(hubs, "key").where("id <> hub").select("id", "hub").distinct(), "stars")
+    x, y = (items.select(F.col("id").alias(i), F.struct(*wide).alias(f"_{i}")) for i in ("a", "b"))
+    pairs = stars.select(F.col("id").alias("a"), F.col("hub").alias("b")).join(x, "a").join(y, "b")
+    pairs = pairs.where(near(lambda c: F.col(f"_a.{c}"), lambda c: F.col(f"_b.{c}"))).select("a", "b")
+    links = written(verify(written(pairs, "pairs")), "links")
     found = written(connected_components(links), "components")
 
-    placed = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left = written(placed.join(mixed, "key").join(items, "id").select("key", "id", "component", *wide), "mixed")
-    if left.isEmpty():
-        return found
-    x, y = (left.select("key", *[F.col(c).alias(f"{c}_{i}") for c in left.columns if c != "key"]) for i in "ab")
-    cross = x.join(y, "key").where((F.col("component_a") > F.col("component_b")) & near(lambda c: F.col(f"{c}_a"), lambda c: F.col(f"{c}_b")))
-    cross = written(cross.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "cross")
-    if cross.isEmpty():
+    central = stars.select("hub").distinct().join(found.withColumnRenamed("id", "hub"), "hub", "left").select("hub", F.coalesce("component", "hub").alias("main"))
+    placed = stars.join(found, "id", "left").join(central, "hub").select("hub", "id", F.coalesce("component", "id").alias("component"), "main")
+    placed = placed.unionByName(central.select("hub", F.col("hub").alias("id"), F.col("main").alias("component"), "main"))
+    placed = placed.withColumn("minor", F.col("component") != F.col("main")).drop("main")
+    mixed = placed.groupBy("hub").agg(F.count_if("minor").alias("n_minor"), F.count("*").alias("n_all")).where("n_minor > 0 and n_all > 2")
+    groups = written(placed.join(mixed, "hub"), "groups")
+    if groups.isEmpty():
         return found
-    more = verify(cross)
-    return connected_components(links.unionByName(more.select(*links.columns)))
+    more = written(cross(groups), "more")
+    return found if more.isEmpty() else connected_components(links.unionByName(more.select(*links.columns)))

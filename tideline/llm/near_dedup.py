@@ -30,6 +30,10 @@ from tideline.llm._store import written
 
 #: Members of a hub's group that one task verifies together.
 GROUP = 512
+#: Members on either side of a block of a mixed group.
+MINOR, ALL = 256, 1024
+#: How far below the threshold the estimate from a sketch may lie: four standard deviations at 48 values.
+MARGIN = 0.25
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
@@ -67,14 +71,15 @@ def sketches(docs: DataFrame, k: int = 48, width: int = 5) -> DataFrame:
 
 
 def _listed(classes: DataFrame, least_share: float) -> DataFrame:
-    """``(key, id)``: each class under the values by which it must meet any similar one."""
+    """``(key, id, score)``: each class under the values by which it must meet any similar one. The
+    score grows with the number of classes that hold its values."""
     values = classes.select("id", F.explode("sketch").alias("key"))
     shared = values.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    own = values.join(shared, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("shared"))
+    own = values.join(shared, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("shared"), F.sum("df").alias("score"))
     size, alone = F.size("sketch"), F.size("sketch") - F.size("shared")
     least = F.greatest(F.lit(1), F.floor(size * least_share).cast("int"))
     first = F.greatest(F.lit(0), size - least + 1 - alone)
-    return classes.join(own, "id").select("id", F.explode(F.slice("shared", F.lit(1), first)).alias("x")).select(F.col("x.key").alias("key"), "id")
+    return classes.join(own, "id").select("id", "score", F.explode(F.slice("shared", F.lit(1), first)).alias("x")).select(F.col("x.key").alias("key"), "id", "score")
 
 
 def _estimate(x, y, k: int):
@@ -115,6 +120,77 @@ def _verifier(texts: DataFrame, width: int, percent: int):
     return verify
 
 
+class _Block:
+    """The members of a block that are not in the hub's component, with inverted lists of their
+    retained values, and what has been found to be connected so far."""
+
+    def __init__(self):
+        self.ids: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.parts: list[int] = []
+        self.lists: dict[int, list[int]] = {}
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while self.up.get(x, x) != x:
+            x = self.up[x]
+        return x
+
+    def add(self, i: int, part: int, x: np.ndarray, k: int) -> None:
+        for v in x[:k].tolist():
+            self.lists.setdefault(v, []).append(len(self.ids))
+        self.ids.append(i)
+        self.sets.append(x)
+        self.parts.append(part)
+
+    def meet(self, i: int, part: int, x: np.ndarray, k: int, percent: int) -> Iterator[tuple[int, int]]:
+        found = [m for v in x[:k].tolist() for m in self.lists.get(v, ())]
+        if not found:
+            return
+        overlap = np.bincount(found)
+        for m in np.flatnonzero(overlap):
+            y = self.sets[m]
+            few, many = sorted((len(x), len(y)))
+            if 100 * few < percent * many or overlap[m] < (percent / 100 - MARGIN) * min(k, few) or self.root(part) == self.root(self.parts[m]):
+                continue
+            both = np.concatenate([x, y])
+            both.sort()
+            same = int((both[1:] == both[:-1]).sum())
+            if 100 * same >= percent * (len(both) - same):
+                a, b = sorted((self.root(part), self.root(self.parts[m])))
+                self.up[b] = a
+                yield i, self.ids[m]
+
+
+def _crosser(texts: DataFrame, width: int, percent: int, k: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block = None, _Block()
+        for batch in _text.chunks(batches):
+            hub, i, j, role, ids, part = (batch.column(c).to_pylist() for c in ("hub", "i", "j", "role", "id", "component"))
+            links = []
+            for n, x in enumerate(_sets(batch, width)):
+                if at != (hub[n], i[n], j[n]):
+                    at, block = (hub[n], i[n], j[n]), _Block()
+                if role[n] == 0:
+                    block.add(ids[n], part[n], x, k)
+                else:
+                    links += block.meet(ids[n], part[n], x, k, percent)
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    def cross(groups: DataFrame) -> DataFrame:
+        """Blocks of the members outside the hub's component meet blocks of all members; only links
+        that join what the block has not joined yet leave it."""
+        sized = groups.select("hub", "id", "component", "minor", F.ceil(F.col("n_minor") / MINOR).cast("int").alias("ni"), F.ceil(F.col("n_all") / ALL).cast("int").alias("nj"))
+        spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+        left = sized.where("minor").select("hub", own("ni").alias("i"), spread("nj").alias("j"), F.lit(0).alias("role"), "id", "component")
+        right = sized.select("hub", spread("ni").alias("i"), own("nj").alias("j"), F.lit(1).alias("role"), "id", "component")
+        met = left.unionByName(right).join(texts, "id").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "role", "id")
+        return met.select("hub", "i", "j", "role", "id", "component", "text").mapInArrow(of, "a long, b long")
+
+    return cross
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, k: int = 48, least_share: float = 0.45) -> DataFrame:
     """``(doc_id, n_shingles, class_id, component_id, kept)`` for every row of ``docs (doc_id, text)``.
 
@@ -135,9 +211,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, k: int =
 
     def near(x, y):
         a, b = x("n_shingles"), y("n_shingles")
-        return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (_estimate(x, y, k) >= percent / 100 - 0.35)
+        return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (_estimate(x, y, k) >= percent / 100 - MARGIN)
 
-    parts = similar_components(classes.select("id", "n_shingles", "sketch"), listed, near, _verifier(texts, width, percent))
+    parts = similar_components(classes.select("id", "n_shingles", "sketch"), listed, near, _verifier(texts, width, percent), _crosser(texts, width, percent, k))
     roots = classes.join(parts, "id", "left").select("set_a", "set_b", "n_shingles", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
     placed = some.select("doc_id", "n_shingles", "set_a", "set_b").join(roots, ["set_a", "set_b", "n_shingles"]).select("doc_id", "n_shingles", "class_id", "component_id")
     alone = found.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").cast("long").alias("class_id"), F.col("doc_id").cast("long").alias("component_id"))
