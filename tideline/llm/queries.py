@@ -24,12 +24,25 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_read(spark, sf_dir, "documents"))
 
 
+def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.class_lm import score
+
+    return score(_read(spark, sf_dir, "documents"))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.html_text import extract
 
     return extract(_read(spark, sf_dir, "pages"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.line_dedup import dedup_lines
+
+    found = dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("dropped").cast("long").alias("n_dropped"), "dropped", "text")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -84,7 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_near_duplicates,
         op2_quality_rules,
+        op3_class_lm,
         op4_html_text,
+        op5_line_dedup,
         op6_byte_bpe,
         op7_secrets,
         op8_decontamination,
