@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows that may be broadcast; more go through a shuffle join, to the same result.
+BROADCAST_ROWS = 300_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +28,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_or_shuffled(df: DataFrame) -> DataFrame:
+    """``df``, marked for a broadcast join only if it has at most ``BROADCAST_ROWS`` rows now."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -124,20 +124,22 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(of, f"doc_id {kind}, ids array<int>, data binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: encodes and decodes every text in one pass
-    and returns digests of the ids (decimal, joined by commas) and of the decoded bytes."""
+    and returns digests of the ids (decimal, joined by commas) and of the decoded bytes; ``with_ids``
+    adds ``ids array<int>``."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in _text.chunks(batches):
-            n, ids_sha, data_sha = [], [], []
-            for t in batch.column("text").to_pylist():
-                ids = c.encode(t or "")
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(c.text.__getitem__, ids)).encode()).hexdigest())
-                data_sha.append(hashlib.sha256(c.decode_bytes(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(data_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            every = [c.encode(t or "") for t in batch.column("text").to_pylist()]
+            columns = [
+                batch.column("doc_id"),
+                pa.array([len(x) for x in every], pa.int64()),
+                pa.array([hashlib.sha256(",".join(map(c.text.__getitem__, x)).encode()).hexdigest() for x in every], pa.string()),
+                pa.array([hashlib.sha256(c.decode_bytes(x)).hexdigest() for x in every], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(every, pa.list_(pa.int32()))] * with_ids, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -171,6 +171,21 @@ def _counts(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def _ratio(docs: DataFrame, size: int):
+    target, raw = _counts(docs, size)
+    return docs.sparkSession.sparkContext.broadcast(Ratio(target, raw) if target.any() else Ratio(raw, raw))
+
+
+def _verdict(batch: pa.RecordBatch, ratio: Ratio, size: int, threshold: float) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    x = surface(batch)
+    hashed, n = ngrams(*_text.utf8(batch.column("text")), size)
+    total = np.concatenate([[0.0], np.cumsum(ratio.log[hashed], dtype=np.float64)])
+    to = np.concatenate([[0], np.cumsum(n)])
+    score = np.round((total[to[1:]] - total[to[:-1]]) / np.maximum(n, 1), 9)
+    failed = base_failed(x)
+    return x, failed, score, ~failed & (score >= threshold)
+
+
 def judge(docs: DataFrame, threshold: float = -0.25, size: int = 4) -> DataFrame:
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score,
     kept)`` for every row of ``docs (doc_id, text)``.
@@ -180,21 +195,24 @@ def judge(docs: DataFrame, threshold: float = -0.25, size: int = 4) -> DataFrame
     and empty texts have no words and fail. Texts shorter than ``size`` bytes score 0. Should no text
     be trusted, all scores are 0. Repeated rows get a row each; other columns are ignored.
     """
-    target, raw = _counts(docs, size)
-    ratio = docs.sparkSession.sparkContext.broadcast(Ratio(target, raw) if target.any() else Ratio(raw, raw))
+    ratio = _ratio(docs, size)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.chunks(batches):
-            x = surface(batch)
-            hashed, n = ngrams(*_text.utf8(batch.column("text")), size)
-            total = np.concatenate([[0.0], np.cumsum(ratio.value.log[hashed], dtype=np.float64)])
-            to = np.concatenate([[0], np.cumsum(n)])
-            score = np.round((total[to[1:]] - total[to[:-1]]) / np.maximum(n, 1), 9)
-            failed = base_failed(x)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id")] + [pa.array(x[c.split()[0]]) for c in BASE.split(", ")] + [pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))],
-                ["doc_id"] + [c.split()[0] for c in BASE.split(", ")] + ["base_failed", "score", "kept"],
-            )
+            x, failed, score, kept = _verdict(batch, ratio.value, size, threshold)
+            names = [c.split()[0] for c in BASE.split(", ")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")] + [pa.array(x[c]) for c in names] + [pa.array(failed), pa.array(score), pa.array(kept)], ["doc_id", *names, "base_failed", "score", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, {BASE}, base_failed boolean, score double, kept boolean")
+
+
+def keep_good(docs: DataFrame, threshold: float = -0.25, size: int = 4) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns, in one pass without a join."""
+    ratio = _ratio(docs, size)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _text.chunks(batches):
+            yield batch.filter(pa.array(_verdict(batch, ratio.value, size, threshold)[3]))
+
+    return docs.mapInArrow(of, docs.schema)
