@@ -7,6 +7,8 @@
    the first ``size - least + 1`` by the number of sketches that hold them. Values that one sketch
    alone holds need no list. A passage common to many documents thus makes no list of its own
    unless most of a document is that passage.
+   Each list is held against its hub first, the member whose values most others hold; what stays apart
+   from the hub's component then meets in blocks.
 3. Candidates whose estimate on the sketch of the union is far below the threshold go.
 4. The rest are held against each other by the Jaccard coefficient of their full sets.
 
