@@ -249,7 +249,7 @@ def constant_fraction(norm: DataFrame, least: int = 10) -> DataFrame:
     """``(series_id, fraction)``: the share of rows in runs of ``least`` or more equal finite values."""
     near = neighbour(norm, "before", F.col("value"))
     same = F.coalesce(finite(F.col("value")) & (F.col("value") == F.col("before")), F.lit(False))
-    found = runs(near.drop("before").withColumn("_same", same), F.col("_same"))
+    found = runs(near.withColumn("_same", same).drop("before"), F.col("_same"))
     held = found.where(F.col("n") + 1 >= least).groupBy("series_id").agg(F.sum(F.col("n") + 1).alias("held"))
     return norm.groupBy("series_id").agg(F.count("*").alias("rows")).join(held, "series_id", "left").select("series_id", (F.coalesce("held", F.lit(0)) / F.col("rows")).alias("fraction"))
 

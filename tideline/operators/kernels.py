@@ -20,8 +20,8 @@ def flat_runs(norm: DataFrame, atol: float, least: int = 10) -> DataFrame:
     the one before ended. A step of over 2 ``atol`` ends any run, so stretches between such steps are
     independent groups however long the series is."""
     good = usable(F.col("quality")) & finite(F.col("value"))
-    near = neighbour(norm.withColumn("_good", good).withColumn("_v", F.when(good, F.col("value"))), "_before", F.col("_v"))
-    new = F.when(F.col("_good") & F.coalesce(F.abs(F.col("value") - F.col("_before")) <= 2 * atol, F.lit(False)), 0).otherwise(1)
+    near = neighbour(norm.withColumn("_good", good).withColumn("_v", F.when(good, F.col("value"))), "_prior", F.col("_v"))
+    new = F.when(F.col("_good") & F.coalesce(F.abs(F.col("value") - F.col("_prior")) <= 2 * atol, F.lit(False)), 0).otherwise(1)
     stretches = running(near.withColumn("_new", new), "stretch", F.col("_new")).where("_good")
     sized = stretches.groupBy("series_id", "stretch").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
 

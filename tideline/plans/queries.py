@@ -435,10 +435,10 @@ def readout(spark, sf):
     return charts.readout(norm(spark, sf), T0 + 10 * DAY)
 
 
-@query("WITH d AS (SELECT o_orderdate, sum(o_totalprice) AS a, CASE WHEN count(*) > 1 THEN avg(o_totalprice) END AS b FROM orders GROUP BY 1) SELECT epoch_us(o_orderdate) * 1000 AS ts_ns, 'a' AS series_id, round(a, 2) AS value FROM d UNION ALL SELECT epoch_us(o_orderdate) * 1000, 'b', round(b, 2) FROM d WHERE b IS NOT NULL")
+@query("WITH d AS (SELECT o_orderdate, sum(o_totalprice) AS a, CASE WHEN count(*) > 1 THEN max(o_totalprice) END AS b FROM orders GROUP BY 1) SELECT epoch_us(o_orderdate) * 1000 AS ts_ns, 'a' AS series_id, round(a, 2) AS value FROM d UNION ALL SELECT epoch_us(o_orderdate) * 1000, 'b', round(b, 2) FROM d WHERE b IS NOT NULL")
 def wide_unpivot(spark, sf):
     utc(spark)
-    wide = read(spark, sf, "orders").groupBy(_ns("o_orderdate").alias("ts_ns")).agg(F.sum("o_totalprice").alias("a"), F.when(F.count("*") > 1, F.avg("o_totalprice")).alias("b"))
+    wide = read(spark, sf, "orders").groupBy(_ns("o_orderdate").alias("ts_ns")).agg(F.sum("o_totalprice").alias("a"), F.when(F.count("*") > 1, F.max("o_totalprice")).alias("b"))
     return files.unpivot(wide).withColumn("value", F.round("value", 2))
 
 
