@@ -183,3 +183,43 @@ def test_without_llm(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import sys; sys.modules['tideline.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op1_') for n in q) and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, env=os.environ | {"PYTHONPATH": root})
+
+
+def test_seasonality_break(spark):
+    from tideline.operators import seasonal
+
+    v = [50 + 10 * np.sin(2 * np.pi * i / 24) + random.Random(i).gauss(0, 0.3) for i in range(24 * 70)]
+    v[24 * 49 :] = [50.0 + random.Random(i).gauss(0, 0.3) for i in range(24 * 21)]
+    spine = seasonal.regularise(series(spark, [float(x) for x in v], step=HOUR, start=0), HOUR)
+    (x,) = seasonal.breaks(spine, HOUR).collect()
+    assert (x.start_ns, x.end_ns, x.period_ns, x.reason) == (49 * DAY, 70 * DAY, DAY, "weaker") and x.strength < 0.3 < 0.9 < x.strength_ref
+    one = np.array(v[: 24 * 14])
+    got = seasonal.strength(spine.where(F.col("i") < 24 * 14), 24).first().strength
+    assert got == pytest.approx(seasonal.strength_of(one, 24)) and seasonal.period_of(one, HOUR, [DAY, 7 * DAY])[0] == DAY
+
+
+def test_straight_runs(spark):
+    from tideline.operators import seasonal
+
+    v = [float(random.Random(i).gauss(0, 5)) for i in range(200)]
+    v[50:70] = [float(i) for i in range(20)]
+    v[70:90] = [19.0 - 3 * i for i in range(1, 21)]
+    got = sorted((x.first_i, x.n) for x in seasonal.straight_runs(normalize.normalized(series(spark, v)), 1e-9).collect())
+    assert got == [(50, 20), (70, 20)]
+
+
+def test_registry(spark):
+    from tideline.plans import registry
+
+    v = wave(1440)
+    v[600:650] = [float("inf")] * 2 + [None] * 48
+    v[900] = 500.0
+    found, score = registry.run_checks(series(spark, v), MIN, [registry.Config("tby.value_type"), registry.Config("tby.physical_range", {"high": 200.0}), registry.Config("tby.completeness"), registry.Config("tby.spikes", enabled=False)])
+    rows = found.collect()
+    assert {r.check_id for r in rows} == {"tby.value_type", "tby.physical_range", "tby.completeness"}
+    assert all(r.start_ns < r.end_ns and 0 < r.affected <= 1 and r.evidence.startswith("{") for r in rows)
+    assert score.first().validity < 100
+    for bad in (registry.Config("tby.none"), registry.Config("tby.spikes", {"nope": 1})):
+        with pytest.raises(ValueError):
+            registry.validate([bad])
+    assert len(registry.catalogue()) == len(registry.REGISTRY)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tideline.functions import meaning, times
 from tideline.functions.times import DAY, HOUR, MIN, SEC
-from tideline.operators import charts, checks, groups, kernels, lifecycle, normalize, ranks, scores, sequence
+from tideline.operators import charts, checks, groups, kernels, lifecycle, normalize, ranks, scores, seasonal, sequence
+from tideline.plans import registry
 from tideline.sources import files, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -552,3 +553,39 @@ def unit_counts(spark, sf):
 def segment_episodes(spark, sf):
     seg = _findings(spark, sf).where("status = 'open'").withColumn("segment", F.expr(f"start_ns div {30 * DAY}")).groupBy("series_id", "check_id", "segment").agg(F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"))
     return normalize.episodes(seg, ["series_id", "check_id"], "segment")
+
+
+SPINE = f"{GRID}, sp AS (SELECT series_id, unnest(range(lo, hi + 1)) AS i FROM (SELECT series_id, min(bin) AS lo, max(bin) AS hi FROM al GROUP BY 1)), reg AS (SELECT sp.series_id, i, mean AS v FROM sp LEFT JOIN al ON al.series_id = sp.series_id AND al.bin = sp.i)"
+TREND = f"""{SPINE}, mv AS (SELECT *, (coalesce(sum(v) OVER a, 0) + coalesce(sum(v) OVER b, 0)) / 2 AS s, (count(v) OVER a + count(v) OVER b) / 2.0 AS wt, count(*) OVER a AS full_n FROM reg WINDOW a AS (PARTITION BY series_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING), b AS (PARTITION BY series_id ORDER BY i ROWS BETWEEN 11 PRECEDING AND 11 FOLLOWING)),
+ dt AS (SELECT series_id, i, CASE WHEN full_n = 25 AND wt >= 12 THEN v - s / wt END AS d FROM mv)"""
+
+
+@query(f"WITH {SPINE} SELECT series_id, i, round(v, 6) AS v FROM reg")
+def regularise(spark, sf):
+    return seasonal.regularise(obs(spark, sf), HOUR).select("series_id", "i", r6("v"))
+
+
+@query(f"WITH {TREND} SELECT x.series_id, count(*) AS n, round(corr(x.d, y.d), 6) AS acf FROM dt x JOIN dt y ON x.series_id = y.series_id AND y.i = x.i + 24 WHERE x.d IS NOT NULL AND y.d IS NOT NULL GROUP BY 1")
+def seasonal_acf(spark, sf):
+    return seasonal.acf(seasonal.detrend(seasonal.regularise(obs(spark, sf), HOUR), 24), 24).select("series_id", "n", r6("acf"))
+
+
+@query(f"WITH {TREND}, lo AS (SELECT series_id, min(i) AS lo FROM reg GROUP BY 1), p AS (SELECT dt.series_id, d, (i - lo) % 24 AS ph FROM dt JOIN lo USING (series_id) WHERE d IS NOT NULL), m AS (SELECT series_id, ph, avg(d) AS s FROM p GROUP BY 1, 2), k AS (SELECT series_id, avg(s) AS c FROM m GROUP BY 1 HAVING count(*) = 24) SELECT p.series_id, round(CASE WHEN count(*) >= 48 THEN greatest(0.0, least(1.0, 1 - var_pop(d - s + c) / var_pop(d))) END, 6) AS strength FROM p JOIN m ON p.series_id = m.series_id AND p.ph = m.ph JOIN k ON k.series_id = p.series_id GROUP BY 1")
+def seasonal_strength(spark, sf):
+    return seasonal.strength(seasonal.regularise(obs(spark, sf), HOUR), 24).select("series_id", r6("strength"))
+
+
+@query()
+def check_seasonality_break(spark, sf):
+    return seasonal.breaks(seasonal.regularise(obs(spark, sf), HOUR), HOUR, references=2)
+
+
+@query()
+def check_interpolation(spark, sf):
+    return seasonal.straight_runs(norm(spark, sf), 25.0, 3)
+
+
+@query()
+def run_all_checks(spark, sf):
+    some = [registry.Config(f"tby.{c}") for c in ("completeness", "quality_flags", "value_type", "staleness")] + [registry.Config("tby.physical_range", {"high": 90.0})]
+    return registry.run_checks(obs(spark, sf), STEP, some)[0]
