@@ -14,6 +14,8 @@ from tideline.operators.normalize import descents, duplicate_counts, good_values
 from tideline.operators.ranks import median_mad, nearest_rank, pick
 from tideline.operators.sequence import merged, neighbour, runs
 
+#: Fixed value: what the ids of checks begin with.
+PREFIX = "tby."
 #: From a median absolute deviation to a standard deviation.
 SIGMA = 1.4826
 
@@ -39,7 +41,7 @@ def run_windows(norm: DataFrame, flag: Column, interval: int, *aggregates: Colum
 def finding(df: DataFrame, check: str, dimension: str, severity: str, affected: Column, evidence: Sequence[str]) -> DataFrame:
     """The common columns of findings; evidence keeps null fields, as its keys tell findings apart."""
     told = F.to_json(F.struct(*evidence), {"ignoreNullFields": "false"})
-    return df.select(F.lit(f"tby.{check}").alias("check_id"), "series_id", F.lit(dimension).alias("dimension"), F.lit(severity).alias("severity"), "start_ns", "end_ns", F.greatest(F.lit(0.0), F.least(F.lit(1.0), affected.cast("double"))).alias("affected"), told.alias("evidence"))
+    return df.select(F.lit(PREFIX + check).alias("check_id"), "series_id", F.lit(dimension).alias("dimension"), F.lit(severity).alias("severity"), "start_ns", "end_ns", F.greatest(F.lit(0.0), F.least(F.lit(1.0), affected.cast("double"))).alias("affected"), told.alias("evidence"))
 
 
 def gaps(norm: DataFrame, interval: int, factor: float = 3, least: int = 5 * MIN, most: int = 200) -> DataFrame:

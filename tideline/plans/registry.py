@@ -130,5 +130,5 @@ def run_checks(obs: DataFrame, interval: int, configs: list[Config] | None = Non
         check = REGISTRY[c.id]
         spans = check.plan(obs, norm, interval, **c.params).join(window.withColumnRenamed("n", "rows"), "series_id")
         affected = F.col("n") / F.col("rows") if check.share == "rows" else checks.overlap(F.col("start_ns"), F.col("end_ns"))
-        found = found.unionByName(checks.finding(spans, c.id.removeprefix("tby."), check.dimension, check.severity, affected, check.evidence))
+        found = found.unionByName(checks.finding(spans, c.id.removeprefix(checks.PREFIX), check.dimension, check.severity, affected, check.evidence))
     return found, scores.score(found, window)
