@@ -86,7 +86,7 @@ def test_line_dedup(spark):
     long = " ".join(f"word{i}x" for i in range(80))
     close = long.replace("word40x", "word4x")
     rows = [(3, f"{long}\nunique line of more than six words a"), (1, f"intro line that stands alone in here\n{long.upper()}!\n\nAs.\nAs."), (2, None), (4, ""), (5, f"  {close}\nAs."), (6, "a b c d e f g\nA b c, d e f g.\nother words go here too and so"), (7, "a b c d e f g")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("dropped", F.lit(1)).withColumn("id", F.lit(2)).withColumn("line", F.lit(2)).withColumn("sim", F.lit(2))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("dropped", F.lit(1)).withColumn("id", F.lit(2)).withColumn("line", F.lit(2)).withColumn("sim", F.lit(2)).withColumn("size", F.lit(2))
     got = {r.doc_id: r for r in dedup_lines(df).collect()}
     assert {i: list(r.dropped) for i, r in got.items()} == {1: [], 2: [], 3: [0], 4: [], 5: [0], 6: [1], 7: [0]}
     assert got[1].text == rows[1][1] and got[3].text == "unique line of more than six words a" and got[2].text is None and got[4].text == "" and got[5].text == "As." and got[7].text == ""
@@ -108,6 +108,22 @@ def test_simhash_by_brute_force():
         assert int(got[i]) == want
 
 
+def test_edit_distance_by_brute_force():
+    from tideline.llm.line_dedup import edit_distance
+
+    r = random.Random(0)
+    for _ in range(1500):
+        a, b = ("".join(r.choice("abé") for _ in range(r.randrange(0, 14))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, was = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(was[j] + 1, row[j - 1] + 1, was[j - 1] + (x != y)))
+        assert edit_distance(a, b) == row[-1]
+    base = "word " * 20_000
+    assert edit_distance(base + "end", base[:50_000] + "x" + base[50_000:]) == 4
+
+
 def test_line_dedup_whole_table(spark):
     """Every exact repeat goes and every group keeps its first line."""
     plain = lambda s: " ".join(brute.words(re.sub(r"[0-9]", "0", s), brute.ALNUM_WORD))
