@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tideline.llm import _text
 
 #: Pieces whose ids a worker keeps; when full, the memory starts anew.
-MEMORY = 400_000
+MEMORY = 150_000
 
 
 def byte_characters() -> list[str]:
@@ -45,7 +48,6 @@ class Codec:
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes[rank] = token
-        self.text = [str(i) for i in range(len(self.bytes))]
         to = byte_characters()
         name = {t: "".join(map(to.__getitem__, t)) for t in ranks}
         merges = [(name[t[:i]], name[t[i:]]) for t in sorted(ranks, key=ranks.get) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
@@ -55,24 +57,36 @@ class Codec:
         self.piece = Tokenizer(model)
         self.piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit integers: a list of Python's takes four times the memory
+        self.told: dict[str, str] = {}
+
+    def pieces(self, texts: list[str]) -> list[list[str]]:
+        """The pieces of each text, all of them known from then on. Each distinct piece goes through
+        the library once; its ids are kept, as most of any text is pieces seen before."""
+        found = [self.split(t) for t in texts]
+        new = list(set(chain.from_iterable(found)).difference(self.known))
+        if new:
+            if len(self.known) + len(new) > MEMORY:
+                self.known.clear()
+                self.told.clear()
+                new = list(set(chain.from_iterable(found)))
+            for at in range(0, len(new), 8192):
+                part = new[at : at + 8192]
+                for p, e in zip(part, self.piece.encode_batch_fast(part, add_special_tokens=False)):
+                    ids = e.ids
+                    self.known[p] = array("i", ids).tobytes()
+                    self.told[p] = ",".join(map(str, ids))
+        return found
+
+    def ids(self, pieces: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.int32)
+
+    def ids_text(self, pieces: list[str]) -> str:
+        """The ids in decimal, joined by commas."""
+        return ",".join(map(self.told.__getitem__, pieces))
 
     def encode(self, text: str) -> list[int]:
-        """The ids of a text. Each distinct piece of the pattern goes through the library once; its
-        ids are then kept, as most of any text is pieces seen before."""
-        pieces = self.split(text)
-        known = self.known
-        new = [p for p in set(pieces) if p not in known]
-        if new:
-            if len(known) + len(new) > MEMORY:
-                known.clear()
-                new = list(set(pieces))
-            for p, e in zip(new, self.piece.encode_batch(new, add_special_tokens=False)):
-                known[p] = e.ids
-        out: list[int] = []
-        for p in pieces:
-            out += known[p]
-        return out
+        return self.ids(self.pieces([text])[0]).tolist()
 
     def encode_with_offsets(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
         """The ids and the characters (start, end) that each covers; the parts of a character that is
@@ -102,8 +116,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in _text.chunks(batches):
-            ids = [c.encode(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            ids = [c.ids(p) for p in c.pieces([t or "" for t in batch.column("text").to_pylist()])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _text.lists(np.concatenate(ids), np.array([len(x) for x in ids]), pa.int32())], ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, ids array<int>")
@@ -132,14 +146,17 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False)
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in _text.chunks(batches):
-            every = [c.encode(t or "") for t in batch.column("text").to_pylist()]
+            pieces = c.pieces([t or "" for t in batch.column("text").to_pylist()])
+            every = [c.ids(p) for p in pieces]
             columns = [
                 batch.column("doc_id"),
                 pa.array([len(x) for x in every], pa.int64()),
-                pa.array([hashlib.sha256(",".join(map(c.text.__getitem__, x)).encode()).hexdigest() for x in every], pa.string()),
-                pa.array([hashlib.sha256(c.decode_bytes(x)).hexdigest() for x in every], pa.string()),
+                pa.array([hashlib.sha256(c.ids_text(p).encode()).hexdigest() for p in pieces], pa.string()),
+                pa.array([hashlib.sha256(c.decode_bytes(x.tolist())).hexdigest() for x in every], pa.string()),
             ]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(every, pa.list_(pa.int32()))] * with_ids, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+            if with_ids:
+                columns.append(_text.lists(np.concatenate(every), np.array([len(x) for x in every]), pa.int32()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
