@@ -200,7 +200,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, k: int =
     shingles. ``component_id`` is the smallest doc_id that can be reached, ``class_id`` the smallest
     with the very same set. Null, empty and word-less texts have no shingles, link with nothing and
     are kept. A text of fewer words has one shingle, all of them. Repeated doc_ids are an error of the
-    input and give one row each with the same component. Other columns of ``docs`` are ignored; an
+    input and give one row each with the same component; a row without an id is kept only if no row with an id has
+    the same set. Other columns of ``docs`` are ignored; an
     empty table gives an empty result. The thresholds hold at any size; nothing is capped.
     """
     found = written(sketches(docs, k, width), "sketches")
@@ -219,4 +220,4 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, k: int =
     roots = classes.join(parts, "id", "left").select("set_a", "set_b", "n_shingles", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
     placed = some.select("doc_id", "n_shingles", "set_a", "set_b").join(roots, ["set_a", "set_b", "n_shingles"]).select("doc_id", "n_shingles", "class_id", "component_id")
     alone = found.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").cast("long").alias("class_id"), F.col("doc_id").cast("long").alias("component_id"))
-    return placed.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return placed.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
