@@ -78,6 +78,10 @@ class Codec:
                     self.told[p] = ",".join(map(str, ids))
         return found
 
+    def forget(self) -> None:
+        """Gives the kept ids' memory back; workers outlive their tasks."""
+        self.known, self.told = {}, {}
+
     def ids(self, pieces: list[str]) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.int32)
 
@@ -118,6 +122,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in _text.chunks(batches):
             ids = [c.ids(p) for p in c.pieces([t or "" for t in batch.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _text.lists(np.concatenate(ids), np.array([len(x) for x in ids]), pa.int32())], ["doc_id", "ids"])
+        c.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, ids array<int>")
@@ -157,6 +162,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False)
             if with_ids:
                 columns.append(_text.lists(np.concatenate(every), np.array([len(x) for x in every]), pa.int32()))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+        c.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
