@@ -36,6 +36,8 @@ GROUP = 512
 MINOR, ALL = 256, 1024
 #: How far below the threshold the estimate from a sketch may lie: four standard deviations at 48 values.
 MARGIN = 0.25
+#: Flipped in the hashes of a sketch, so that Spark's signed order is the order they were chosen in.
+TOP = np.uint64(1 << 63)
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
@@ -51,7 +53,7 @@ def _sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
 
 def sketches(docs: DataFrame, k: int = 48, width: int = 5) -> DataFrame:
     """``(doc_id, n_shingles, set_a, set_b, sketch)``: the size of each document's shingle set, a
-    128-bit fingerprint of the set, and its ``k`` smallest hashes. Null text has the empty set."""
+    128-bit fingerprint of the set, and its ``k`` smallest hashes (as signed numbers of the same order). Null text has the empty set."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.chunks(batches):
@@ -64,7 +66,7 @@ def sketches(docs: DataFrame, k: int = 48, width: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(size, pa.int64())]
                 + [pa.array((s[ends[1:]] - s[ends[:-1]]).view(np.int64)) for s in sums]
-                + [_text.lists(np.concatenate(kept).view(np.int64), np.minimum(size, k))],
+                + [_text.lists((np.concatenate(kept) ^ TOP).view(np.int64), np.minimum(size, k))],
                 ["doc_id", "n_shingles", "set_a", "set_b", "sketch"],
             )
 
