@@ -161,6 +161,16 @@ def segment_values(norm: DataFrame, width: int, least: int = 1) -> DataFrame:
     return good.groupBy("series_id", "segment").agg(F.collect_list("value").alias("vals"), F.min("ts_ns").alias("start_ns"), (F.max("ts_ns") + 1).alias("end_ns")).where(F.size("vals") >= least)
 
 
+def bucket_medians(norm: DataFrame, width: int, most: int = 2000) -> DataFrame:
+    """``(series_id, bucket, med)``: medians of good values by stretches of ``width``, or of as many of these as it takes
+    for a series to have at most ``most``; ``bucket`` is the number of a stretch's first ``width``."""
+    good = segments(norm, width).where(usable(F.col("quality")) & finite(F.col("value")))
+    span = F.max("segment") - F.min("segment") + 1
+    times = F.when(span <= most, F.lit(1)).otherwise(F.ceil(span / (most - 1))).cast("long")
+    wide = good.join(good.groupBy("series_id").agg(times.alias("times")), "series_id").withColumn("bucket", F.col("segment") - F.pmod("segment", "times"))
+    return wide.groupBy("series_id", "bucket").agg(pick(F.collect_list("value"), 0.5).alias("med"))
+
+
 def _medians(seg: DataFrame) -> DataFrame:
     mid = seg.withColumn("med", pick(F.col("vals"), 0.5))
     return mid.withColumn("mad", pick(F.transform("vals", lambda v: F.abs(v - F.col("med"))), 0.5))

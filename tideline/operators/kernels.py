@@ -93,13 +93,15 @@ def modal_interval(norm: DataFrame) -> DataFrame:
 def change_points(medians: DataFrame, least: int = 7, most: int = 2000) -> DataFrame:
     """``(series_id, bucket, before, after)``: where the mean of bucket medians ``(series_id, bucket, med)``
     changes, by optimal partitioning with pruning (squared error, penalty 3 sigma^2 ln m). Series have
-    at most ``most`` buckets, which the caller's width must see to."""
+    at most ``most`` buckets, as ``checks.bucket_medians`` makes them; more are an error."""
 
     def split(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("bucket")
         x, m = rows["med"].to_numpy(), len(rows)
         none = pd.DataFrame(columns=["series_id", "bucket", "before", "after"])
-        if m < 2 * least or m > most:
+        if m > most:
+            raise ValueError(f"{m} buckets in a series, {most} at most")
+        if m < 2 * least:
             return none
         d = np.sort(np.abs(np.diff(x) - np.sort(np.diff(x))[int((m - 2) * 0.5 + 0.5)]))
         sigma = max(1.4826 * d[int((m - 2) * 0.5 + 0.5)] / np.sqrt(2), 1e-12)

@@ -300,8 +300,7 @@ def changepoint_buckets(spark, sf):
 
 @query()
 def check_changepoint(spark, sf):
-    buckets = checks.segment_values(norm(spark, sf), DAY // 4).select("series_id", F.col("segment").alias("bucket"), ranks.pick(F.col("vals"), 0.5).alias("med"))
-    return kernels.change_points(buckets)
+    return kernels.change_points(checks.bucket_medians(norm(spark, sf), DAY // 4))
 
 
 @query()
