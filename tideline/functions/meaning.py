@@ -24,6 +24,7 @@ NON_NEGATIVE_UNITS = (
     "m3/h", "m³/h", "m3/s", "l/s", "l/min", "kg/h", "t/h", "kg/s", "nm3/h", "sm3/h", "ppm", "ppb", "mg/l", "g/l", "mol/l", "%rh", "rh",
     "k", "kelvin", "kwh", "mwh", "wh", "m", "mm", "cm", "bar", "bara", "kpa", "pa", "psia", "rpm", "hz", "lux",
 )
+#: Weights of severities, and the dimensions of a score.
 SEVERITY = {"low": 0.1, "medium": 0.3, "high": 0.6, "critical": 1.0}
 DIMENSIONS = ("completeness", "timeliness", "validity", "accuracy", "consistency", "plausibility", "integrity")
 

@@ -11,9 +11,8 @@ US, MS, SEC = 1_000, 1_000_000, 1_000_000_000
 MIN, HOUR, DAY = 60 * SEC, 3600 * SEC, 86400 * SEC
 END_OF_TIME = 2**63 - 1
 
-#: The intervals that a measured interval is rounded to, in tenths of seconds.
-NICE_TENTHS = (1, 5, 10, 20, 50, 100, 150, 300, 600, 1200, 3000, 6000, 9000, 18000, 36000, 72000, 216000, 432000, 864000)
-NICE = tuple(t * SEC // 10 for t in NICE_TENTHS)
+#: The intervals that a measured interval is rounded to.
+NICE = (100 * MS, 500 * MS, 1 * SEC, 2 * SEC, 5 * SEC, 10 * SEC, 15 * SEC, 30 * SEC, 1 * MIN, 2 * MIN, 5 * MIN, 10 * MIN, 15 * MIN, 30 * MIN, 1 * HOUR, 2 * HOUR, 6 * HOUR, 12 * HOUR, 1 * DAY)
 #: Names of units, and what one is in nanoseconds.
 UNITS = {"ns": 1, "us": US, "µs": US, "ms": MS, "s": SEC, "sec": SEC, "m": MIN, "min": MIN, "h": HOUR, "d": DAY}
 _DURATION = re.compile(r"\s*([0-9]*\.?[0-9]+)\s*([a-zµ]+)\s*", re.I)
@@ -45,6 +44,16 @@ def floor_div(x: Column, by: Column | int) -> Column:
     return F.call_function("div", x - F.pmod(x, by), by)
 
 
+def plus(ts_ns: Column, by: Column | int) -> Column:
+    """A time some nanoseconds later, at most the end of time."""
+    return F.when(ts_ns.isNotNull(), F.coalesce(F.try_add(ts_ns, F.lit(by) if isinstance(by, int) else by), F.lit(END_OF_TIME)))
+
+
+def since(start: Column, end: Column) -> Column:
+    """Nanoseconds from ``start`` to a later ``end``, at most what a bigint holds."""
+    return F.when(start.isNotNull() & end.isNotNull(), F.coalesce(F.try_subtract(end, start), F.lit(END_OF_TIME)))
+
+
 def snap_to_nice(interval: Column) -> Column:
     """The nearest nice interval (the smaller on a tie) if it is within 5 % of ``interval``, else that."""
     near = F.array_min(F.array(*[F.struct(F.abs(F.lit(n) - interval).alias("off"), F.lit(n).alias("nice")) for n in NICE]))

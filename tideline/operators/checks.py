@@ -5,14 +5,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.meaning import BAD, ESTIMATED, UNCERTAIN, finite, usable
-from tideline.functions.times import DAY, HOUR, MIN, SEC
+from tideline.functions.times import DAY, END_OF_TIME, HOUR, MIN, SEC, plus, since
 from tideline.operators.normalize import descents, duplicate_counts, good_values, segments, steps
-from tideline.operators.ranks import median_mad, nearest_rank, pick
+from tideline.operators.ranks import counted, mad_counted, median_mad, nearest_rank, pick, rank_counted
 from tideline.operators.sequence import merged, neighbour, runs
+from tideline.operators.tables import written
 
 #: Fixed value: what the ids of checks begin with.
 PREFIX = "tby."
@@ -22,20 +23,21 @@ SIGMA = 1.4826
 
 def windows(norm: DataFrame) -> DataFrame:
     """``(series_id, w_start, w_end, n)``: the extent of each series."""
-    return norm.groupBy("series_id").agg(F.min("ts_ns").alias("w_start"), (F.max("ts_ns") + 1).alias("w_end"), F.count("*").alias("n"))
+    return norm.groupBy("series_id").agg(F.min("ts_ns").alias("w_start"), plus(F.max("ts_ns"), 1).alias("w_end"), F.count("*").alias("n"))
 
 
 def overlap(start: Column, end: Column) -> Column:
     """The share of the window that a span covers."""
-    return F.greatest(F.lit(0), F.least(end, F.col("w_end")) - F.greatest(start, F.col("w_start"))) / (F.col("w_end") - F.col("w_start"))
+    inside = since(F.greatest(start, F.col("w_start")), F.least(end, F.col("w_end")))
+    return F.greatest(F.lit(0), inside) / F.greatest(F.lit(1), since(F.col("w_start"), F.col("w_end")))
 
 
-def run_windows(norm: DataFrame, flag: Column, interval: int, *aggregates: Column) -> DataFrame:
-    """Runs of flagged rows as ``[start_ns, end_ns)``: to the next row's time, or ``interval`` past the last."""
-    ahead = neighbour(norm, "_next", F.col("ts_ns"), after=True)
-    found = runs(ahead, flag, F.max_by("_next", "ts_ns").alias("_next"), *aggregates)
-    end = F.coalesce("_next", F.col("last_ts") + max(interval, 1))
-    return found.withColumn("start_ns", F.col("first_ts")).withColumn("end_ns", F.greatest(end, F.col("first_ts") + 1)).drop("_next", "first_ts", "last_ts")
+def run_windows(norm: DataFrame, flag: Column, interval: int, least: Column | None = None) -> DataFrame:
+    """Runs of flagged rows as ``[start_ns, end_ns)``: to the next row's time, or ``interval`` past the last; ``n`` and
+    ``least``, if that is given."""
+    found = runs(norm, flag, least=least)
+    end = F.coalesce("next_ts", plus(F.col("last_ts"), max(interval, 1)))
+    return found.withColumn("start_ns", F.col("first_ts")).withColumn("end_ns", F.greatest(end, plus(F.col("first_ts"), 1))).drop("next_ts", "first_ts", "last_ts")
 
 
 def finding(df: DataFrame, check: str, dimension: str, severity: str, affected: Column, evidence: Sequence[str]) -> DataFrame:
@@ -50,9 +52,8 @@ def gaps(norm: DataFrame, interval: int, factor: float = 3, least: int = 5 * MIN
     ends = windows(norm)
     points = good_values(norm).select("series_id", "ts_ns").unionByName(ends.select("series_id", F.col("w_start").alias("ts_ns"))).unionByName(ends.select("series_id", F.col("w_end").alias("ts_ns"))).distinct()
     limit = max(int(interval * factor), least)
-    found = neighbour(points, "before", F.col("ts_ns")).where(F.col("ts_ns") - F.col("before") > limit)
-    ranked = found.groupBy("series_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.col("before").alias("start_ns"), F.col("ts_ns").alias("end_ns")))), 1, most).alias("g"))
-    return ranked.select("series_id", F.explode("g").alias("g")).select("series_id", "g.*")
+    found = neighbour(points, "start_ns", F.col("ts_ns")).where(since(F.col("start_ns"), F.col("ts_ns")) > limit).select("series_id", "start_ns", F.col("ts_ns").alias("end_ns"))
+    return found.withColumn("_k", F.row_number().over(Window.partitionBy("series_id").orderBy("start_ns"))).where(F.col("_k") <= most).drop("_k")
 
 
 def completeness(norm: DataFrame, interval: int) -> DataFrame:
@@ -86,7 +87,7 @@ def latency(obs: DataFrame, sla: int, ahead: int = 60 * SEC) -> DataFrame:
 
 
 def timestamp_integrity(obs: DataFrame) -> DataFrame:
-    """``(series_id, out_of_order, exact, conflicting)`` of rows as delivered."""
+    """``(series_id, out_of_order, exact, conflicting)`` of rows as delivered; repeats conflict by their values alone."""
     return descents(obs).join(duplicate_counts(obs), "series_id")
 
 
@@ -139,9 +140,9 @@ def physical_range(norm: DataFrame, low: float | None, high: float | None, inter
 
 def band(norm: DataFrame, k: float = 1.0) -> DataFrame:
     """``(series_id, low, high)``: the 0.1 and 99.9 % ranks, widened by ``k`` deviations."""
-    values = norm.where(finite(F.col("value")))
-    q = nearest_rank(values, [0.001, 0.999]).groupBy("series_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    return q.join(median_mad(values), "series_id").select("series_id", (F.col("lo") - k * SIGMA * F.col("mad")).alias("low"), (F.col("hi") + k * SIGMA * F.col("mad")).alias("high"))
+    counts = written(counted(norm.where(finite(F.col("value")))), "counted")
+    q = rank_counted(counts, [0.001, 0.999]).groupBy("series_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return q.join(mad_counted(counts), "series_id").select("series_id", (F.col("lo") - k * SIGMA * F.col("mad")).alias("low"), (F.col("hi") + k * SIGMA * F.col("mad")).alias("high"))
 
 
 def operational_range(norm: DataFrame, limits: DataFrame, interval: int, most: float = 0.005) -> DataFrame:
@@ -152,7 +153,7 @@ def operational_range(norm: DataFrame, limits: DataFrame, interval: int, most: f
 
 
 def negative(norm: DataFrame, interval: int, tolerance: float = 0.0) -> DataFrame:
-    return run_windows(norm, finite(F.col("value")) & (F.col("value") < -tolerance), interval, F.min("value").alias("least"))
+    return run_windows(norm, finite(F.col("value")) & (F.col("value") < -tolerance), interval, F.col("value"))
 
 
 def segment_values(norm: DataFrame, width: int, least: int = 1) -> DataFrame:
@@ -176,16 +177,27 @@ def _medians(seg: DataFrame) -> DataFrame:
     return mid.withColumn("mad", pick(F.transform("vals", lambda v: F.abs(v - F.col("med"))), 0.5))
 
 
-def scale_shift(norm: DataFrame, width: int = DAY, least: int = 30) -> DataFrame:
-    """Segments whose median and spread are both a power of ten of the whole series', or look like
-    Fahrenheit for Celsius or the reverse."""
+#: Factors by which units are mixed up.
+FACTORS = (10.0, 100.0, 1000.0, 0.1, 0.01, 0.001)
+
+
+def scale_shift(norm: DataFrame, width: int = DAY, least: int = 30, tolerance: float = 0.1) -> DataFrame:
+    """``(series_id, segment, start_ns, end_ns, med, mad, ratio, bmed, bmad, factor, candidate)``: segments whose median and
+    spread are both a power of ten of the whole series', or else those of Fahrenheit for Celsius or the reverse (which
+    goes first if both fit)."""
     seg = _medians(segment_values(norm, width, least)).drop("vals")
     base = median_mad(good_values(norm)).select("series_id", F.col("median").alias("bmed"), F.col("mad").alias("bmad")).where("bmad > 0 and abs(bmed) > 1e-12")
     both = seg.join(base, "series_id").withColumn("ratio", F.col("med") / F.col("bmed")).withColumn("spread", F.col("mad") / F.col("bmad"))
-    factor = F.lit(None).cast("double")
-    for f in (0.001, 0.01, 0.1, 1000.0, 100.0, 10.0):
-        factor = F.when((F.abs(F.col("ratio") / f - 1) <= 0.1) & (F.abs(F.col("spread") / f - 1) <= 0.5), F.lit(f)).otherwise(factor)
-    return both.withColumn("factor", factor).where("factor is not null")
+    near = lambda x, y: F.abs(x - y) / F.greatest(F.abs(y), F.lit(1.0)) <= tolerance
+    factor, name = F.lit(None).cast("double"), F.lit(None).cast("string")
+    degrees = (("C to F", 1.8 * F.col("bmed") + 32, 1.8), ("F to C", (F.col("bmed") - 32) / 1.8, 1 / 1.8))
+    for label, want, f in degrees:
+        fits = near(F.col("med"), want) & (F.abs(F.col("spread") / f - 1) <= 0.25)
+        factor, name = F.when(fits, f).otherwise(factor), F.when(fits, label).otherwise(name)
+    for f in reversed(FACTORS):
+        fits = (F.abs(F.col("ratio") / f - 1) <= tolerance) & (F.abs(F.col("spread") / f - 1) <= 0.5)
+        factor, name = F.when(fits, f).otherwise(factor), F.when(fits, f"x{f:g}").otherwise(name)
+    return both.withColumn("factor", factor).withColumn("candidate", name).where("factor is not null").drop("spread")
 
 
 def rates(norm: DataFrame, interval: int) -> DataFrame:
@@ -197,10 +209,17 @@ def rates(norm: DataFrame, interval: int) -> DataFrame:
 
 
 def noise(norm: DataFrame, interval: int) -> DataFrame:
-    """``(series_id, sigma, rate_p999)``: noise from signed differences, and the usual largest slope."""
-    r = rates(norm, interval)
-    sigma = median_mad(r, "diff").select("series_id", (F.col("mad") * SIGMA / F.sqrt(F.lit(2.0))).alias("sigma"))
-    return sigma.join(nearest_rank(r, [0.999], "rate").select("series_id", F.col("v").alias("rate_p999")), "series_id")
+    """``(series_id, sigma, rate_p999)``: noise from signed differences, and the usual largest slope. Both figures'
+    values are counted in one table, which is written, and ranked in one pass."""
+    figure = lambda name, v: F.struct(F.lit(name).alias("what"), F.col(v).alias("x"))
+    long = rates(norm, interval).select("series_id", F.explode(F.array(figure("diff", "diff"), figure("rate", "rate"))).alias("f")).select("series_id", "f.*")
+    counts = written(counted(long, "x", ["series_id", "what"]), "rates")
+    ranked = rank_counted(counts, [0.5, 0.999], ["series_id", "what"])
+    at = lambda what, q: F.max(F.when((F.col("what") == what) & (F.col("q") == q), F.col("v")))
+    own = ranked.groupBy("series_id").agg(at("diff", 0.5).alias("median"), at("rate", 0.999).alias("rate_p999"))
+    off = counts.where("what = 'diff'").join(own, "series_id").select("series_id", F.abs(F.col("v") - F.col("median")).alias("v"), "c", "rate_p999")
+    mad = rank_counted(off, [0.5], ["series_id", "rate_p999"])
+    return mad.select("series_id", (F.col("v") * SIGMA / F.sqrt(F.lit(2.0))).alias("sigma"), "rate_p999")
 
 
 def rate_of_change(norm: DataFrame, interval: int, factor: float = 3.0) -> DataFrame:
@@ -232,37 +251,42 @@ def density(norm: DataFrame, width: int = DAY, least: int = 50) -> DataFrame:
 
 
 def level_drift(norm: DataFrame, width: int = DAY, least: int = 10, segments_least: int = 7, most: int = 400) -> DataFrame:
-    """``(series_id, slope_per_day, segments)``: the median of the slopes of all pairs of segment medians;
+    """``(series_id, slope_per_day, segments)``: the median of the slopes of all pairs of segment medians (at their first rows);
     segments are widened so that a series has at most ``most``."""
     extent = windows(norm).select("series_id", F.greatest(F.lit(width), F.ceil((F.col("w_end") - F.col("w_start")) / most)).alias("width"), "w_start")
     good = good_values(norm).join(extent, "series_id").withColumn("segment", F.expr("(ts_ns - w_start) div width"))
-    seg = good.groupBy("series_id", "segment").agg(F.collect_list("value").alias("vals"), ((F.min("ts_ns") + F.max("ts_ns") + 1) / 2 / DAY).alias("day")).where(F.size("vals") >= least)
+    seg = good.groupBy("series_id", "segment").agg(F.collect_list("value").alias("vals"), ((F.min("ts_ns") - F.first("w_start")) / DAY).alias("day")).where(F.size("vals") >= least)
     seg = seg.select("series_id", F.struct("day", pick(F.col("vals"), 0.5).alias("med")).alias("p"))
     points = seg.groupBy("series_id").agg(F.array_sort(F.collect_list("p")).alias("p")).where(F.size("p") >= segments_least)
     slopes = F.flatten(F.transform("p", lambda a, i: F.transform(F.filter("p", lambda b: b["day"] > a["day"]), lambda b: (b["med"] - a["med"]) / (b["day"] - a["day"]))))
     return points.select("series_id", pick(slopes, 0.5).alias("slope_per_day"), F.size("p").alias("segments"))
 
 
-def distribution_drift(norm: DataFrame, width: int = DAY, least: int = 100) -> DataFrame:
-    """``(series_id, segment, psi, wasserstein)`` against the series' deciles and 5 % ranks."""
-    good = good_values(norm)
-    grid = nearest_rank(good, [i / 20 for i in range(21)]).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("q", "v"))).alias("g")).select("series_id", F.transform("g", lambda x: x["v"]).alias("g"))
-    seg = segment_values(norm, width, least).join(grid, "series_id")
+def distribution_drift(norm: DataFrame, width: int = DAY, least: int = 100, base: DataFrame | None = None) -> DataFrame:
+    """``(series_id, segment, start_ns, end_ns, psi, wasserstein)`` against ``base (series_id, g, spread)``: each 5 % rank and
+    the spread that distances are told in; by default those of the good values and the distance of their quartiles.
+    ``psi`` is null where deciles are equal."""
+    if base is None:
+        base = _grid(norm).withColumn("spread", F.get("g", F.lit(15)) - F.get("g", F.lit(5)))
+    seg = segment_values(norm, width, least).join(base, "series_id")
     edges = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.get("g", 2 * i))
     shares = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.greatest(F.lit(1e-4), F.size(F.filter("vals", lambda v: F.size(F.filter("edges", lambda e: e < v)) == i)) / F.size("vals")))
     psi = F.aggregate("shares", F.lit(0.0), lambda a, p: a + (p - 0.1) * F.log(p / 0.1))
     ranks = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.get("s", F.floor((F.size("s") - 1) * i / 20 + 0.5).cast("int")))
     far = F.aggregate(F.zip_with("g", "r", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, d: a + d) / 21
     out = seg.withColumn("edges", edges).withColumn("shares", shares).withColumn("s", F.array_sort("vals")).withColumn("r", ranks)
-    return out.select("series_id", "segment", "start_ns", "end_ns", F.when(F.size(F.array_distinct("edges")) == 9, psi).alias("psi"), F.try_divide(far, F.get("g", F.lit(15)) - F.get("g", F.lit(5))).alias("wasserstein"))
+    return out.select("series_id", "segment", "start_ns", "end_ns", F.when(F.size(F.array_distinct("edges")) == 9, psi).alias("psi"), F.try_divide(far, F.col("spread")).alias("wasserstein"))
+
+
+def _grid(norm: DataFrame) -> DataFrame:
+    """``(series_id, g)``: each 5 % rank of the good values."""
+    good = good_values(norm)
+    return nearest_rank(good, [i / 20 for i in range(21)]).groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("q", "v"))).alias("g")).select("series_id", F.transform("g", lambda x: x["v"]).alias("g"))
 
 
 def constant_fraction(norm: DataFrame, least: int = 10) -> DataFrame:
     """``(series_id, fraction)``: the share of rows in runs of ``least`` or more equal finite values."""
     near = neighbour(norm, "before", F.col("value"))
-    same = F.coalesce(finite(F.col("value")) & (F.col("value") == F.col("before")), F.lit(False))
-    found = runs(near.withColumn("_same", same).drop("before"), F.col("_same"))
+    found = runs(near, finite(F.col("value")) & (F.col("value") == F.col("before")))
     held = found.where(F.col("n") + 1 >= least).groupBy("series_id").agg(F.sum(F.col("n") + 1).alias("held"))
     return norm.groupBy("series_id").agg(F.count("*").alias("rows")).join(held, "series_id", "left").select("series_id", (F.coalesce("held", F.lit(0)) / F.col("rows")).alias("fraction"))
-
-

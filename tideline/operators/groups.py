@@ -18,7 +18,7 @@ def pairs(aligned: DataFrame, members: list[str]) -> DataFrame:
     return x.join(y, "bin").where("pa < pb").drop("pa", "pb")
 
 
-def _pearson(x: str, y: str) -> Column:
+def pearson(x: str, y: str) -> Column:
     r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
     return F.when(F.count("*") >= 3, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
@@ -30,7 +30,7 @@ def spearman_segments(joined: DataFrame, grid: int, width: int = DAY, least: int
     for v in "xy":
         order, peers = Window.partitionBy(*own).orderBy(v), Window.partitionBy(*own, v)
         seg = seg.withColumn(f"r{v}", F.rank().over(order) + (F.count("*").over(peers) - 1) / 2)
-    return seg.groupBy(*own).agg(F.count("*").alias("n"), _pearson("rx", "ry").alias("rho")).where(F.col("n") >= least)
+    return seg.groupBy(*own).agg(F.count("*").alias("n"), pearson("rx", "ry").alias("rho")).where(F.col("n") >= least)
 
 
 def lag_profile(joined: DataFrame, most: int = 6) -> DataFrame:
@@ -38,7 +38,7 @@ def lag_profile(joined: DataFrame, most: int = 6) -> DataFrame:
     before = joined.select("a", "b", (F.col("bin") + 1).alias("bin"), F.col("x").alias("x0"), F.col("y").alias("y0"))
     d = joined.join(before, ["a", "b", "bin"]).select("a", "b", "bin", (F.col("x") - F.col("x0")).alias("dx"), (F.col("y") - F.col("y0")).alias("dy"))
     left = d.select("a", "b", "dx", F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"), "bin").withColumn("bin", F.col("bin") + F.col("lag"))
-    return left.join(d.select("a", "b", "bin", "dy"), ["a", "b", "bin"]).groupBy("a", "b", "lag").agg(F.count("*").alias("n"), _pearson("dx", "dy").alias("r"))
+    return left.join(d.select("a", "b", "bin", "dy"), ["a", "b", "bin"]).groupBy("a", "b", "lag").agg(F.count("*").alias("n"), pearson("dx", "dy").alias("r"))
 
 
 def disagreement(aligned: DataFrame, members: list[str]) -> DataFrame:

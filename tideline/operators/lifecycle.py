@@ -20,11 +20,14 @@ def shape(evidence: Column) -> Column:
 
 
 def candidates(known: DataFrame, incoming: DataFrame) -> DataFrame:
-    """For each incoming finding the open or acked known one of the same series, check and evidence
-    shape that overlaps it most (by intersection over union; the earliest on a tie)."""
-    x = incoming.select(F.col("id").alias("new_id"), "series_id", "check_id", "shape", F.col("start_ns").alias("ns"), F.col("end_ns").alias("ne"), F.col("run_id").alias("run"))
-    y = known.where(F.col("status").isin("open", "acked"))
-    met = x.join(y, ["series_id", "check_id", "shape"]).where("start_ns < ne and end_ns > ns and first_run <> run")
+    """For each incoming finding the open or acked known one of the same series, check, evidence shape, group and
+    partner (null equals null) that overlaps it most (by intersection over union; the earliest on a tie)."""
+    same = ["series_id", "check_id", "shape"]
+    extra = ["group_id", "partner"]
+    text = lambda df: df.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in extra})
+    x = text(incoming).select(F.col("id").alias("new_id"), *same, *extra, F.col("start_ns").alias("ns"), F.col("end_ns").alias("ne"), F.col("run_id").alias("run"))
+    y = text(known).where(F.col("status").isin("open", "acked"))
+    met = x.join(y, [*same, *extra]).where("start_ns < ne and end_ns > ns and first_run <> run")
     iou = (F.least("ne", "end_ns") - F.greatest("ns", "start_ns")) / (F.greatest("ne", "end_ns") - F.least("ns", "start_ns"))
     best = F.max_by(F.col("id"), F.struct(iou.alias("iou"), (-F.col("start_ns")).alias("s"), (-F.col("id")).alias("i")))
     return met.groupBy("new_id").agg(best.alias("known_id"), F.max(iou).alias("iou"))

@@ -18,11 +18,13 @@ def normalized(obs: DataFrame) -> DataFrame:
     return obs.groupBy("series_id", "ts_ns").agg(F.min_by(F.struct("seq", *rest), "seq").alias("x")).select("series_id", "ts_ns", "x.*")
 
 
-def duplicate_counts(obs: DataFrame) -> DataFrame:
-    """Later deliveries of a time by series: ``exact`` (same value and quality as the first) or ``conflicting``."""
-    first = normalized(obs).select("series_id", "ts_ns", F.col("seq").alias("s0"), F.col("value").alias("v0"), F.col("quality").alias("q0"))
-    both = obs.join(first, ["series_id", "ts_ns"]).where("seq <> s0")
-    same = F.col("value").eqNullSafe(F.col("v0")) & F.col("quality").eqNullSafe(F.col("q0"))
+def duplicate_counts(obs: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """Later deliveries of a time by series: ``exact`` (a value within ``tolerance`` of the first, or missing like it) or
+    ``conflicting``. The quality doesn't matter."""
+    first = obs.groupBy("series_id", "ts_ns").agg(F.min("seq").alias("s0"), F.min_by("value", "seq").alias("v0"), F.count("*").alias("n"))
+    both = obs.join(first.where("n > 1"), ["series_id", "ts_ns"]).where("seq <> s0")
+    lost = lambda c: F.col(c).isNull() | F.isnan(c)
+    same = F.coalesce((lost("value") & lost("v0")) | (F.col("value") == F.col("v0")) | (F.abs(F.col("value") - F.col("v0")) <= tolerance), F.lit(False))
     found = both.groupBy("series_id").agg(F.count_if(same).alias("exact"), F.count_if(~same).alias("conflicting"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return obs.select("series_id").distinct().join(found, "series_id", "left").select("series_id", zero("exact"), zero("conflicting"))

@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of values that a group's values are dealt over.
-RANGES = 64
+from tideline.operators.tables import written
+
+#: Ranges of values in each doubling of their size.
+PER_OCTAVE = 4096
 
 
 def pick(values: Column, q: float) -> Column:
@@ -16,27 +18,49 @@ def pick(values: Column, q: float) -> Column:
     return F.get(F.array_sort(values), F.floor((F.size(values) - 1) * q + 0.5).cast("int"))
 
 
-def nearest_rank(df: DataFrame, qs: Sequence[float], value: str = "value", by: Sequence[str] = ("series_id",), half: float = 0.5) -> DataFrame:
-    """``(*by, q, v)`` at rank floor((n - 1) q + ``half``), exact for groups of any size. Equal values are counted first; the distinct ones
-    are dealt to ranges by approximate quantiles, only the ranges that hold a wanted rank are sorted."""
+def _range(value: Column) -> Column:
+    """A number that never falls as the value rises, the same for values that differ little: its sign and logarithm."""
+    x = value.cast("double")
+    size = F.when(F.abs(x) == float("inf"), F.lit(1 << 40)).otherwise(F.floor(F.log2(F.abs(x)) * PER_OCTAVE)) + (1 << 23)
+    return F.when(F.isnan(x), F.lit(1 << 50)).when(x == 0, 0).when(x > 0, size).otherwise(-size).cast("long")
+
+
+def counted(df: DataFrame, value: str = "value", by: Sequence[str] = ("series_id",)) -> DataFrame:
+    """``(*by, v, c)``: each value (not null) and how often it comes."""
+    return df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+
+
+def rank_counted(counts: DataFrame, qs: Sequence[float], by: Sequence[str] = ("series_id",), half: float = 0.5) -> DataFrame:
+    """``(*by, q, v)`` at rank floor((n - 1) q + ``half``) of ``counts (*by, v, c)``, exact for groups of any size.
+    Values are dealt to narrow ranges by their logarithm and ranges are counted; only those that hold a wanted
+    rank are sorted, each in a task of its own. ``counts`` is read twice; a value may have several rows."""
     by = list(by)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    cuts = counted.groupBy(*by).agg(F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], 1000).alias("_cuts"), F.sum("_c").alias("_n"))
-    placed = counted.join(cuts, by).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))
-    sizes = placed.groupBy(*by, "_range").agg(F.sum("_c").alias("_in"), F.first("_n").alias("_n"))
+    placed = counts.select(*by, "v", "c", _range(F.col("v")).alias("_range"))
     w = Window.partitionBy(*by).orderBy("_range")
-    sizes = sizes.withColumn("_to", F.sum("_in").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    sizes = placed.groupBy(*by, "_range").agg(F.sum("c").alias("_in"))
+    sizes = sizes.withColumn("_to", F.sum("_in").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_in").over(Window.partitionBy(*by)))
     asked = sizes.select(*by, "_range", (F.col("_to") - F.col("_in")).alias("_from"), "_to", "_n", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
     asked = asked.withColumn("_k", F.floor((F.col("_n") - 1) * F.col("q") + half)).where("_k >= _from and _k < _to").select(*by, "_range", "q", (F.col("_k") - F.col("_from")).alias("_k"))
-    needed = placed.join(asked.select(*by, "_range").distinct(), [*by, "_range"], "left_semi")
-    v = Window.partitionBy(*by, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = needed.select(*by, "_range", "_v", "_c", F.sum("_c").over(v).alias("_upto"))
-    return ranked.join(asked, [*by, "_range"]).where("_k < _upto and _k >= _upto - _c").select(*by, "q", F.col("_v").alias("v"))
+    needed = placed.join(asked, [*by, "_range"])
+    upto = F.sum("c").over(Window.partitionBy(*by, "_range", "q").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    return needed.withColumn("_upto", upto).where("_k < _upto and _k >= _upto - c").select(*by, "q", "v")
 
 
-def median_mad(df: DataFrame, value: str = "value", by: Sequence[str] = ("series_id",)) -> DataFrame:
-    """``(*by, median, mad)``: the nearest-rank median and that of the distances from it."""
+def nearest_rank(df: DataFrame, qs: Sequence[float], value: str = "value", by: Sequence[str] = ("series_id",), half: float = 0.5) -> DataFrame:
+    """``(*by, q, v)`` at rank floor((n - 1) q + ``half``) of a column, exact for groups of any size."""
+    return rank_counted(counted(df, value, by), qs, by, half)
+
+
+def mad_counted(counts: DataFrame, by: Sequence[str] = ("series_id",)) -> DataFrame:
+    """``(*by, median, mad)`` of ``counts (*by, v, c)``, which is read four times: distances from the median are
+    ranked with the counts of their values."""
     by = list(by)
-    mid = nearest_rank(df, [0.5], value, by).select(*by, F.col("v").alias("median"))
-    off = df.join(mid, by).withColumn("_off", F.abs(F.col(value) - F.col("median")))
-    return mid.join(nearest_rank(off, [0.5], "_off", by).select(*by, F.col("v").alias("mad")), by, "left")
+    mid = rank_counted(counts, [0.5], by).select(*by, F.col("v").alias("median"))
+    off = counts.join(mid, by).select(*by, F.abs(F.col("v") - F.col("median")).alias("v"), "c", "median")
+    return mid.join(rank_counted(off, [0.5], by).select(*by, F.col("v").alias("mad")), by, "left")
+
+
+def median_mad(df: DataFrame, value: str = "value", by: Sequence[str] = ("series_id",)) -> DataFrame:
+    """``(*by, median, mad)``: the nearest-rank median and that of the distances from it. Counts of values are
+    written first, so that ``df`` is worked out once."""
+    return mad_counted(written(counted(df, value, by), "counted"), by)

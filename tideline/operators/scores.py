@@ -6,16 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.meaning import DIMENSIONS, weight
+from tideline.functions.times import DAY, floor_div
 
 METHOD = "v2"
 
 
-def merged_coverage(spans: DataFrame, key: list[str]) -> DataFrame:
+def merged_coverage(spans: DataFrame, key: list[str], width: int = DAY) -> DataFrame:
     """``(*key, integral)``: the integral over time of the largest ``w`` of the spans ``[s, e)`` that are
-    open. Bounds cut time into pieces; each span is dealt to the pieces that it covers, by key."""
-    bounds = spans.select(*key, F.explode(F.array("s", "e")).alias("t")).distinct()
-    pieces = bounds.withColumn("u", F.lead("t").over(Window.partitionBy(*key).orderBy("t"))).where("u is not null")
-    open_ = pieces.join(spans, key).where("s <= t and e >= u").groupBy(*key, "t", "u").agg(F.max(F.round(F.col("w") * 1e6) / 1e6).alias("w"))
+    open. Spans are cut at days and dealt to them; the bounds in a day cut it into pieces, and each span is dealt
+    to the pieces of the day that it covers, so that spans meet only those of the same day."""
+    own = spans.where("e > s").select(*key, "s", "e", (F.round(F.col("w") * 1e6) / 1e6).alias("w"))
+    days = own.withColumn("_day", F.explode(F.sequence(floor_div(F.col("s"), width), floor_div(F.col("e") - 1, width))))
+    cut = days.select(*key, "_day", F.greatest("s", F.col("_day") * width).alias("s"), F.least(F.col("e"), (F.col("_day") + 1) * width).alias("e"), "w").groupBy(*key, "_day", "s", "e").agg(F.max("w").alias("w"))
+    bounds = cut.select(*key, "_day", F.explode(F.array("s", "e")).alias("t")).distinct()
+    pieces = bounds.withColumn("u", F.lead("t").over(Window.partitionBy(*key, "_day").orderBy("t"))).where("u is not null")
+    open_ = pieces.join(cut, [*key, "_day"]).where("s <= t and e >= u").groupBy(*key, "_day", "t", "u").agg(F.max("w").alias("w"))
     return open_.groupBy(*key).agg(F.sum((F.col("u") - F.col("t")) * F.col("w")).alias("integral"))
 
 
@@ -39,3 +44,8 @@ def score(findings: DataFrame, window: DataFrame) -> DataFrame:
     out = window.select("series_id").join(wide, "series_id", "left").fillna(100.0, list(DIMENSIONS))
     total = sum((F.col(d) * (1.5 if d == "validity" else 1.0) for d in DIMENSIONS), F.lit(0.0))
     return out.withColumn("overall", F.round(total / (len(DIMENSIONS) + 0.5), 1))
+
+
+def union_window(findings: DataFrame) -> DataFrame:
+    """``(series_id, w_start, w_end)`` from the first start to the last end of each series' findings."""
+    return findings.groupBy("series_id").agg(F.min("start_ns").alias("w_start"), F.max("end_ns").alias("w_end"))

@@ -1,7 +1,7 @@
 """Neighbours, running sums and runs along each series, without a window over a whole series.
 
 A series may hold a large part of all rows. So windows span one chunk of time of one series, and what
-crosses chunks (the last row before, the sum so far) is carried through a table of one row for each chunk.
+crosses chunks meets in a second window or table of a few rows for each chunk.
 """
 
 from __future__ import annotations
@@ -15,19 +15,25 @@ from tideline.functions.times import DAY, floor_div
 CHUNK = DAY
 
 
+#: The part that rows at either end of a chunk share, so that they meet those of the chunks beside it.
+ENDS = -(2**63)
+
+
 def _chunked(df: DataFrame, key: str, order: str, chunk: int) -> tuple[DataFrame, Window, Window]:
     out = df.withColumn("_chunk", floor_div(F.col(order), chunk))
     return out, Window.partitionBy(key, "_chunk").orderBy(order), Window.partitionBy(key).orderBy("_chunk")
 
 
 def neighbour(df: DataFrame, name: str, value: Column, after: bool = False, key: str = "series_id", order: str = "ts_ns", chunk: int = CHUNK) -> DataFrame:
-    """Adds ``name``, the value of the row before (or after) in its series; null at the end."""
-    df = df.withColumn("_own", F.struct(value.alias("v")))
-    out, within, across = _chunked(df, key, order, chunk)
-    edge = out.groupBy(key, "_chunk").agg((F.min_by if after else F.max_by)("_own", order).alias("_edge"))
-    move = F.lead if after else F.lag
-    carried = edge.select(key, "_chunk", move("_edge").over(across).alias("_carried"))
-    return out.join(carried, [key, "_chunk"]).withColumn(name, F.coalesce(move("_own").over(within), "_carried")["v"]).drop("_chunk", "_own", "_carried")
+    """Adds ``name``, the value of the row before (or after) in its series; null at the end. Within a chunk the
+    row beside is a window's; the first and last rows of all chunks then meet in a second one, which has two
+    rows a chunk."""
+    out, within, _ = _chunked(df.withColumn("_own", F.struct(value.alias("v"))), key, order, chunk)
+    move, other = (F.lead, F.lag) if after else (F.lag, F.lead)
+    out = out.withColumn("_near", move("_own").over(within)).withColumn("_end", F.col("_near").isNull() | other("_own").over(within).isNull())
+    out = out.withColumn("_part", F.when(F.col("_end"), ENDS).otherwise(F.col("_chunk")))
+    across = Window.partitionBy(key, "_part").orderBy(order)
+    return out.withColumn(name, F.coalesce("_near", move("_own").over(across))["v"]).drop("_chunk", "_own", "_near", "_end", "_part")
 
 
 def running(df: DataFrame, name: str, value: Column, key: str = "series_id", order: str = "ts_ns", chunk: int = CHUNK) -> DataFrame:
@@ -39,13 +45,34 @@ def running(df: DataFrame, name: str, value: Column, key: str = "series_id", ord
     return out.join(before, [key, "_chunk"]).withColumn(name, own + F.col("_before")).drop("_chunk", "_own", "_before")
 
 
-def runs(df: DataFrame, flag: Column, *aggregates: Column, key: str = "series_id", order: str = "ts_ns", chunk: int = CHUNK) -> DataFrame:
-    """One row for each maximal run of rows where ``flag`` holds: ``first_ts``, ``last_ts``, ``n`` and
-    the given aggregates. Null flags are false. Other columns of ``df`` feed the aggregates."""
-    marked = neighbour(df.withColumn("_flag", F.coalesce(flag, F.lit(False))), "_was", F.col("_flag"), key=key, order=order, chunk=chunk)
-    starts = F.when(F.col("_flag") & ~F.coalesce("_was", F.lit(False)), 1).otherwise(0)
-    numbered = running(marked, "_run", starts, key=key, order=order, chunk=chunk).where("_flag")
-    return numbered.groupBy(key, "_run").agg(F.min(order).alias("first_ts"), F.max(order).alias("last_ts"), F.count("*").alias("n"), *aggregates).drop("_run")
+def runs(df: DataFrame, flag: Column, key: str = "series_id", order: str = "ts_ns", chunk: int = CHUNK, least: Column | None = None, first: Column | None = None) -> DataFrame:
+    """One row for each maximal run of rows where ``flag`` holds: ``first_ts``, ``last_ts``, ``next_ts`` (the time
+    of the row after the run, if any), ``n``, and ``least``/``first``, the least and the first of the given columns.
+    Null flags are false.
+
+    Stretches of one flag are found within chunks. Those at either end of a chunk, flagged or not, then meet in
+    a second window, a few rows a chunk, where runs over a chunk's bounds are joined."""
+    out, within, _ = _chunked(df.withColumn("_flag", F.coalesce(flag, F.lit(False))).withColumn("_least", F.lit(None).cast("double") if least is None else least).withColumn("_first", F.lit(None).cast("double") if first is None else first), key, order, chunk)
+    out = out.withColumn("_turn", F.when(F.lag("_flag").over(within) == F.col("_flag"), 0).otherwise(1)).withColumn("_ahead", F.lead(order).over(within))
+    out = out.withColumn("_stretch", F.sum("_turn").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = out.groupBy(key, "_chunk", "_stretch").agg(
+        F.first("_flag").alias("_flag"),
+        F.min(order).alias("_from"),
+        F.max(order).alias("_to"),
+        F.count("*").alias("_n"),
+        F.max("_ahead").alias("_ahead"),
+        F.bool_or(F.col("_ahead").isNull()).alias("_tail"),
+        F.min("_least").alias("_least"),
+        F.min_by("_first", order).alias("_first"),
+    )
+    end = F.col("_tail") | (F.col("_stretch") == 1)
+    parts = parts.where(F.col("_flag") | end).withColumn("_part", F.when(end, ENDS).otherwise(F.col("_chunk")))
+    across = Window.partitionBy(key, "_part").orderBy("_from")
+    joined = end & F.lag("_flag").over(across) & F.col("_flag") & (F.lag("_chunk").over(across) != F.col("_chunk"))
+    parts = parts.withColumn("_new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).withColumn("_follows", F.when(F.col("_tail"), F.lead("_from").over(across)).otherwise(F.col("_ahead")))
+    parts = parts.withColumn("_run", F.sum("_new").over(across.rowsBetween(Window.unboundedPreceding, 0))).where("_flag")
+    found = parts.groupBy(key, "_part", "_run").agg(F.min("_from").alias("first_ts"), F.max("_to").alias("last_ts"), F.max_by("_follows", "_to").alias("next_ts"), F.sum("_n").alias("n"), F.min("_least").alias("least"), F.min_by("_first", "_from").alias("first"))
+    return found.drop("_part", "_run", *[c for c, x in (("least", least), ("first", first)) if x is None])
 
 
 def merged(spans: DataFrame, key: list[str], start: str = "start_ns", end: str = "end_ns", gap: int = 0, inclusive: bool = True) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import meaning, times
 from tideline.functions.times import DAY, HOUR, MIN, SEC
-from tideline.operators import charts, checks, groups, kernels, lifecycle, normalize, ranks, scores, seasonal, sequence
+from tideline.operators import charts, checks, group_rules, groups, kernels, lifecycle, normalize, profiles, ranks, scores, seasonal, sequence, tables
 from tideline.plans import registry
 from tideline.sources import files, store
 
@@ -255,13 +255,24 @@ def check_non_negative(spark, sf):
 SEGS = f"{OBS}, {NORM}, {GOOD}, {WIN}, seg AS (SELECT g.*, (g.ts_ns - w_start) // {DAY} AS segment FROM good g JOIN win USING (series_id))"
 
 
-@query(f"""WITH o AS (SELECT event_type AS series_id, event_id AS seq, epoch_us(ts)*1000 AS ts_ns, CASE WHEN extract(day FROM ts) IN (7, 8) THEN value * 10 ELSE value END AS value FROM events), norm AS (SELECT *, 0 AS quality FROM o QUALIFY row_number() OVER (PARTITION BY series_id, ts_ns ORDER BY seq) = 1), {GOOD}, {WIN}, seg AS (SELECT g.*, (g.ts_ns - w_start) // {DAY} AS segment FROM good g JOIN win USING (series_id)),
+SHIFTED = "CASE extract(day FROM ts) WHEN 7 THEN value * 10 WHEN 9 THEN value * 100 WHEN 11 THEN value * 1000 WHEN 13 THEN value / 10 WHEN 15 THEN value / 100 WHEN 17 THEN value / 1000 WHEN 19 THEN value * 1.8 + 32 WHEN 21 THEN (value - 32) / 1.8 ELSE value END"
+
+
+@query(f"""WITH o AS (SELECT event_type AS series_id, event_id AS seq, epoch_us(ts)*1000 AS ts_ns, {SHIFTED} AS value FROM events), norm AS (SELECT *, 0 AS quality FROM o QUALIFY row_number() OVER (PARTITION BY series_id, ts_ns ORDER BY seq) = 1), {GOOD}, {WIN}, seg AS (SELECT g.*, (g.ts_ns - w_start) // {DAY} AS segment FROM good g JOIN win USING (series_id)),
  m AS (SELECT series_id, segment, {pick('value', 0.5)} AS med FROM seg GROUP BY 1, 2 HAVING count(*) >= 20), md AS (SELECT s.series_id, s.segment, any_value(m.med) AS med, {pick('abs(value - med)', 0.5)} AS mad FROM seg s JOIN m ON s.series_id = m.series_id AND s.segment = m.segment GROUP BY 1, 2),
- b AS (SELECT series_id, {pick('value', 0.5)} AS bmed FROM good GROUP BY 1), bm AS (SELECT g.series_id, any_value(bmed) AS bmed, {pick('abs(value - bmed)', 0.5)} AS bmad FROM good g JOIN b USING (series_id) GROUP BY 1)
- SELECT md.series_id, segment, round(med / bmed, 6) AS ratio, 10.0::DOUBLE AS factor FROM md JOIN bm USING (series_id) WHERE bmad > 0 AND abs(med / bmed / 10 - 1) <= 0.1 AND abs(mad / bmad / 10 - 1) <= 0.5""")
+ b AS (SELECT series_id, {pick('value', 0.5)} AS bmed FROM good GROUP BY 1), bm AS (SELECT g.series_id, any_value(bmed) AS bmed, {pick('abs(value - bmed)', 0.5)} AS bmad FROM good g JOIN b USING (series_id) GROUP BY 1),
+ x AS (SELECT md.series_id, segment, med, bmed, med / bmed AS ratio, mad / bmad AS spread FROM md JOIN bm USING (series_id) WHERE bmad > 0 AND abs(bmed) > 1e-12),
+ p AS (SELECT x.series_id, segment, arg_min(f, k) AS f FROM x, (SELECT unnest([10.0, 100.0, 1000.0, 0.1, 0.01, 0.001])::DOUBLE AS f, unnest(range(6)) AS k) WHERE abs(ratio / f - 1) <= 0.3 AND abs(spread / f - 1) <= 0.5 GROUP BY 1, 2),
+ q AS (SELECT x.series_id, x.segment, ratio, CASE WHEN p.f IS NOT NULL THEN p.f WHEN abs(med - (bmed - 32) / 1.8) / greatest(abs((bmed - 32) / 1.8), 1) <= 0.3 AND abs(spread * 1.8 - 1) <= 0.25 THEN 1 / 1.8::DOUBLE WHEN abs(med - (1.8 * bmed + 32)) / greatest(abs(1.8 * bmed + 32), 1) <= 0.3 AND abs(spread / 1.8 - 1) <= 0.25 THEN 1.8::DOUBLE END AS factor FROM x LEFT JOIN p ON x.series_id = p.series_id AND x.segment = p.segment)
+ SELECT series_id, segment, round(ratio, 6) AS ratio, round(factor, 6) AS factor FROM q WHERE factor IS NOT NULL""")
 def check_scale_shift(spark, sf):
-    x = read(spark, sf, "events").select(F.col("event_type").alias("series_id"), F.col("event_id").alias("seq"), _ns("ts").alias("ts_ns"), F.when(F.dayofmonth("ts").isin(7, 8), F.col("value") * 10).otherwise(F.col("value")).alias("value"), F.lit(0).alias("quality"))
-    return checks.scale_shift(normalize.normalized(x), DAY, 20).where("factor = 10").select("series_id", "segment", r6("ratio"), "factor")
+    day, v = F.dayofmonth("ts"), F.col("value")
+    moved = v
+    for d, x in ((7, v * 10), (9, v * 100), (11, v * 1000), (13, v / 10), (15, v / 100), (17, v / 1000), (19, v * 1.8 + 32), (21, (v - 32) / 1.8)):
+        moved = F.when(day == d, x).otherwise(moved)
+    utc(spark)
+    x = read(spark, sf, "events").select(F.col("event_type").alias("series_id"), F.col("event_id").alias("seq"), _ns("ts").alias("ts_ns"), moved.alias("value"), F.lit(0).alias("quality"))
+    return checks.scale_shift(normalize.normalized(x), DAY, 20, 0.3).select("series_id", "segment", r6("ratio"), r6("factor"))
 
 
 @query(f"WITH {OBS}, {NORM}, {RATES}, l AS (SELECT series_id, 0.5 * {pick('rate', 0.999)} AS lim FROM rates GROUP BY 1) SELECT series_id, pt AS start_ns, ts_ns AS end_ns, round(rate, 6) AS rate FROM rates JOIN l USING (series_id) WHERE rate > lim")
@@ -280,7 +291,7 @@ def check_resolution_loss(spark, sf):
     return checks.density(norm(spark, sf)).select("series_id", "segment", "n", "distinct", r6("density"), r6("base"))
 
 
-@query(f"""WITH {SEGS}, p AS (SELECT series_id, segment, (min(ts_ns) + max(ts_ns) + 1) / 2.0 / {DAY} AS day, {pick('value', 0.5)} AS med FROM seg GROUP BY 1, 2 HAVING count(*) >= 10), n AS (SELECT series_id, count(*) AS segments FROM p GROUP BY 1 HAVING count(*) >= 7)
+@query(f"""WITH {SEGS}, p AS (SELECT series_id, segment, min(ts_ns) / {DAY} AS day, {pick('value', 0.5)} AS med FROM seg GROUP BY 1, 2 HAVING count(*) >= 10), n AS (SELECT series_id, count(*) AS segments FROM p GROUP BY 1 HAVING count(*) >= 7)
  SELECT a.series_id, round({pick('(b.med - a.med) / (b.day - a.day)', 0.5)}, 6) AS slope_per_day, CAST(any_value(segments) AS INTEGER) AS segments FROM p a JOIN p b ON a.series_id = b.series_id AND a.segment < b.segment JOIN n ON n.series_id = a.series_id GROUP BY 1""")
 def check_level_drift(spark, sf):
     return checks.level_drift(norm(spark, sf)).select("series_id", r6("slope_per_day"), "segments")
@@ -288,9 +299,10 @@ def check_level_drift(spark, sf):
 
 @query(f"""WITH {OBS}, {NORM}, {GOOD}, {WIN}, seg AS (SELECT g.*, (g.ts_ns - w_start) // {3 * DAY} AS segment FROM good g JOIN win USING (series_id)), g0 AS (SELECT series_id, list_sort(list(value)) AS v, count(*) AS n FROM good GROUP BY 1),
  grid AS (SELECT series_id, list_transform(range(21), lambda i: v[CAST(floor((n - 1) * (i / 20.0)::DOUBLE + 0.5) AS BIGINT) + 1]) AS g FROM g0), sv AS (SELECT series_id, segment, list_sort(list(value)) AS s, count(*) AS n FROM seg GROUP BY 1, 2 HAVING count(*) >= 100),
- sr AS (SELECT sv.series_id, segment, g, list_transform(range(21), lambda i: s[CAST(floor((n - 1) * i / 20 + 0.5) AS BIGINT) + 1]) AS r FROM sv JOIN grid USING (series_id)) SELECT series_id, segment, round(list_sum(list_transform(range(1, 22), lambda i: abs(g[i] - r[i]))) / 21 / (g[16] - g[6]), 6) AS wasserstein FROM sr""")
+ sb AS (SELECT s.series_id, s.segment, b, count(*) FILTER (list_sum(list_transform([3, 5, 7, 9, 11, 13, 15, 17, 19], lambda k: (g[k] < value)::INT)) = b) / count(*) AS share FROM seg s JOIN grid USING (series_id), (SELECT unnest(range(10)) AS b) GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+ ps AS (SELECT series_id, segment, sum((greatest(share, 1e-4) - 0.1) * ln(greatest(share, 1e-4) / 0.1)) AS psi FROM sb GROUP BY 1, 2), sr AS (SELECT sv.series_id, segment, g, list_transform(range(21), lambda i: s[CAST(floor((n - 1) * i / 20 + 0.5) AS BIGINT) + 1]) AS r FROM sv JOIN grid USING (series_id)) SELECT sr.series_id, sr.segment, round(list_sum(list_transform(range(1, 22), lambda i: abs(g[i] - r[i]))) / 21 / (g[16] - g[6]), 6) AS wasserstein, round(ps.psi, 6) AS psi FROM sr JOIN ps ON ps.series_id = sr.series_id AND ps.segment = sr.segment""")
 def check_distribution_drift(spark, sf):
-    return checks.distribution_drift(norm(spark, sf), 3 * DAY).select("series_id", "segment", r6("wasserstein"))
+    return checks.distribution_drift(norm(spark, sf), 3 * DAY).select("series_id", "segment", r6("wasserstein"), r6("psi"))
 
 
 @query(f"WITH {SEGS} SELECT series_id, segment, {pick('value', 0.5)} AS med, count(*) AS n FROM seg GROUP BY 1, 2")
@@ -313,7 +325,7 @@ def check_flatline(spark, sf):
     return kernels.flat_runs(norm(spark, sf), 20.0, 4)
 
 
-@query(f"""WITH {OBS}, {NORM}, v AS (SELECT *, list(value) OVER (PARTITION BY series_id ORDER BY ts_ns ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS a FROM norm WHERE value IS NOT NULL), m AS (SELECT *, {picked('a', 0.5)} AS med FROM v), d AS (SELECT *, list_transform(a, lambda x: abs(x - med)) AS o FROM m), z AS (SELECT *, abs(value - med) / greatest(1.4826 * {picked('o', 0.5)}, 0.01) AS z FROM d)
+@query(f"""WITH {OBS}, {NORM}, v0 AS (SELECT *, list(value) FILTER (value IS NOT NULL) OVER (PARTITION BY series_id ORDER BY ts_ns ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS a FROM norm), v AS (SELECT * FROM v0 WHERE value IS NOT NULL AND len(a) >= 3), m AS (SELECT *, {picked('a', 0.5)} AS med FROM v), d AS (SELECT *, list_transform(a, lambda x: abs(x - med)) AS o FROM m), z AS (SELECT *, abs(value - med) / greatest(1.4826 * {picked('o', 0.5)}, 0.01) AS z FROM d)
  SELECT series_id, ts_ns, value, med AS median, round(z, 6) AS z FROM z WHERE quality IN (0, 3) AND z > 4""")
 def check_spikes_hampel(spark, sf):
     return kernels.hampel(norm(spark, sf), 0.01).select("series_id", "ts_ns", "value", "median", r6("z"))
@@ -330,7 +342,7 @@ def align_grid(spark, sf):
 
 
 def _members(spark, sf):
-    return sorted(r[0] for r in read(spark, sf, "events").select("event_type").distinct().limit(32).collect())
+    return sorted(r[0] for r in read(spark, sf, "events").select("event_type").distinct().collect())
 
 
 def _pairs(spark, sf):
@@ -384,14 +396,14 @@ FIND = f"{GAPS}, fi AS (SELECT g.series_id, start_ns, end_ns, least(1.0, (end_ns
 
 @query(f"WITH {FIND}, x AS (SELECT series_id, least(1.0, sum((end_ns - start_ns) * round(0.6 * affected * span / (end_ns - start_ns) * 1e6) / 1e6) / any_value(span)) AS i FROM fi WHERE 0.6 * affected * span / (end_ns - start_ns) <= 0.6 GROUP BY 1), y AS (SELECT series_id, sum(0.6 * affected) AS p FROM fi WHERE 0.6 * affected * span / (end_ns - start_ns) > 0.6 GROUP BY 1), z AS (SELECT w.series_id, round(100 * (1 - least(1.0, coalesce(i, 0) + coalesce(p, 0))), 1) AS completeness FROM win w LEFT JOIN x USING (series_id) LEFT JOIN y USING (series_id)) SELECT series_id, completeness, round((completeness + 650) / 7.5, 1) AS overall FROM z")
 def score_dimensions(spark, sf):
-    x = norm(spark, sf)
-    found = checks.completeness_findings(x, 2 * HOUR)
-    return scores.score(found, checks.windows(x)).select("series_id", "completeness", "overall")
+    x = tables.written(norm(spark, sf), "rows")
+    found = tables.written(checks.completeness_findings(x, 2 * HOUR), "findings")
+    return scores.score(found, tables.written(checks.windows(x), "windows")).select("series_id", "completeness", "overall")
 
 
-@query(f"WITH {OBS}, {NORM}, s AS (SELECT series_id, ts_ns AS s, ts_ns + (seq % 7 + 1) * {HOUR} AS e, (seq % 5 + 1) / 10.0 AS w FROM norm WHERE seq % 50 = 0), b AS (SELECT DISTINCT series_id, unnest([s, e]) AS t FROM s), p AS (SELECT series_id, t, lead(t) OVER (PARTITION BY series_id ORDER BY t) AS u FROM b), o AS (SELECT p.series_id, t, u, max(w) AS w FROM p JOIN s ON p.series_id = s.series_id AND s <= t AND e >= u GROUP BY 1, 2, 3) SELECT series_id, round(sum((u - t) * w) / {DAY}, 6) AS integral FROM o GROUP BY 1")
+@query(f"WITH {OBS}, {NORM}, s AS (SELECT series_id, ts_ns AS s, ts_ns + (seq % 7 + 1) * {HOUR} AS e, (seq % 5 + 1) / 10.0 AS w FROM norm), b AS (SELECT DISTINCT series_id, unnest([s, e]) AS t FROM s), p AS (SELECT series_id, t, lead(t) OVER (PARTITION BY series_id ORDER BY t) AS u FROM b), o AS (SELECT p.series_id, t, u, max(w) AS w FROM p JOIN s ON p.series_id = s.series_id AND s <= t AND e >= u GROUP BY 1, 2, 3) SELECT series_id, round(sum((u - t) * w) / {DAY}, 6) AS integral FROM o GROUP BY 1")
 def merged_coverage(spark, sf):
-    x = norm(spark, sf).where("seq % 50 = 0").select("series_id", F.col("ts_ns").alias("s"), (F.col("ts_ns") + (F.col("seq") % 7 + 1) * HOUR).alias("e"), ((F.col("seq") % 5 + 1) / 10).alias("w"))
+    x = norm(spark, sf).select("series_id", F.col("ts_ns").alias("s"), (F.col("ts_ns") + (F.col("seq") % 7 + 1) * HOUR).alias("e"), ((F.col("seq") % 5 + 1) / 10).alias("w"))
     return scores.merged_coverage(x, ["series_id"]).select("series_id", F.round(F.col("integral") / DAY, 6).alias("integral"))
 
 
@@ -447,11 +459,11 @@ def last_write_wins(spark, sf):
     return store.last_write(orders(spark, sf).select("series_id", "ts_ns", "value", F.col("seq").alias("write_ns")))
 
 
-COVER = f"{OBS}, cov AS (SELECT series_id, ts_ns AS start_ns, ts_ns + (seq % 5 + 1) * {HOUR} AS end_ns, seq % 100 AS n_rows FROM obs WHERE seq % 20 = 0)"
+COVER = f"{OBS}, cov AS (SELECT series_id, ts_ns AS start_ns, ts_ns + (seq % 5 + 1) * {HOUR} AS end_ns, seq % 100 AS n_rows FROM obs)"
 
 
 def _cover(spark, sf):
-    return obs(spark, sf).where("seq % 20 = 0").select("series_id", F.col("ts_ns").alias("start_ns"), (F.col("ts_ns") + (F.col("seq") % 5 + 1) * HOUR).alias("end_ns"), (F.col("seq") % 100).alias("n_rows"))
+    return obs(spark, sf).select("series_id", F.col("ts_ns").alias("start_ns"), (F.col("ts_ns") + (F.col("seq") % 5 + 1) * HOUR).alias("end_ns"), (F.col("seq") % 100).alias("n_rows"))
 
 
 MISSING = f"""{COVER}, bd AS (SELECT series_id, start_ns, end_ns FROM cov WHERE end_ns > {T0} AND start_ns < {T1} UNION ALL SELECT DISTINCT series_id, {T0}, {T0} FROM cov UNION ALL SELECT DISTINCT series_id, {T1}, {T1} FROM cov),
@@ -473,7 +485,7 @@ def estimate_rows(spark, sf):
     return store.estimate_rows(_cover(spark, sf).withColumnsRenamed({"start_ns": "range_start", "end_ns": "range_end"}), T0 + DAY, T0 + 9 * DAY)
 
 
-FINDINGS = f"""fin AS (SELECT l_orderkey * 8 + l_linenumber AS id, 's' || (l_suppkey % 40) AS series_id, 'tby.c' || (l_partkey % 5) AS check_id, list_value('low', 'medium', 'high', 'critical')[l_quantity::INT % 4 + 1] AS severity, list_value('open', 'acked', 'muted', 'resolved')[l_partkey % 4 + 1] AS status,
+FINDINGS = f"""fin AS (SELECT l_orderkey * 8 + l_linenumber AS id, 's' || (l_suppkey % 40) AS series_id, '{registry.PREFIX}c' || (l_partkey % 5) AS check_id, list_value('low', 'medium', 'high', 'critical')[l_quantity::INT % 4 + 1] AS severity, list_value('open', 'acked', 'muted', 'resolved')[l_partkey % 4 + 1] AS status,
  epoch_us(l_shipdate) * 1000 AS start_ns, epoch_us(l_shipdate) * 1000 + (l_quantity::BIGINT) * {DAY} AS end_ns FROM lineitem)"""
 
 
@@ -481,7 +493,7 @@ def _findings(spark, sf):
     utc(spark)
     four = lambda xs, i: F.get(F.array(*[F.lit(x) for x in xs]), i)
     s = _ns("l_shipdate")
-    return read(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.concat(F.lit("s"), (F.col("l_suppkey") % 40).cast("string")).alias("series_id"), F.concat(F.lit("tby.c"), (F.col("l_partkey") % 5).cast("string")).alias("check_id"), four(list(meaning.SEVERITY), F.col("l_quantity").cast("int") % 4).alias("severity"), four(["open", "acked", "muted", "resolved"], (F.col("l_partkey") % 4).cast("int")).alias("status"), s.alias("start_ns"), (s + F.col("l_quantity").cast("long") * DAY).alias("end_ns"))
+    return read(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.concat(F.lit("s"), (F.col("l_suppkey") % 40).cast("string")).alias("series_id"), F.concat(F.lit(registry.PREFIX + "c"), (F.col("l_partkey") % 5).cast("string")).alias("check_id"), four(list(meaning.SEVERITY), F.col("l_quantity").cast("int") % 4).alias("severity"), four(["open", "acked", "muted", "resolved"], (F.col("l_partkey") % 4).cast("int")).alias("status"), s.alias("start_ns"), (s + F.col("l_quantity").cast("long") * DAY).alias("end_ns"))
 
 
 @query(f"WITH {FINDINGS} SELECT id, series_id, check_id, start_ns FROM fin WHERE severity IN ('high', 'critical') AND status = 'open' AND check_id ILIKE '%C3' AND starts_with(series_id, 's1') AND end_ns > {900_000_000 * SEC}")
@@ -499,9 +511,9 @@ def findings_topk_page(spark, sf):
     return lifecycle.page(_findings(spark, sf).select("start_ns", "id").distinct(), 50, (900_000_000 * SEC, 1000))
 
 
-@query(f"WITH {FINDINGS} SELECT id, series_id, start_ns FROM fin WHERE severity IN ('high', 'critical') AND check_id IN ('tby.c1', 'tby.c2')")
+@query(f"WITH {FINDINGS} SELECT id, series_id, start_ns FROM fin WHERE severity IN ('high', 'critical') AND check_id IN ('{registry.PREFIX}c1', '{registry.PREFIX}c2')")
 def alert_match(spark, sf):
-    return lifecycle.alert_matches(_findings(spark, sf), "high", ["tby.c1", "tby.c2"]).select("id", "series_id", "start_ns")
+    return lifecycle.alert_matches(_findings(spark, sf), "high", [registry.PREFIX + "c1", registry.PREFIX + "c2"]).select("id", "series_id", "start_ns")
 
 
 SCORES = "sc AS (SELECT 'c' || (o_custkey % 50) AS series_id, o_orderkey AS run_id, round(o_totalprice / 5000, 1) AS overall, epoch_us(o_orderdate) AS computed_at FROM orders)"
@@ -522,19 +534,20 @@ def score_crossing(spark, sf):
     return lifecycle.crossings(_scores(spark, sf), 20.0).select("series_id", "run_id", "overall", "before")
 
 
-@query(f"""WITH e AS (SELECT event_id AS id, 'u' || user_id AS series_id, event_type AS check_id, epoch_us(ts) * 1000 AS start_ns, epoch_us(ts) * 1000 + (event_id % 40 + 1) * {HOUR} AS end_ns FROM events), k AS (SELECT * FROM e WHERE id % 3 = 0), n AS (SELECT * FROM e WHERE id % 3 = 1),
+@query(f"""WITH k AS (SELECT event_id AS id, 'u' || user_id AS series_id, event_type AS check_id, epoch_us(ts) * 1000 AS start_ns, epoch_us(ts) * 1000 + (event_id % 40 + 1) * {HOUR} AS end_ns FROM events), n AS (SELECT id, series_id, check_id, start_ns + (id % 7 - 3) * {HOUR} AS start_ns, end_ns + (id % 5) * {HOUR} AS end_ns FROM k),
  m AS (SELECT n.id AS new_id, k.id AS known_id, k.start_ns, (least(n.end_ns, k.end_ns) - greatest(n.start_ns, k.start_ns)) / (greatest(n.end_ns, k.end_ns) - least(n.start_ns, k.start_ns)) AS iou FROM n JOIN k USING (series_id, check_id) WHERE k.start_ns < n.end_ns AND k.end_ns > n.start_ns)
  SELECT new_id, known_id, round(iou, 6) AS iou FROM m QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY iou DESC, start_ns, known_id) = 1""")
 def dedup_best_candidate(spark, sf):
     utc(spark)
-    e = read(spark, sf, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("series_id"), F.col("event_type").alias("check_id"), _ns("ts").alias("start_ns"), (_ns("ts") + (F.col("event_id") % 40 + 1) * HOUR).alias("end_ns"), lifecycle.shape(F.lit('{"b": 1, "a": 2}')).alias("shape"))
-    known = e.where("id % 3 = 0").withColumns({"status": F.lit("open"), "first_run": F.lit("r1")})
-    return lifecycle.candidates(known, e.where("id % 3 = 1").withColumn("run_id", F.lit("r2"))).select("new_id", "known_id", r6("iou"))
+    i = F.col("event_id")
+    known = read(spark, sf, "events").select(i.alias("id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("series_id"), F.col("event_type").alias("check_id"), _ns("ts").alias("start_ns"), (_ns("ts") + (i % 40 + 1) * HOUR).alias("end_ns"), lifecycle.shape(F.lit('{"b": 1, "a": 2}')).alias("shape"), F.lit("open").alias("status"), F.lit("r1").alias("first_run"), F.lit(None).cast("string").alias("group_id"), F.lit(None).cast("string").alias("partner"))
+    new = known.withColumn("start_ns", F.col("start_ns") + (F.col("id") % 7 - 3) * HOUR).withColumn("end_ns", F.col("end_ns") + (F.col("id") % 5) * HOUR).withColumn("run_id", F.lit("r2"))
+    return lifecycle.candidates(known, new).select("new_id", "known_id", r6("iou"))
 
 
-@query(f"WITH {OBS}, {NORM}, c AS (SELECT event_type AS series_id, epoch_us(ts) * 1000 AS start_ns, epoch_us(ts) * 1000 + {9 * HOUR} AS end_ns FROM events WHERE event_id % 101 = 0) SELECT series_id, ts_ns, value FROM norm n WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.series_id = n.series_id AND n.ts_ns >= c.start_ns AND n.ts_ns < c.end_ns)")
+@query(f"WITH {OBS}, {NORM}, c AS (SELECT event_type AS series_id, CASE WHEN event_id % 101 = 0 THEN 'critical' ELSE 'high' END AS severity, epoch_us(ts) * 1000 AS start_ns, epoch_us(ts) * 1000 + {9 * HOUR} AS end_ns FROM events) SELECT series_id, ts_ns, value FROM norm n WHERE NOT EXISTS (SELECT 1 FROM c WHERE severity = 'critical' AND c.series_id = n.series_id AND n.ts_ns >= c.start_ns AND n.ts_ns < c.end_ns)")
 def baseline_exclusion_antijoin(spark, sf):
-    c = read(spark, sf, "events").where("event_id % 101 = 0").select(F.col("event_type").alias("series_id"), _ns("ts").alias("start_ns"), (_ns("ts") + 9 * HOUR).alias("end_ns"), F.lit("critical").alias("severity"), F.lit("open").alias("status"))
+    c = read(spark, sf, "events").select(F.col("event_type").alias("series_id"), _ns("ts").alias("start_ns"), (_ns("ts") + 9 * HOUR).alias("end_ns"), F.when(F.col("event_id") % 101 == 0, "critical").otherwise("high").alias("severity"), F.lit("open").alias("status"))
     return lifecycle.without_critical(norm(spark, sf), c).select("series_id", "ts_ns", "value")
 
 
@@ -584,7 +597,34 @@ def check_interpolation(spark, sf):
     return seasonal.straight_runs(norm(spark, sf), 25.0, 3)
 
 
+def _run(spark, sf):
+    """All checks over all event series; each pair is related, all are one redundant group and one balance."""
+    names = _members(spark, sf)
+    groups = [("pair", "related", n, i, 1) for i, n in enumerate(names)] + [("same", "redundant", n, i, 1) for i, n in enumerate(names)] + [("sum", "balance", n, i, 1 if i == 0 else -1) for i, n in enumerate(names)]
+    return registry.run_checks(obs(spark, sf), groups=spark.createDataFrame(groups, group_rules.GROUPS), now=T1)
+
+
 @query()
 def run_all_checks(spark, sf):
-    some = [registry.Config(f"tby.{c}") for c in ("completeness", "quality_flags", "value_type", "staleness")] + [registry.Config("tby.physical_range", {"high": 90.0})]
-    return registry.run_checks(obs(spark, sf), STEP, some)[0]
+    return _run(spark, sf).findings
+
+
+@query()
+def run_metrics(spark, sf):
+    return _run(spark, sf).metrics
+
+
+@query()
+def run_scores(spark, sf):
+    return _run(spark, sf).scores
+
+
+@query(f"""WITH {OBS}, {NORM}, {WIN}, q AS (SELECT series_id, {pick('value', 0.5)} AS median, {pick('value', 0.001)} AS q001, {pick('value', 0.999)} AS q999, count(*) AS n_finite, min(value) AS lowest, max(value) AS highest, count(DISTINCT value) AS distinct_values FROM norm WHERE value IS NOT NULL GROUP BY 1),
+ md AS (SELECT n.series_id, {pick('abs(value - median)', 0.5)} AS mad FROM norm n JOIN q USING (series_id) WHERE value IS NOT NULL GROUP BY 1), st AS (SELECT series_id, ts_ns - lag(ts_ns) OVER (PARTITION BY series_id ORDER BY ts_ns) AS step FROM norm), ia AS (SELECT series_id, {pick('step', 0.5)} AS iat_p50, {pick('step', 0.99)} AS iat_p99 FROM st WHERE step IS NOT NULL GROUP BY 1),
+ {RATES}, dm AS (SELECT series_id, {pick('diff', 0.5)} AS dm, {pick('rate', 0.999)} AS rate_p999 FROM rates GROUP BY 1), nz AS (SELECT r.series_id, any_value(rate_p999) AS rate_p999, {pick('abs(diff - dm)', 0.5)} * 1.4826 / sqrt(2.0) AS noise_sigma FROM rates r JOIN dm USING (series_id) GROUP BY 1)
+ SELECT win.series_id, w_start, w_end, n, n_finite, lowest, highest, distinct_values, median, q001, q999, round(mad, 6) AS mad, iat_p50, iat_p99, round(rate_p999, 6) AS rate_p999, round(noise_sigma, 6) AS noise_sigma FROM win JOIN q USING (series_id) JOIN md USING (series_id) JOIN ia USING (series_id) JOIN nz USING (series_id)""")
+def series_profile(spark, sf):
+    meta = spark.createDataFrame([(s, STEP) for s in _members(spark, sf)], "series_id string, interval_ns long")
+    known = spark.createDataFrame([], profiles.META).unionByName(meta, allowMissingColumns=True)
+    p = profiles.profile(tables.written(profiles.beside(norm(spark, sf)), "rows"), known)
+    return p.select("series_id", "w_start", "w_end", "n", "n_finite", "lowest", "highest", "distinct_values", "median", "q001", "q999", r6("mad"), "iat_p50", "iat_p99", r6("rate_p999"), r6("noise_sigma"))

@@ -1,23 +1,26 @@
-"""Checks by name with their parameters, and runs of several checks over all series at once."""
+"""Checks by name with their parameters, and runs of several checks over all series and groups at once."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 from inspect import signature
-from typing import Any
+from typing import Any, NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators import checks, kernels, normalize, scores
+from tideline.operators import checks, group_rules, normalize, profiles, rules, scores
+from tideline.operators.checks import PREFIX
+from tideline.operators.tables import written
 
 FINDING = "check_id string, series_id string, dimension string, severity string, start_ns long, end_ns long, affected double, evidence string"
+METRIC = "check_id string, series_id string, name string, ts_ns long, value double"
+SKIPPED = "check_id string, series_id string, reason string"
 
 
 @dataclass(frozen=True)
 class Config:
-    """A check to run; ``params`` are those of its plan."""
+    """A check to run, with parameters of its rule; those that are None are left at their defaults."""
 
     id: str
     params: dict[str, Any] = field(default_factory=dict)
@@ -26,81 +29,26 @@ class Config:
 
 @dataclass(frozen=True)
 class Check:
-    """A plan of ``(obs, norm, interval, **params)`` to spans, and how they become findings. ``share`` is
-    what a span affects: part of the rows (``n``), of the window, or all of it."""
+    """A rule, and the dimension and usual severity of its findings. Rules of groups take the groups too."""
 
     id: str
     dimension: str
     severity: str
-    plan: Callable[..., DataFrame]
-    share: str
-    evidence: tuple[str, ...]
+    rule: Any
+    groups: bool
 
     def params(self) -> dict[str, Any]:
-        return {k: p.default for k, p in list(signature(self.plan).parameters.items())[3:]}
+        return {k: p.default for k, p in list(signature(self.rule).parameters.items())[2 if self.groups else 1 :]}
 
 
-def _physical(obs, norm, interval, low=None, high=None):
-    return checks.physical_range(norm, low, high, interval)
+class Result(NamedTuple):
+    findings: DataFrame
+    metrics: DataFrame
+    skipped: DataFrame
+    scores: DataFrame
 
 
-def _operational(obs, norm, interval, k=1.0):
-    return checks.operational_range(norm, checks.band(norm, k), interval)
-
-
-def _flat(obs, norm, interval, atol=0.0, least=10):
-    return kernels.flat_runs(norm, atol, least).withColumnsRenamed({"first_ts": "start_ns"}).withColumn("end_ns", F.col("last_ts") + interval)
-
-
-def _spikes(obs, norm, interval, floor=1e-9, limit=4.0):
-    return kernels.hampel(norm, floor, limit=limit).withColumn("start_ns", F.col("ts_ns")).withColumn("end_ns", F.col("ts_ns") + 1).withColumn("n", F.lit(1))
-
-
-def _whole(norm: DataFrame, figures: DataFrame, when) -> DataFrame:
-    return figures.where(when).join(checks.windows(norm).select("series_id", F.col("w_start").alias("start_ns"), F.col("w_end").alias("end_ns")), "series_id")
-
-
-def _stale(obs, norm, interval):
-    found = checks.staleness(obs, norm.agg(F.max("ts_ns")).first()[0] or 0, interval).where("stale")
-    return found.withColumn("start_ns", F.col("newest")).withColumn("end_ns", F.col("newest") + F.col("age_ns"))
-
-
-def _late(obs, norm, interval):
-    return _whole(norm, checks.latency(obs, 2 * interval), F.col("p95_ns") > 2 * interval).withColumnRenamed("late", "n")
-
-
-def _integrity(obs, norm, interval):
-    return _whole(norm, checks.timestamp_integrity(obs), F.col("conflicting") + F.col("out_of_order") > 0).withColumn("n", F.col("conflicting") + F.col("out_of_order"))
-
-
-def _regular(obs, norm, interval, least=0.9):
-    return _whole(norm, checks.regularity(norm, interval), F.col("regular") < least * F.col("steps")).withColumn("n", F.col("steps") - F.col("regular"))
-
-
-def _drift(obs, norm, interval, least=1.0):
-    return checks.distribution_drift(norm).where(F.greatest(F.col("psi") / 0.25, F.col("wasserstein") / 0.10) >= least)
-
-
-REGISTRY = {
-    c.id: c
-    for c in (
-        Check("tby.completeness", "completeness", "high", lambda obs, norm, interval: checks.gaps(norm, interval), "window", ("start_ns", "end_ns")),
-        Check("tby.staleness", "timeliness", "high", _stale, "window", ("newest", "age_ns")),
-        Check("tby.latency", "timeliness", "medium", _late, "rows", ("p50_ns", "p95_ns", "n")),
-        Check("tby.timestamp_integrity", "integrity", "high", _integrity, "rows", ("out_of_order", "exact", "conflicting")),
-        Check("tby.sampling_regularity", "integrity", "medium", _regular, "rows", ("steps", "regular")),
-        Check("tby.quality_flags", "validity", "high", lambda obs, norm, interval: checks.quality_flags(norm, interval), "rows", ("quality", "n", "share")),
-        Check("tby.value_type", "validity", "high", lambda obs, norm, interval, most=0.01: checks.value_type(norm, interval, most), "rows", ("kind", "n")),
-        Check("tby.flatline", "plausibility", "high", _flat, "window", ("value", "n")),
-        Check("tby.physical_range", "validity", "critical", _physical, "window", ("n_merged",)),
-        Check("tby.operational_range", "plausibility", "medium", _operational, "rows", ("n",)),
-        Check("tby.non_negative", "validity", "high", lambda obs, norm, interval, tolerance=0.0: checks.negative(norm, interval, tolerance), "rows", ("n", "least")),
-        Check("tby.scale_shift", "validity", "critical", lambda obs, norm, interval: checks.scale_shift(norm), "window", ("ratio", "factor")),
-        Check("tby.spikes", "plausibility", "medium", _spikes, "rows", ("value", "median", "z")),
-        Check("tby.rate_of_change", "plausibility", "medium", lambda obs, norm, interval, factor=3.0: checks.rate_of_change(norm, interval, factor).withColumn("n", F.lit(1)), "rows", ("rate", "limit")),
-        Check("tby.distribution_drift", "plausibility", "medium", _drift, "window", ("psi", "wasserstein")),
-    )
-}
+REGISTRY = {PREFIX + name: Check(PREFIX + name, dimension, severity, rule, own is group_rules.RULES) for own in (rules.RULES, group_rules.RULES) for name, (dimension, severity, rule) in own.items()}
 
 
 def validate(configs: list[Config]) -> None:
@@ -113,22 +61,46 @@ def validate(configs: list[Config]) -> None:
 
 
 def catalogue() -> list[dict[str, Any]]:
-    return [{"id": c.id, "dimension": c.dimension, "severity": c.severity, "params": c.params()} for c in REGISTRY.values()]
+    return [{"id": c.id, "dimension": c.dimension, "severity": c.severity, "groups": c.groups, "params": c.params()} for c in REGISTRY.values()]
+
 
+def run_checks(obs: DataFrame, configs: list[Config] | None = None, meta: DataFrame | None = None, groups: DataFrame | None = None, now: int | None = None) -> Result:
+    """``(findings, metrics, skipped, scores)`` of all series of ``obs``, each one table that is written once. ``meta`` (as of
+    ``profiles.META``) tells what is known of series, ``groups`` (as of ``group_rules.GROUPS``) which belong together,
+    ``now`` the time that series are stale by (staleness is not judged without).
 
-def run_checks(obs: DataFrame, interval: int, configs: list[Config] | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(findings, scores)`` of all series of ``obs``. ``obs`` and its normalised rows are read by every
-    check; a caller with costly input passes a written table."""
+    The source is read for the deliveries' own checks and to normalise it; rows with the row before and profiles are
+    written once, and all other checks read these. Empty input gives empty results."""
     configs = [Config(i) for i in REGISTRY] if configs is None else configs
     validate(configs)
-    norm = normalize.normalized(obs)
-    window = checks.windows(norm)
-    found = obs.sparkSession.createDataFrame([], FINDING)
+    spark = obs.sparkSession
+    near = written(profiles.beside(normalize.normalized(obs)), "rows")
+    prof = written(profiles.profile(near, meta), "profiles")
+    run = rules.Run(obs, near, prof, now or 0)
+    members = spark.createDataFrame([], group_rules.GROUPS) if groups is None else groups
+    found, metrics, skipped = (spark.createDataFrame([], schema) for schema in (FINDING, METRIC, SKIPPED))
     for c in configs:
-        if not c.enabled:
-            continue
         check = REGISTRY[c.id]
-        spans = check.plan(obs, norm, interval, **c.params).join(window.withColumnRenamed("n", "rows"), "series_id")
-        affected = F.col("n") / F.col("rows") if check.share == "rows" else checks.overlap(F.col("start_ns"), F.col("end_ns"))
-        found = found.unionByName(checks.finding(spans, c.id.removeprefix(checks.PREFIX), check.dimension, check.severity, affected, check.evidence))
-    return found, scores.score(found, window)
+        if not c.enabled or check.groups and groups is None:
+            continue
+        if c.id == PREFIX + "staleness" and now is None:
+            skipped = skipped.unionByName(prof.select(F.lit(c.id).alias("check_id"), "series_id", F.lit("no time is given").alias("reason")))
+            continue
+        own = {k: v for k, v in c.params.items() if v is not None}
+        out = check.rule(run, members, **own) if check.groups else check.rule(run, **own)
+        tag = lambda df: df.withColumn("check_id", F.lit(c.id))  # noqa: B023, E731
+        if out.findings is not None:
+            found = found.unionByName(tag(out.findings).withColumn("dimension", F.lit(check.dimension)).select(*found.columns))
+        if out.metrics is not None:
+            metrics = metrics.unionByName(tag(out.metrics).select(*metrics.columns))
+        if out.skipped is not None:
+            skipped = skipped.unionByName(tag(out.skipped).select(*skipped.columns))
+    found, metrics = written(found, "findings"), written(metrics, "metrics")
+    window = prof.select("series_id", "w_start", "w_end")
+    return Result(found, metrics, skipped, scores.score(found, window))
+
+
+def last_metrics(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Metrics by check, series, name and time: the newer run's value where both have one."""
+    key = ["check_id", "series_id", "name", "ts_ns"]
+    return new.unionByName(old.join(new.select(*key).distinct(), key, "left_anti"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tideline.functions.meaning import quality_of_text
 from tideline.functions.times import epoch_unit
 
+#: Texts that stand for a missing number.
 NULLS = ("", "NA", "NaN", "nan", "null")
 
 
