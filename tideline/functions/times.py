@@ -39,9 +39,9 @@ def format_duration(ns: int) -> str:
 
 
 def floor_div(x: Column, by: Column | int) -> Column:
-    """Whole quotient rounded down, also below zero."""
+    """Whole quotient rounded down, also below zero and at the ends of a bigint."""
     by = F.lit(by) if isinstance(by, int) else by
-    return F.call_function("div", x - F.pmod(x, by), by)
+    return F.call_function("div", x, by) - F.when((x < 0) & (F.pmod(x, by) != 0), 1).otherwise(0)
 
 
 def plus(ts_ns: Column, by: Column | int) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.meaning import BAD, ESTIMATED, finite, usable
+from tideline.functions.times import since
 from tideline.operators.sequence import neighbour, running
 
 
@@ -19,7 +20,10 @@ def bins(norm: DataFrame, start: int, end: int, n: int) -> DataFrame:
 def m4(norm: DataFrame, start: int, end: int, n: int) -> DataFrame:
     """``(series_id, bin, ts_ns, value)``: the first, lowest, highest and last finite value of each bin;
     equal values count at their earliest time."""
-    own = bins(norm.where(finite(F.col("value"))), start, end, n)
+    return _extremes(bins(norm.where(finite(F.col("value"))), start, end, n))
+
+
+def _extremes(own: DataFrame) -> DataFrame:
     at = F.struct("ts_ns", "value")
     # the earliest of equal values: the order's second part is the time, turned round for the highest
     picks = own.groupBy("series_id", "bin").agg(
@@ -31,10 +35,48 @@ def m4(norm: DataFrame, start: int, end: int, n: int) -> DataFrame:
     return picks.select("series_id", "bin", F.explode(F.array_distinct(F.array("first", "low", "high", "last"))).alias("p")).select("series_id", "bin", "p.*")
 
 
-def gap_breaks(points: DataFrame, most: int) -> DataFrame:
-    """Adds a null value 1 ns after each point that the next one follows by more than ``most``."""
-    ahead = neighbour(points.select("series_id", "ts_ns", "value"), "_next", F.col("ts_ns"), after=True)
-    broken = (F.col("_next") - F.col("ts_ns") > most) & F.col("value").isNotNull()
+def m4_extent(norm: DataFrame, n: int) -> DataFrame:
+    """``(series_id, bin, ts_ns, value)``: as ``m4`` over the extent of each series' own finite values, of which the last
+    bin takes the rest. Series of up to ``4 n`` values are left as they are, in bin 0."""
+    values = norm.where(finite(F.col("value"))).select("series_id", "ts_ns", "value")
+    extent = values.groupBy("series_id").agg(F.min("ts_ns").alias("_lo"), F.max("ts_ns").alias("_hi"), F.count("*").alias("_n"))
+    width = F.greatest(F.lit(1), F.call_function("div", since(F.col("_lo"), F.col("_hi")), F.lit(n)))
+    place = F.least(F.lit(n - 1), F.call_function("div", since(F.col("_lo"), F.col("ts_ns")), width))
+    own = values.join(extent, "series_id").withColumn("bin", F.when(F.col("_n") <= 4 * n, 0).otherwise(place).cast("long"))
+    few = own.where(F.col("_n") <= 4 * n).select("series_id", "bin", "ts_ns", "value")
+    return few.unionByName(_extremes(own.where(F.col("_n") > 4 * n)))
+
+
+def chart(norm: DataFrame, start: int, end: int, n: int, intervals: DataFrame) -> DataFrame:
+    """``(series_id, ts_ns, value)``: the extremes of ``n`` bins of ``[start, end)``, with a null where two points are further
+    apart than two bins or three intervals of ``intervals (series_id, interval)``."""
+    step = F.greatest(F.lit(2 * max(1, (end - start) // n)), 3 * F.coalesce("interval", F.lit(0)))
+    return gap_breaks(m4(norm, start, end, n).join(intervals.select("series_id", step.alias("_step")), "series_id"), F.col("_step"))
+
+
+def compare(norm: DataFrame, start: int, end: int, n: int, intervals: DataFrame) -> DataFrame:
+    """The points of `chart` with the figures of each series' good values in the window, by which they can be brought to
+    one scale: ``(series_id, ts_ns, value, range01, z, index100)``."""
+    own = norm.where((F.col("ts_ns") >= start) & (F.col("ts_ns") < end))
+    return normalise(chart(norm, start, end, n, intervals), window_stats(own))
+
+
+def residual_chart(residuals: DataFrame, grid: int, start: int, end: int, n: int, low: float = -0.01, high: float = 0.05) -> DataFrame:
+    """``(ts_ns, value, band_low, band_high)``: the extremes of ``residuals (bin, residual, sum_in)`` in ``n`` bins of
+    ``[start, end)``, each with the loss band of its own time; all are null between points over two bins or grid steps
+    apart."""
+    base = F.greatest(F.lit(0.0), F.col("sum_in"))
+    rows = residuals.select(F.lit("residual").alias("series_id"), F.greatest(F.col("bin") * grid, F.lit(start)).alias("ts_ns"), F.col("residual").alias("value"), (low * base).alias("band_low"), (high * base).alias("band_high"))
+    points = gap_breaks(m4(rows, start, end, n), F.lit(max(2 * max(1, (end - start) // n), 2 * grid)))
+    band = rows.select("ts_ns", "band_low", "band_high").dropDuplicates(["ts_ns"])
+    return points.join(band, "ts_ns", "left").select("ts_ns", "value", *[F.when(F.col("value").isNotNull(), F.col(c)).alias(c) for c in ("band_low", "band_high")])
+
+
+def gap_breaks(points: DataFrame, most: Column | int) -> DataFrame:
+    """Adds a null value 1 ns after each point that the next one follows by more than ``most``, which may be a column."""
+    limit = F.lit(most) if isinstance(most, int) else most
+    ahead = neighbour(points.select("series_id", "ts_ns", "value", limit.alias("_most")), "_next", F.col("ts_ns"), after=True)
+    broken = (since(F.col("ts_ns"), F.col("_next")) > F.col("_most")) & F.col("value").isNotNull()
     own, extra = F.struct("ts_ns", "value"), F.struct((F.col("ts_ns") + 1).alias("ts_ns"), F.lit(None).cast("double").alias("value"))
     return ahead.select("series_id", F.explode(F.when(broken, F.array(own, extra)).otherwise(F.array(own))).alias("p")).select("series_id", "p.*")
 
@@ -57,13 +99,25 @@ def window_stats(norm: DataFrame) -> DataFrame:
 
 
 def normalise(values: DataFrame, stats: DataFrame) -> DataFrame:
-    """Adds ``range01``, ``z`` and ``index100`` from each series' own figures; null where they refuse."""
+    """Adds ``range01``, ``z`` and ``index100`` from each series' own figures; null where they refuse (``refusals``)."""
     both = values.join(stats, "series_id")
     over = lambda a, b: F.try_divide(a, F.when(b != 0, b))
     v = F.col("value")
     return both.select("series_id", "ts_ns", "value", over(v - F.col("low"), F.col("high") - F.col("low")).alias("range01"), over(v - F.col("mean"), F.col("sd")).alias("z"), over(v * 100, F.col("first")).alias("index100"))
 
 
+def refusals(stats: DataFrame) -> DataFrame:
+    """``(series_id, mode, reason)``: the scales that a series can't be brought to."""
+    flat, zero = F.col("high") == F.col("low"), F.col("first") == 0
+    modes = F.array(*[F.struct(F.lit(m).alias("mode"), F.when(c, r).alias("reason")) for m, c, r in (("range", flat, "constant in the window"), ("z", F.col("sd") == 0, "constant in the window"), ("index", zero, "the first value is zero"))])
+    return stats.select("series_id", F.explode(modes).alias("m")).select("series_id", "m.*").where("reason is not null")
+
+
+def quality_counts(norm: DataFrame, start: int, end: int) -> DataFrame:
+    """``(series_id, quality, n)`` of the rows in ``[start, end)``."""
+    return norm.where((F.col("ts_ns") >= start) & (F.col("ts_ns") < end)).groupBy("series_id", "quality").agg(F.count("*").alias("n"))
+
+
 def bin_table(norm: DataFrame, start: int, end: int, n: int) -> DataFrame:
     return bins(norm.where(finite(F.col("value"))), start, end, n).groupBy("series_id", "bin").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
 

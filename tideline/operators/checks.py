@@ -60,7 +60,7 @@ def completeness(norm: DataFrame, interval: int) -> DataFrame:
     """``(series_id, present, expected, completeness)``."""
     good = good_values(norm).groupBy("series_id").agg(F.count("*").alias("present"))
     out = windows(norm).join(good, "series_id", "left").withColumn("present", F.coalesce("present", F.lit(0)))
-    out = out.withColumn("expected", F.greatest(F.lit(1), F.floor((F.col("w_end") - F.col("w_start")) / interval + 0.5)))
+    out = out.withColumn("expected", F.greatest(F.lit(1), F.floor(since(F.col("w_start"), F.col("w_end")) / interval + 0.5)))
     return out.select("series_id", "present", "expected", F.least(F.lit(1.0), F.col("present") / F.col("expected")).alias("completeness"))
 
 
@@ -203,7 +203,7 @@ def scale_shift(norm: DataFrame, width: int = DAY, least: int = 30, tolerance: f
 def rates(norm: DataFrame, interval: int) -> DataFrame:
     """``(…, diff, dt, rate)`` of each two neighbours with finite values up to three intervals apart."""
     both = neighbour(norm.withColumn("_at", F.struct("ts_ns", "value")), "before", F.col("_at")).drop("_at")
-    both = both.withColumn("dt", F.col("ts_ns") - F.col("before.ts_ns")).withColumn("diff", F.col("value") - F.col("before.value"))
+    both = both.withColumn("dt", F.try_subtract(F.col("ts_ns"), F.col("before.ts_ns"))).withColumn("diff", F.col("value") - F.col("before.value"))
     ok = (F.col("dt") > 0) & (F.col("dt") <= 3 * interval) & finite(F.col("value")) & finite(F.col("before.value"))
     return both.where(ok).withColumn("rate", F.abs("diff") / (F.col("dt") / SEC)).drop("before")
 
@@ -253,9 +253,9 @@ def density(norm: DataFrame, width: int = DAY, least: int = 50) -> DataFrame:
 def level_drift(norm: DataFrame, width: int = DAY, least: int = 10, segments_least: int = 7, most: int = 400) -> DataFrame:
     """``(series_id, slope_per_day, segments)``: the median of the slopes of all pairs of segment medians (at their first rows);
     segments are widened so that a series has at most ``most``."""
-    extent = windows(norm).select("series_id", F.greatest(F.lit(width), F.ceil((F.col("w_end") - F.col("w_start")) / most)).alias("width"), "w_start")
-    good = good_values(norm).join(extent, "series_id").withColumn("segment", F.expr("(ts_ns - w_start) div width"))
-    seg = good.groupBy("series_id", "segment").agg(F.collect_list("value").alias("vals"), ((F.min("ts_ns") - F.first("w_start")) / DAY).alias("day")).where(F.size("vals") >= least)
+    extent = windows(norm).select("series_id", F.greatest(F.lit(width), F.ceil(since(F.col("w_start"), F.col("w_end")) / most)).alias("width"), "w_start")
+    good = good_values(norm).join(extent, "series_id").withColumn("segment", F.call_function("div", since(F.col("w_start"), F.col("ts_ns")), F.col("width")))
+    seg = good.groupBy("series_id", "segment").agg(F.collect_list("value").alias("vals"), (since(F.first("w_start"), F.min("ts_ns")) / DAY).alias("day")).where(F.size("vals") >= least)
     seg = seg.select("series_id", F.struct("day", pick(F.col("vals"), 0.5).alias("med")).alias("p"))
     points = seg.groupBy("series_id").agg(F.array_sort(F.collect_list("p")).alias("p")).where(F.size("p") >= segments_least)
     slopes = F.flatten(F.transform("p", lambda a, i: F.transform(F.filter("p", lambda b: b["day"] > a["day"]), lambda b: (b["med"] - a["med"]) / (b["day"] - a["day"]))))

@@ -8,11 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.times import DAY, HOUR, MIN, floor_div
+from tideline.functions.times import DAY, HOUR, MIN, floor_div, since
 from tideline.operators.normalize import good_values
 from tideline.operators.checks import SIGMA
 from tideline.operators.groups import pearson
-from tideline.operators.ranks import pick
+from tideline.operators.ranks import nearest_rank, pick
 from tideline.operators.rules import Found, Run, episodes, skip, told, union
 from tideline.operators.sequence import merged
 from tideline.operators.tables import written
@@ -40,10 +40,10 @@ def _aligned(run: Run, members: DataFrame, grid: int | None) -> DataFrame:
     return rows.groupBy(*keys, "bin").agg(F.avg("value").alias("x"))
 
 
-def _window(run: Run, found: DataFrame, share: float = 1.0):
+def _window(run: Run, found: DataFrame) -> DataFrame:
     """Findings with the part of their series' window that they cover."""
-    length = F.greatest(F.lit(1), F.col("w_end") - F.col("w_start"))
-    return run.of(found, "w_start", "w_end").withColumn("covered", (F.col("end_ns") - F.col("start_ns")) / length * share)
+    length = F.greatest(F.lit(1), since(F.col("w_start"), F.col("w_end")))
+    return run.of(found, "w_start", "w_end").withColumn("covered", (F.col("end_ns") - F.col("start_ns")) / length)
 
 
 def bin_episodes(bins: DataFrame, shortest: int) -> DataFrame:
@@ -104,8 +104,6 @@ def redundant_disagreement(run: Run, groups: DataFrame, tolerance: float | None
     # the median member of an odd bin is 0 away from itself and tells nothing; of a pair both have one difference
     sizes = each.withColumn("abs", F.array_sort(F.transform("dev", lambda r: F.abs(r["d"])))).withColumn("drop", F.when((F.col("size") == 2) | (F.size("dev") % 2 == 1), 1).otherwise(0))
     pooled = sizes.select("group_id", "coarsest", F.explode(F.slice("abs", F.col("drop") + 1, F.greatest(F.lit(0), F.size("abs") - F.col("drop")))).alias("v"))
-    from tideline.operators.ranks import nearest_rank
-
     auto = nearest_rank(pooled, [0.5], "v", ["group_id", "coarsest"]).select("group_id", F.greatest(4 * SIGMA * F.col("v"), 2 * F.col("coarsest")).alias("tolerance"))
     limit = auto.withColumn("tolerance", F.lit(tolerance)) if tolerance is not None else auto
     judged = each.join(limit, "group_id").withColumn("off", F.filter("dev", lambda r: F.abs(r["d"]) > F.col("tolerance")))

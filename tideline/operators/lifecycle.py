@@ -3,6 +3,7 @@ is new and returns rows; nothing is changed in place."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -33,25 +34,37 @@ def candidates(known: DataFrame, incoming: DataFrame) -> DataFrame:
     return met.groupBy("new_id").agg(best.alias("known_id"), F.max(iou).alias("iou"))
 
 
+#: Known findings across runs.
+STATE = "id long, series_id string, check_id string, shape array<string>, group_id string, partner string, start_ns long, end_ns long, status string, first_run string, last_run string, occurrences long"
+
+
 def merge_run(known: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Known findings after a run: matched ones take the union of the windows and one more occurrence,
-    others are new. Within a series and check the run's findings are folded in order, as a window that
-    grew may match the next one. Groups are one series and check."""
-    columns = ["id", "series_id", "check_id", "shape", "start_ns", "end_ns", "status", "first_run", "last_run", "occurrences"]
-    both = known.select(*columns, F.lit(False).alias("incoming")).unionByName(
-        incoming.select("id", "series_id", "check_id", "shape", "start_ns", "end_ns", F.lit("open").alias("status"), F.col("run_id").alias("first_run"), F.col("run_id").alias("last_run"), F.lit(1).cast("long").alias("occurrences"), F.lit(True).alias("incoming"))
-    )
+    """Known findings (as of ``STATE``) after a run: matched ones take the union of the windows and one more occurrence,
+    others are new. Findings match within a series, check, evidence shape, group and partner, in order of their
+    start, as a window that grew may match the next one.
+
+    Windows that nothing connects can't match. So findings are first cut into stretches of windows that overlap
+    (as of any earlier end), and only a stretch is folded in order, in one task."""
+    columns = [f.split()[0] for f in STATE.split(", ")]
+    extra = {c: F.lit(None).cast("string") for c in ("group_id", "partner")}
+    old = known.withColumns({c: v for c, v in extra.items() if c not in known.columns}).select(*columns, F.lit(False).alias("incoming"))
+    new = incoming.withColumns({c: v for c, v in extra.items() if c not in incoming.columns})
+    new = new.select("id", "series_id", "check_id", "shape", "group_id", "partner", "start_ns", "end_ns", F.lit("open").alias("status"), F.col("run_id").alias("first_run"), F.col("run_id").alias("last_run"), F.lit(1).cast("long").alias("occurrences"), F.lit(True).alias("incoming"))
+    key = ["series_id", "check_id", "_shape", "_group", "_partner"]
+    both = old.unionByName(new).withColumns({"_shape": F.to_json("shape"), "_group": F.coalesce("group_id", F.lit("")), "_partner": F.coalesce("partner", F.lit(""))})
+    w = Window.partitionBy(*key).orderBy("start_ns", "end_ns", "id")
+    reach = F.max("end_ns").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cut = both.withColumn("_new", F.when(F.coalesce(reach > F.col("start_ns"), F.lit(False)), 0).otherwise(1)).withColumn("_stretch", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        state = rows[~rows["incoming"]].to_dict("records")
+        state = rows[~rows["incoming"]].sort_values(["start_ns", "id"]).to_dict("records")
         for new in rows[rows["incoming"]].sort_values(["start_ns", "end_ns", "id"]).to_dict("records"):
             best, best_iou = None, 0.0
-            for old in sorted(state, key=lambda o: (o["start_ns"], o["id"])):
-                same = old["status"] in ("open", "acked") and old["first_run"] != new["first_run"] and list(old["shape"]) == list(new["shape"])
+            for old in state:
                 inter = min(old["end_ns"], new["end_ns"]) - max(old["start_ns"], new["start_ns"])
-                if same and inter > 0:
+                if inter > 0 and old["status"] in ("open", "acked") and old["first_run"] != new["first_run"]:
                     iou = inter / (max(old["end_ns"], new["end_ns"]) - min(old["start_ns"], new["start_ns"]))
-                    if iou > best_iou:
+                    if iou > best_iou or iou == best_iou and best and (old["start_ns"], old["id"]) < (best["start_ns"], best["id"]):
                         best, best_iou = old, iou
             if best is None:
                 state.append(new)
@@ -59,9 +72,9 @@ def merge_run(known: DataFrame, incoming: DataFrame) -> DataFrame:
                 best["start_ns"], best["end_ns"] = min(best["start_ns"], new["start_ns"]), max(best["end_ns"], new["end_ns"])
                 best["occurrences"] += best["last_run"] != new["last_run"]
                 best["last_run"] = new["last_run"]
-        return pd.DataFrame(state, columns=[*columns, "incoming"])
+        return pd.DataFrame(state, columns=columns)
 
-    return both.groupBy("series_id", "check_id").applyInPandas(fold, both.schema).drop("incoming")
+    return cut.groupBy(*key, "_stretch").applyInPandas(fold, STATE)
 
 
 def transition(findings: DataFrame, changes: DataFrame) -> DataFrame:
@@ -112,18 +125,101 @@ def alert_matches(findings: DataFrame, least: str, checks: list[str] | None = No
 
 
 def throttle(matches: DataFrame, quiet: int) -> DataFrame:
-    """``(rule_id, due_at, items)``: matches of a rule gathered into notices at least ``quiet`` apart."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for at in rows["at"].sort_values():
-            if out and at <= out[-1][1]:
-                out[-1][2] += 1
-            else:
-                out.append([rows["rule_id"].iloc[0], max(at, out[-1][1] + quiet) if out else at, 1])
-        return pd.DataFrame(out, columns=["rule_id", "due_at", "items"])
-
-    return matches.groupBy("rule_id").applyInPandas(fold, "rule_id string, due_at long, items long")
+    """``(rule_id, due_at, items, first_at, last_at)``: matches ``(rule_id, at)`` gathered into notices at least ``quiet``
+    apart. A rule's matches stream through one task in order, with one notice held."""
+    columns = ["rule_id", "due_at", "items", "first_at", "last_at"]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list | None = None
+        for rows in batches:
+            out = []
+            for rule, at in rows[["rule_id", "at"]].itertuples(index=False):
+                if held and held[0] == rule and at <= held[1]:
+                    held[2], held[4] = held[2] + 1, at
+                    continue
+                due = max(at, held[1] + quiet) if held and held[0] == rule else at
+                if held:
+                    out.append(held)
+                held = [rule, due, 1, at, at]
+            yield pd.DataFrame(out, columns=columns)
+        if held:
+            yield pd.DataFrame([held], columns=columns)
+
+    return matches.select("rule_id", "at").repartition("rule_id").sortWithinPartitions("rule_id", "at").mapInPandas(fold, "rule_id string, due_at long, items long, first_at long, last_at long")
+
+
+def select_findings(findings: DataFrame, status: list[str] | None = None, severities: list[str] | None = None, checks: list[str] | None = None, dimensions: list[str] | None = None, series: list[str] | None = None, series_prefix: str | None = None, check_like: str | None = None, assets: list[str] | None = None, asset_prefix: str | None = None, group_id: str | None = None, partner: str | None = None, since_ns: int | None = None, until_ns: int | None = None, run_id: str | None = None) -> DataFrame:
+    """Findings that meet all the conditions given. ``check_like`` is a part of the check's id in any case, taken as it is
+    (no wildcards); the times select windows that reach into ``[since_ns, until_ns)``."""
+    for column, values in (("status", status), ("severity", severities), ("check_id", checks), ("dimension", dimensions), ("series_id", series), ("asset", assets)):
+        if values is not None:
+            findings = findings.where(F.col(column).isin(values))
+    for column, start in (("series_id", series_prefix), ("asset", asset_prefix)):
+        if start is not None:
+            findings = findings.where(F.col(column).startswith(start))
+    for column, value in (("group_id", group_id), ("partner", partner), ("last_run", run_id)):
+        if value is not None:
+            findings = findings.where(F.col(column) == value)
+    if check_like is not None:
+        findings = findings.where(F.lower("check_id").contains(check_like.lower()))
+    if since_ns is not None:
+        findings = findings.where(F.col("end_ns") > since_ns)
+    return findings if until_ns is None else findings.where(F.col("start_ns") < until_ns)
+
+
+def select_series(series: DataFrame, text: str | None = None, units: list[str] | None = None, sources: list[str] | None = None, kinds: list[str] | None = None, asset_prefix: str | None = None, has_findings: DataFrame | None = None, max_score: float | None = None) -> DataFrame:
+    """Series that meet all the conditions given. ``text`` is a part of the id or name in any case; units compare in any
+    case; ``has_findings`` keeps those with an unresolved finding."""
+    if text is not None:
+        series = series.where(F.lower("series_id").contains(text.lower()) | F.lower(F.coalesce("name", F.lit(""))).contains(text.lower()))
+    if units is not None:
+        series = series.where(F.lower("unit").isin([u.lower() for u in units]))
+    for column, values in (("source_id", sources), ("kind", kinds)):
+        if values is not None:
+            series = series.where(F.col(column).isin(values))
+    if asset_prefix is not None:
+        series = series.where(F.col("asset").startswith(asset_prefix))
+    if max_score is not None:
+        series = series.where(F.col("overall") <= max_score)
+    if has_findings is not None:
+        series = series.join(has_findings.where("status <> 'resolved'").select("series_id"), "series_id", "left_semi")
+    return series
+
+
+def bulk_change(findings: DataFrame, chosen: DataFrame, to: str, reason: str | None = None, now: int = 0, until: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(findings, outcome)`` after one change of all ``chosen (id)``; ``outcome (id, result)`` is ``changed``,
+    ``not_allowed`` or ``not_found``. Muting needs a reason and ends within 366 days."""
+    if to not in ALLOWED:
+        raise ValueError(f"no such status: {to}")
+    if to == "muted" and until is not None and not now < until <= now + 366 * DAY:
+        raise ValueError("a mute must end within 366 days")
+    changes = chosen.select("id").distinct().withColumn("to", F.lit(to)).withColumn("reason", F.lit(reason or ""))
+    after = transition(findings, changes)
+    if "muted_until" in findings.columns:
+        after = after.withColumn("muted_until", F.when(F.col("changed"), F.lit(until if to == "muted" else None).cast("long")).otherwise(F.col("muted_until")))
+    found = changes.select("id").join(after.select("id", "changed"), "id", "left")
+    return after.drop("changed"), found.select("id", F.when(F.col("changed").isNull(), "not_found").when(F.col("changed"), "changed").otherwise("not_allowed").alias("result"))
+
+
+def series_stats(scores: DataFrame, findings: DataFrame) -> DataFrame:
+    """``(series_id, overall, computed_at, runs, unresolved)``: the latest score, the runs scored and the findings open."""
+    runs = scores.groupBy("series_id").agg(F.count_distinct("run_id").alias("runs"))
+    left = findings.where("status <> 'resolved'").groupBy("series_id").agg(F.count("*").alias("unresolved"))
+    return latest(scores).join(runs, "series_id").join(left, "series_id", "left").withColumn("unresolved", F.coalesce("unresolved", F.lit(0)))
+
+
+def merge_metadata(known: DataFrame, incoming: DataFrame, key: str = "series_id") -> DataFrame:
+    """``known`` with the columns that ``incoming`` fills; its empty cells leave what is known. New rows are added."""
+    columns = [c for c in known.columns if c != key]
+    new = incoming.select(key, *[F.col(c).alias(f"_{c}") for c in columns if c in incoming.columns])
+    return known.join(new, key, "full").select(key, *[F.coalesce(f"_{c}", c).alias(c) if c in incoming.columns else F.col(c) for c in columns])
+
+
+def due_series(watched: DataFrame, now: int, most: int, lease: int) -> DataFrame:
+    """The ``most`` series that are due (``next_ns``) and that nobody holds (``leased_until``), the longest due first, with
+    their new lease: what a worker claims."""
+    free = watched.where((F.col("next_ns") <= now) & (F.col("leased_until").isNull() | (F.col("leased_until") <= now)))
+    return free.orderBy("next_ns", "series_id").limit(most).withColumn("leased_until", F.lit(now + lease))
 
 
 def without_critical(norm: DataFrame, findings: DataFrame, width: int = DAY) -> DataFrame:
@@ -144,5 +240,3 @@ def export_rows(findings: DataFrame, columns: list[str], most: int = 50_000) ->
     """Text columns for CSV, newest first; texts that a spreadsheet would run get a quote before."""
     guard = lambda c: F.when(F.col(c).cast("string").rlike("^[=+@\\-\\t\\r]"), F.concat(F.lit("'"), F.col(c).cast("string"))).otherwise(F.col(c).cast("string")).alias(c)
     return findings.orderBy(F.col("start_ns").desc(), "id").limit(most).select(*[guard(c) for c in columns])
-
-

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.meaning import finite, usable
-from tideline.functions.times import floor_div
+from tideline.functions.times import floor_div, since
 from tideline.operators.sequence import neighbour
 
 OBS = "series_id string, seq long, ts_ns long, value double, quality int, ingest_ns long"
@@ -50,7 +50,7 @@ def steps(norm: DataFrame) -> DataFrame:
 def segments(norm: DataFrame, width: int) -> DataFrame:
     """Adds ``segment``, counted from each series' first time."""
     first = norm.groupBy("series_id").agg(F.min("ts_ns").alias("_first"))
-    return norm.join(first, "series_id").withColumn("segment", F.call_function("div", F.col("ts_ns") - F.col("_first"), F.lit(width))).drop("_first")
+    return norm.join(first, "series_id").withColumn("segment", F.call_function("div", since(F.col("_first"), F.col("ts_ns")), F.lit(width))).drop("_first")
 
 
 def episodes(flagged: DataFrame, key: list[str], ordinal: str) -> DataFrame:

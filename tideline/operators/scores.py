@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.meaning import DIMENSIONS, weight
-from tideline.functions.times import DAY, floor_div
+from tideline.functions.times import DAY, floor_div, plus, since
 
 METHOD = "v2"
 
@@ -17,11 +17,11 @@ def merged_coverage(spans: DataFrame, key: list[str], width: int = DAY) -> DataF
     to the pieces of the day that it covers, so that spans meet only those of the same day."""
     own = spans.where("e > s").select(*key, "s", "e", (F.round(F.col("w") * 1e6) / 1e6).alias("w"))
     days = own.withColumn("_day", F.explode(F.sequence(floor_div(F.col("s"), width), floor_div(F.col("e") - 1, width))))
-    cut = days.select(*key, "_day", F.greatest("s", F.col("_day") * width).alias("s"), F.least(F.col("e"), (F.col("_day") + 1) * width).alias("e"), "w").groupBy(*key, "_day", "s", "e").agg(F.max("w").alias("w"))
+    cut = days.select(*key, "_day", F.greatest("s", F.try_multiply(F.col("_day"), F.lit(width))).alias("s"), F.least("e", F.try_multiply(F.col("_day") + 1, F.lit(width))).alias("e"), "w").groupBy(*key, "_day", "s", "e").agg(F.max("w").alias("w"))
     bounds = cut.select(*key, "_day", F.explode(F.array("s", "e")).alias("t")).distinct()
     pieces = bounds.withColumn("u", F.lead("t").over(Window.partitionBy(*key, "_day").orderBy("t"))).where("u is not null")
     open_ = pieces.join(cut, [*key, "_day"]).where("s <= t and e >= u").groupBy(*key, "_day", "t", "u").agg(F.max("w").alias("w"))
-    return open_.groupBy(*key).agg(F.sum((F.col("u") - F.col("t")) * F.col("w")).alias("integral"))
+    return open_.groupBy(*key).agg(F.sum(since(F.col("t"), F.col("u")) * F.col("w")).alias("integral"))
 
 
 def score(findings: DataFrame, window: DataFrame) -> DataFrame:
@@ -33,8 +33,8 @@ def score(findings: DataFrame, window: DataFrame) -> DataFrame:
     largest, and add up. The others are merged by the largest density. Dimensions without findings have
     100; validity weighs 1.5 in the mean."""
     own = findings.join(window, "series_id").where("end_ns > w_start and start_ns < w_end")
-    own = own.withColumn("weight", weight(F.col("severity"))).withColumn("impact", F.col("weight") * F.col("affected")).withColumn("span", F.greatest(F.lit(1), F.col("w_end") - F.col("w_start")))
-    own = own.withColumn("s", F.greatest("start_ns", "w_start")).withColumn("e", F.greatest(F.least("end_ns", "w_end"), F.col("s") + 1)).withColumn("w", F.col("impact") * F.col("span") / (F.col("e") - F.col("s")))
+    own = own.withColumn("weight", weight(F.col("severity"))).withColumn("impact", F.col("weight") * F.col("affected")).withColumn("span", F.greatest(F.lit(1), since(F.col("w_start"), F.col("w_end"))))
+    own = own.withColumn("s", F.greatest("start_ns", "w_start")).withColumn("e", F.greatest(F.least("end_ns", "w_end"), plus(F.col("s"), 1))).withColumn("w", F.col("impact") * F.col("span") / F.greatest(F.lit(1), since(F.col("s"), F.col("e"))))
     key = ["series_id", "dimension"]
     points = own.where("w > weight").groupBy(*key, "s", "e").agg(F.max("impact").alias("impact")).groupBy(*key).agg(F.sum("impact").alias("points"))
     spans = merged_coverage(own.where("w <= weight and w > 0").select(*key, "s", "e", "w"), key)

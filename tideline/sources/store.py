@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions.times import months_start
+from tideline.operators.normalize import normalized
 
 BUCKETS = 64
 PARTITIONS = ["layer", "source_id", "bucket", "month"]
@@ -16,8 +17,10 @@ def bucket(series):
 
 
 def write(obs: DataFrame, path: str, layer: str, source_id: str, write_ns: int) -> None:
-    """Appends; rows of a series and month lie together, sorted, so that files prune by time."""
-    rows = obs.select("series_id", "ts_ns", "value", "quality", "ingest_ns").withColumns({"write_ns": F.lit(write_ns).cast("long"), "layer": F.lit(layer), "source_id": F.lit(source_id), "bucket": bucket(F.col("series_id")), "month": months_start(F.col("ts_ns"))})
+    """Appends, one row for each time of a series (the first delivered, where there are several); rows of a series and
+    month lie together, sorted, so that files prune by time."""
+    one = normalized(obs) if "seq" in obs.columns else obs.groupBy("series_id", "ts_ns").agg(F.min(F.struct("value", "quality", "ingest_ns")).alias("x")).select("series_id", "ts_ns", "x.*")
+    rows = one.select("series_id", "ts_ns", "value", "quality", "ingest_ns").withColumns({"write_ns": F.lit(write_ns).cast("long"), "layer": F.lit(layer), "source_id": F.lit(source_id), "bucket": bucket(F.col("series_id")), "month": months_start(F.col("ts_ns"))})
     spread = rows.repartition("bucket", "month", F.expr("ts_ns div 86400000000000"))
     spread.sortWithinPartitions("bucket", "month", "series_id", "ts_ns").write.mode("append").partitionBy(*PARTITIONS).option("compression", "zstd").parquet(path)
 
@@ -39,7 +42,8 @@ def read(spark: SparkSession, path: str, layer: str, source_id: str, series: lis
 
 def record_coverage(old: DataFrame, new: DataFrame) -> DataFrame:
     """Coverage rows by (series_id, layer, range_start): the farther end, the newer row's figures."""
-    both = old.unionByName(new)
+    whole = new.withColumn("range_end", F.col("range_end") + F.pmod(-F.col("range_end"), F.lit(1000)))  # up to the microsecond
+    both = old.unionByName(whole)
     return both.groupBy("series_id", "layer", "range_start").agg(F.max("range_end").alias("range_end"), F.max_by("n_rows", "written_at").alias("n_rows"), F.max("written_at").alias("written_at"))
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tideline.functions.meaning import finite, usable
+from tideline.functions.times import SEC
 from tideline.sources import store
 
 
@@ -16,15 +20,45 @@ def read_drop(spark: SparkSession, path: str, schema: str, files_at_once: int =
 
 
 def to_store(rows: DataFrame, path: str, checkpoint: str, layer: str, source_id: str) -> StreamingQuery:
-    """Appends each batch under its own write time; a batch that runs again is written again with the
-    same one, and reading keeps the last write, so nothing counts twice."""
+    """Appends each batch under the time at which it was first written, which is kept beside the checkpoint; a batch
+    that runs again is written again under it, and reading keeps the last write, so nothing counts twice. Times
+    rise with batches, over restarts and new checkpoints, and compare with those of rows that are written directly."""
 
     def put(batch: DataFrame, number: int) -> None:
-        store.write(batch, path, layer, source_id, number)
+        store.write(batch, path, layer, source_id, _write_time(batch.sparkSession, checkpoint, number))
 
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _write_time(spark: SparkSession, checkpoint: str, number: int) -> int:
+    """The time in nanoseconds kept for a batch; the first to ask for it sets it. One small file a batch."""
+    at = f"{checkpoint.rstrip('/')}/write-times/{number}"
+    try:
+        return int(spark.read.text(at).first()[0])
+    except AnalysisException:
+        now = time.time_ns()
+        spark.createDataFrame([(str(now),)], "value string").coalesce(1).write.text(at)
+        return now
+
+
+def settled(rows: DataFrame, now: int, settle: int = 300 * SEC) -> DataFrame:
+    """Rows older than the time within which a source may still change."""
+    return rows.where(F.col("ts_ns") < now - settle)
+
+
+def merge_findings(incoming: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Folds each batch of findings into the table of known ones at ``path``: every batch writes a new version of the
+    table, ``path/<batch>``, from the last one before it, so a batch that runs again gives the same table."""
+    from tideline.operators import lifecycle
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = spark.read.schema(lifecycle.STATE).parquet(f"{path}/{number - 1}") if number else spark.createDataFrame([], lifecycle.STATE)
+        lifecycle.merge_run(known, batch).write.mode("overwrite").parquet(f"{path}/{number}")
+
+    return incoming.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def bin_counts(rows: DataFrame, late: str = "5 minutes", width: str = "1 hour") -> DataFrame:
     """Good values by window of event time (``ts`` timestamp); rows later than ``late`` are dropped."""
     good = F.count_if(usable(F.col("quality")) & finite(F.col("value")))
