@@ -169,12 +169,12 @@ def median_mad(spark, sf):
 
 
 GAPS = f"""{OBS}, {NORM}, {GOOD}, {WIN}, p AS (SELECT series_id, ts_ns FROM good UNION SELECT series_id, w_start FROM win UNION SELECT series_id, w_end FROM win),
- l AS (SELECT series_id, lag(ts_ns) OVER (PARTITION BY series_id ORDER BY ts_ns) AS start_ns, ts_ns AS end_ns FROM p), gaps AS (SELECT * FROM l WHERE end_ns - start_ns > {6 * HOUR} QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY start_ns) <= 200)"""
+ l AS (SELECT series_id, lag(ts_ns) OVER (PARTITION BY series_id ORDER BY ts_ns) AS start_ns, ts_ns AS end_ns FROM p), gaps AS (SELECT * FROM l WHERE end_ns - start_ns > {90 * MIN} QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY start_ns) <= 200)"""
 
 
 @query(f"WITH {GAPS} SELECT series_id, start_ns, end_ns FROM gaps")
 def check_completeness_gaps(spark, sf):
-    return checks.gaps(norm(spark, sf), 2 * HOUR)
+    return checks.gaps(norm(spark, sf), 30 * MIN)
 
 
 @query(f"WITH {OBS}, {NORM}, {GOOD}, {WIN} SELECT w.series_id, (SELECT count(*) FROM good g WHERE g.series_id = w.series_id) AS present, CAST(greatest(1, floor((w_end - w_start) / {STEP} + 0.5)) AS BIGINT) AS expected, round(least(1.0, (SELECT count(*) FROM good g WHERE g.series_id = w.series_id) / greatest(1, floor((w_end - w_start) / {STEP} + 0.5))), 6) AS completeness FROM win w")
@@ -397,7 +397,7 @@ FIND = f"{GAPS}, fi AS (SELECT g.series_id, start_ns, end_ns, least(1.0, (end_ns
 @query(f"WITH {FIND}, x AS (SELECT series_id, least(1.0, sum((end_ns - start_ns) * round(0.6 * affected * span / (end_ns - start_ns) * 1e6) / 1e6) / any_value(span)) AS i FROM fi WHERE 0.6 * affected * span / (end_ns - start_ns) <= 0.6 GROUP BY 1), y AS (SELECT series_id, sum(0.6 * affected) AS p FROM fi WHERE 0.6 * affected * span / (end_ns - start_ns) > 0.6 GROUP BY 1), z AS (SELECT w.series_id, round(100 * (1 - least(1.0, coalesce(i, 0) + coalesce(p, 0))), 1) AS completeness FROM win w LEFT JOIN x USING (series_id) LEFT JOIN y USING (series_id)) SELECT series_id, completeness, round((completeness + 650) / 7.5, 1) AS overall FROM z")
 def score_dimensions(spark, sf):
     x = tables.written(norm(spark, sf), "rows")
-    found = tables.written(checks.completeness_findings(x, 2 * HOUR), "findings")
+    found = tables.written(checks.completeness_findings(x, 30 * MIN), "findings")
     return scores.score(found, tables.written(checks.windows(x), "windows")).select("series_id", "completeness", "overall")
 
 
@@ -498,7 +498,8 @@ def _findings(spark, sf):
 
 @query(f"WITH {FINDINGS} SELECT id, series_id, check_id, start_ns FROM fin WHERE severity IN ('high', 'critical') AND status = 'open' AND check_id ILIKE '%C3' AND starts_with(series_id, 's1') AND end_ns > {900_000_000 * SEC}")
 def findings_filter(spark, sf):
-    return _findings(spark, sf).where(F.col("severity").isin("high", "critical") & (F.col("status") == "open") & F.col("check_id").ilike("%C3") & F.col("series_id").startswith("s1") & (F.col("end_ns") > 900_000_000 * SEC)).select("id", "series_id", "check_id", "start_ns")
+    found = lifecycle.select_findings(_findings(spark, sf), ["open"], ["high", "critical"], series_prefix="s1", check_like="C3", since_ns=900_000_000 * SEC)
+    return found.select("id", "series_id", "check_id", "start_ns")
 
 
 @query(f"WITH {FINDINGS} SELECT series_id AS key, count(*) AS n, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'critical') AS critical, max(start_ns) AS latest FROM fin GROUP BY 1 ORDER BY n DESC, key LIMIT 501")
@@ -597,8 +598,19 @@ def check_interpolation(spark, sf):
     return seasonal.straight_runs(norm(spark, sf), 25.0, 3)
 
 
+_RUNS: dict[tuple[str, str], registry.Result] = {}
+
+
 def _run(spark, sf):
-    """All checks over all event series; each pair is related, all are one redundant group and one balance."""
+    """All checks over all event series; each pair is related, all are one redundant group and one balance. A run's
+    tables are written, so three queries read one run."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _RUNS:
+        _RUNS[at] = _judge(spark, sf)
+    return _RUNS[at]
+
+
+def _judge(spark, sf):
     names = _members(spark, sf)
     groups = [("pair", "related", n, i, 1) for i, n in enumerate(names)] + [("same", "redundant", n, i, 1) for i, n in enumerate(names)] + [("sum", "balance", n, i, 1 if i == 0 else -1) for i, n in enumerate(names)]
     return registry.run_checks(obs(spark, sf), groups=spark.createDataFrame(groups, group_rules.GROUPS), now=T1)
@@ -628,3 +640,66 @@ def series_profile(spark, sf):
     known = spark.createDataFrame([], profiles.META).unionByName(meta, allowMissingColumns=True)
     p = profiles.profile(tables.written(profiles.beside(norm(spark, sf)), "rows"), known)
     return p.select("series_id", "w_start", "w_end", "n", "n_finite", "lowest", "highest", "distinct_values", "median", "q001", "q999", r6("mad"), "iat_p50", "iat_p99", r6("rate_p999"), r6("noise_sigma"))
+
+
+@query(f"""WITH {OBS}, {NORM}, v AS (SELECT * FROM norm WHERE value IS NOT NULL), x AS (SELECT series_id, min(ts_ns) AS lo, max(ts_ns) AS hi FROM v GROUP BY 1), b AS (SELECT v.series_id, ts_ns, value, least(23, (ts_ns - lo) // greatest(1, (hi - lo) // 24)) AS bin FROM v JOIN x USING (series_id)),
+ n AS (SELECT series_id, count(*) AS n FROM v GROUP BY 1), k AS (SELECT series_id, bin, unnest([min(ts_ns), arg_min(ts_ns, (value, ts_ns)), arg_max(ts_ns, (value, -ts_ns)), max(ts_ns)]) AS ts_ns FROM b GROUP BY 1, 2)
+ SELECT DISTINCT k.series_id, k.bin, k.ts_ns, v.value FROM k JOIN v ON v.series_id = k.series_id AND v.ts_ns = k.ts_ns JOIN n ON n.series_id = k.series_id WHERE n.n > 96 UNION ALL SELECT v.series_id, 0, v.ts_ns, v.value FROM v JOIN n USING (series_id) WHERE n.n <= 96""")
+def m4_extent(spark, sf):
+    return charts.m4_extent(norm(spark, sf), 24)
+
+
+CHART = f"""{BINS}, fv AS (SELECT * FROM bn WHERE value IS NOT NULL), mk AS (SELECT series_id, bin, unnest([min(ts_ns), arg_min(ts_ns, (value, ts_ns)), arg_max(ts_ns, (value, -ts_ns)), max(ts_ns)]) AS ts_ns FROM fv GROUP BY 1, 2),
+ mp AS (SELECT DISTINCT mk.series_id, mk.ts_ns, v.value FROM mk JOIN fv v ON v.series_id = mk.series_id AND v.ts_ns = mk.ts_ns), ml AS (SELECT *, lead(ts_ns) OVER (PARTITION BY series_id ORDER BY ts_ns) AS nx FROM mp),
+ ch AS (SELECT series_id, ts_ns, value FROM mp UNION ALL SELECT series_id, ts_ns + 1, NULL FROM ml WHERE nx - ts_ns > {9 * HOUR})"""
+
+
+def _intervals(spark, sf):
+    return spark.createDataFrame([(s, 3 * HOUR) for s in _members(spark, sf)], "series_id string, interval long")
+
+
+@query(f"WITH {CHART.replace('* 48 //', '* 720 //')} SELECT * FROM ch")
+def chart(spark, sf):
+    return charts.chart(norm(spark, sf), T0, T1, 720, _intervals(spark, sf))
+
+
+@query(f"""WITH {CHART.replace('* 48 //', '* 720 //')}, st AS (SELECT series_id, min(value) AS lo, max(value) AS hi, avg(value) AS m, stddev_pop(value) AS sd, arg_min(value, ts_ns) AS f FROM bn WHERE quality IN (0, 3) AND value IS NOT NULL GROUP BY 1)
+ SELECT series_id, ts_ns, value, round((value - lo) / nullif(hi - lo, 0), 6) AS range01, round((value - m) / nullif(sd, 0), 6) AS z, round(value * 100 / nullif(f, 0), 6) AS index100 FROM ch JOIN st USING (series_id)""")
+def compare_series(spark, sf):
+    return charts.compare(norm(spark, sf), T0, T1, 720, _intervals(spark, sf)).select("series_id", "ts_ns", "value", r6("range01"), r6("z"), r6("index100"))
+
+
+@query(f"""WITH {RES}, rr AS (SELECT greatest(bin * {HOUR}, {T0}) AS ts_ns, residual, sum_in, CAST((greatest(bin * {HOUR}, {T0}) - {T0})::HUGEINT * 100 // {30 * DAY} AS BIGINT) AS b FROM res WHERE bin * {HOUR} >= {T0} AND bin * {HOUR} < {T1}), k AS (SELECT b, unnest([min(ts_ns), arg_min(ts_ns, (residual, ts_ns)), arg_max(ts_ns, (residual, -ts_ns)), max(ts_ns)]) AS ts_ns FROM rr GROUP BY 1),
+ p AS (SELECT DISTINCT ts_ns, residual, sum_in FROM k JOIN rr USING (ts_ns)), l AS (SELECT *, lead(ts_ns) OVER (ORDER BY ts_ns) AS nx FROM p)
+ SELECT ts_ns, round(residual, 6) AS value, round(-0.01 * greatest(sum_in, 0), 6) AS band_low, round(0.05 * greatest(sum_in, 0), 6) AS band_high FROM p UNION ALL SELECT ts_ns + 1, NULL, NULL, NULL FROM l WHERE nx - ts_ns > {max(2 * (30 * DAY // 100), 2 * HOUR)}""")
+def residual_chart(spark, sf):
+    return charts.residual_chart(_residual(spark, sf), HOUR, T0, T1, 100).select("ts_ns", r6("value"), r6("band_low"), r6("band_high"))
+
+
+@query(f"WITH {BINS} SELECT series_id, quality, count(*) AS n FROM bn GROUP BY 1, 2")
+def quality_counts(spark, sf):
+    return charts.quality_counts(norm(spark, sf), T0, T1)
+
+
+@query(f"WITH {SCORES}, {FINDINGS}, u AS (SELECT 'c' || substr(series_id, 2) AS series_id, count(*) AS unresolved FROM fin WHERE status <> 'resolved' GROUP BY 1), r AS (SELECT series_id, count(DISTINCT run_id) AS runs FROM sc GROUP BY 1), l AS (SELECT series_id, overall, computed_at FROM sc QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY computed_at DESC, run_id DESC) = 1) SELECT l.*, runs, coalesce(unresolved, 0) AS unresolved FROM l JOIN r USING (series_id) LEFT JOIN u USING (series_id)")
+def series_stats(spark, sf):
+    found = _findings(spark, sf).withColumn("series_id", F.concat(F.lit("c"), F.substring("series_id", 2, 9)))
+    return lifecycle.series_stats(_scores(spark, sf), found)
+
+
+@query(f"WITH {FINDINGS}, c AS (SELECT DISTINCT id FROM fin WHERE severity = 'high') SELECT DISTINCT id, CASE WHEN status IN ('open', 'acked') THEN 'changed' ELSE 'not_allowed' END AS result FROM fin JOIN c USING (id)")
+def bulk_change(spark, sf):
+    return lifecycle.bulk_change(_findings(spark, sf), _findings(spark, sf).where("severity = 'high'"), "resolved")[1].distinct()
+
+
+@query(f"WITH {FINDINGS} SELECT series_id, min(start_ns) AS w_start, max(end_ns) AS w_end FROM fin GROUP BY 1")
+def union_window(spark, sf):
+    return scores.union_window(_findings(spark, sf))
+
+
+@query("WITH k AS (SELECT p_partkey AS series_id, p_brand AS unit, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS name FROM part), n AS (SELECT p_partkey + 7 AS series_id, CASE WHEN p_partkey % 2 = 0 THEN p_name END AS name FROM part) SELECT coalesce(k.series_id, n.series_id) AS series_id, unit, coalesce(n.name, k.name) AS name FROM k FULL JOIN n ON k.series_id = n.series_id")
+def merge_metadata(spark, sf):
+    p = read(spark, sf, "part")
+    known = p.select(F.col("p_partkey").alias("series_id"), F.col("p_brand").alias("unit"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).alias("name"))
+    new = p.select((F.col("p_partkey") + 7).alias("series_id"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).alias("name"))
+    return lifecycle.merge_metadata(known, new)
