@@ -35,17 +35,60 @@ BOILERPLATE_WORDS = frozenset(
 )
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
 
-#: Weights of the classifier, in hundredths, and the smoothness of neighbours and of one container.
-BIAS, IN_ARTICLE, IN_MAIN, BOILERPLATE, WORDS, CONTENT, LINKS, PER_WORD, MOST_WORDS = -120, 600, 300, -1100, -1000, 150, -400, 10, 300
-ADJACENT, CONTAINER, APART = 60, 90, 20
+#: Parts of names that say what an element lacks or is around, not what it is.
+ABOUT = frozenset("no has have with without hide is not show page single site".split())
+#: Elements whose names tell of the page and not of a block.
+WHOLE = frozenset("html body".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
+#: Weights of the classifier, in hundredths, and the smoothness of neighbours and of one container. Structure that
+#: tells little is worth less than the edges beside a block, so that a block of doubtful kind goes with those around it.
+BIAS, IN_ARTICLE, IN_MAIN, BOILERPLATE, WORDS, CONTENT, LINKS, PER_WORD, MOST_WORDS, HEADING = -90, 150, 100, -600, -600, 60, -200, 10, 300, -20
+ADJACENT, CONTAINER, APART = 110, 90, 10
+#: What a block outside an article is worth less, where the page has one.
+OUTSIDE = -450
+
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _ENDS = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 
 
+def tokens(page: str) -> Iterator[tuple[int, int, re.Match | None]]:
+    """Start, end and match (None for text) of the tags and texts of a page in order; the caller may send a place to
+    go on from. Comments and declarations are left out. A tag that never ends, as of a quote that is left open, is
+    the last to be read with quotes: from there on tags end at the next ``>``, so no part is read over and over."""
+    at, size, tag = 0, len(page), _TAG
+    while at < size:
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = size if end < 0 else end
+            yield at, end, None
+            at = end
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = size if end < 0 else end + 3
+            continue
+        if page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at)
+            at = size if end < 0 else end + 1
+            continue
+        m = tag.match(page, at)
+        if m is None and page[at + 1 : at + 2].isalpha() or m is None and page[at + 1 : at + 2] == "/" and page[at + 2 : at + 3].isalpha():
+            tag = _LOOSE
+            if page.find(">", at) < 0:
+                return
+            m = tag.match(page, at)
+        if m is None:
+            yield at, at + 1, None
+            at += 1
+            continue
+        sent = yield at, m.end(), m
+        at = m.end() if sent is None else sent
+
+
 @dataclass
 class Element:
     tag: str
@@ -77,8 +120,9 @@ def _open(tag: str, attributes: str, parent: Element | None) -> Element:
     if attributes and not attributes.isspace():
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").lower()
-            if name in ("class", "id"):
-                words = set(_WORD.findall(value))
+            if name in ("class", "id") and tag not in WHOLE:
+                parts = [_WORD.findall(x) for x in value.split()]
+                words = {w for p in parts if p and p[0] not in ABOUT for w in p}
                 e.score += WORDS if words & BOILERPLATE_WORDS else CONTENT if words & CONTENT_WORDS else 0
             elif name == "role":
                 e.score += BOILERPLATE * (value in BOILERPLATE_ROLES)
@@ -102,15 +146,17 @@ def blocks(page: str) -> list[Block]:
             now = None
         del stack[to:]
 
-    at, size = 0, len(page)
-    while at < size:
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            s = m[0]
-            if s[0] == "<" and len(s) > 1:
-                continue
+    size = len(page)
+    read = tokens(page)
+    sent = None
+    while True:
+        try:
+            at, end, m = read.send(sent)
+        except StopIteration:
+            break
+        sent = None
+        if m is None:
+            s = page[at:end]
             here = stack[-1]
             if here.hidden:
                 continue
@@ -124,6 +170,7 @@ def blocks(page: str) -> list[Block]:
             if here.link:
                 now.linked += len(s)
             continue
+        tag = m[2]
         tag = tag.lower()
         if m[1]:
             for i in range(len(stack) - 1, 0, -1):
@@ -155,8 +202,8 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in RAW:
             if not m[3].endswith("/") or tag not in ("svg", "math"):
-                end = _ENDS[tag].search(page, at)
-                at = size if end is None else page.find(">", end.start()) + 1 or size
+                close_at = _ENDS[tag].search(page, end)
+                sent = size if close_at is None else page.find(">", close_at.start()) + 1 or size
             continue
         stack.append(_open(tag, m[3], stack[-1]))
     for b in out:
@@ -164,12 +211,18 @@ def blocks(page: str) -> list[Block]:
     return [b for b in out if b.text]
 
 
-def margin(b: Block) -> int:
+def margin(b: Block, has_article: bool = False) -> int:
     """The cost of calling a block boilerplate less that of calling it content (the classifier's
-    log-odds in hundredths)."""
+    log-odds in hundredths). ``has_article``: whether the page marks some part as an article."""
     e, words = b.container, b.text.count(" ") + 1
     links = min(1.0, b.linked / len(b.text))
-    return BIAS + IN_ARTICLE * e.article + IN_MAIN * e.main + e.score + round(LINKS * links) + min(MOST_WORDS, PER_WORD * words)
+    heading = HEADING * (e.tag[0] == "h" and e.tag[1:].isdigit())
+    return BIAS + IN_ARTICLE * e.article + OUTSIDE * (has_article and not e.article) + IN_MAIN * e.main + e.score + heading + round(LINKS * links) + min(MOST_WORDS, PER_WORD * words)
+
+
+def margins(found: list[Block]) -> list[int]:
+    has_article = any(b.container.article for b in found)
+    return [margin(b, has_article) for b in found]
 
 
 def edges(found: list[Block]) -> list[tuple[int, int, int]]:
@@ -239,7 +292,7 @@ def minimum_cut(margins: list[int], links: list[tuple[int, int, int]]) -> list[b
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    keep = minimum_cut([margin(b) for b in found], edges(found))
+    keep = minimum_cut(margins(found), edges(found))
     return " ".join(b.text for b, k in zip(found, keep) if k)
 
 
