@@ -45,11 +45,16 @@ class Codec:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
-        self.bytes = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.bytes[rank] = token
         to = byte_characters()
         name = {t: "".join(map(to.__getitem__, t)) for t in ranks}
+        #: The token of each rank in the characters that stand for bytes, and its bytes' number.
+        self.token = [""] * (max(ranks.values()) + 1)
+        for t, rank in ranks.items():
+            self.token[rank] = name[t]
+        self.size = np.array([len(t) for t in self.token], np.int64)
+        #: The byte that each such character stands for.
+        self.back = np.zeros(1 << 10, np.uint8)
+        self.back[[ord(c) for c in to]] = np.arange(256)
         merges = [(name[t[:i]], name[t[i:]]) for t in sorted(ranks, key=ranks.get) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         model = models.BPE(vocab={name[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True)
         self.whole = Tokenizer(model)
@@ -99,7 +104,19 @@ class Codec:
         return found.ids, found.offsets
 
     def decode_bytes(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+        """The bytes of ids: their tokens' characters, each turned back into the byte that it stands for."""
+        text = "".join(map(self.token.__getitem__, ids)).encode("utf-16-le")
+        return self.back[np.frombuffer(text, np.uint16)].tobytes()
+
+    def offsets(self, ids: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the ids of a chunk's texts (``data`` and ``bounds`` of their UTF-8): the characters ``start`` to ``end`` of its
+        text that each covers, in full or in part, and whether it holds only a part of one."""
+        to = np.cumsum(self.size[ids])
+        at = to - self.size[ids]
+        first = np.append((data & 0xC0) != 0x80, True)
+        character = np.cumsum(first) - 1
+        base = character[bounds[:-1]][np.searchsorted(bounds, at, "right") - 1] if len(ids) else np.zeros(0, np.int64)
+        return character[at] - base, character[np.maximum(to - 1, 0)] + 1 - base, ~(first[at] & first[to])
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids. Parts of one character that several ids hold come together again, as bytes
@@ -112,24 +129,32 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``(doc_id, ids array<int>)`` of every whole text of ``docs (doc_id, text)``. Null and empty
+def encode(docs: DataFrame, path: str, pattern: str, with_offsets: bool = False) -> DataFrame:
+    """``(doc_id, ids array<int>)`` of every whole text of ``docs (doc_id, text)``; ``with_offsets`` adds ``starts`` and
+    ``ends``, the characters that each id covers (ids that share a character all have it). Null and empty
     texts have no ids. Strings of special tokens are ordinary text. ``path`` is a file that every
-    executor has. Other columns are ignored; repeated rows give a row each."""
+    executor has. Other columns are ignored; repeated rows, and rows without an id, give a row each; an empty table
+    gives an empty result."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in _text.chunks(batches):
             ids = [c.ids(p) for p in c.pieces([t or "" for t in batch.column("text").to_pylist()])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _text.lists(np.concatenate(ids), np.array([len(x) for x in ids]), pa.int32())], ["doc_id", "ids"])
+            every, count = np.concatenate(ids), np.array([len(x) for x in ids])
+            columns = [batch.column("doc_id"), _text.lists(every, count, pa.int32())]
+            if with_offsets:
+                columns += [_text.lists(x.astype(np.int32), count, pa.int32()) for x in c.offsets(every, *_text.utf8(batch.column("text")))[:2]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids"] + ["starts", "ends"] * with_offsets)
         c.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, ids array<int>" + ", starts array<int>, ends array<int>" * with_offsets)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``(doc_id, ids, data binary)``: adds the bytes that the ids stand for; null ids have none."""
+    """``(doc_id, ids, data binary)``: adds the bytes that the ids stand for, through the reversed byte table, so that parts
+    of a character in several ids come together; null and empty ids have none. Other columns are ignored, repeated
+    rows give a row each, an empty table an empty result; ids that the file lacks are an error."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
@@ -144,25 +169,31 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: encodes and decodes every text in one pass
-    and returns digests of the ids (decimal, joined by commas) and of the decoded bytes; ``with_ids``
-    adds ``ids array<int>``."""
+    """``(doc_id, n_tokens, n_split, ids_sha256, decoded_sha256)``: encodes and decodes every text in one pass
+    and returns digests of the ids (decimal, joined by commas) and of the decoded bytes; ``n_split`` counts the ids
+    that hold a part of a character only; ``with_ids`` adds ``ids array<int>``. Null and empty texts have no ids and the
+    digests of nothing. Other columns are ignored; repeated rows, and rows without an id, give a row each; an empty
+    table gives an empty result."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in _text.chunks(batches):
             pieces = c.pieces([t or "" for t in batch.column("text").to_pylist()])
             every = [c.ids(p) for p in pieces]
+            count = np.array([len(x) for x in every])
+            split = np.concatenate([[0], np.cumsum(c.offsets(np.concatenate(every), *_text.utf8(batch.column("text")))[2])])
+            to = np.cumsum(count)
             columns = [
                 batch.column("doc_id"),
-                pa.array([len(x) for x in every], pa.int64()),
+                pa.array(count, pa.int64()),
+                pa.array(split[to] - split[to - count], pa.int64()),
                 pa.array([hashlib.sha256(c.ids_text(p).encode()).hexdigest() for p in pieces], pa.string()),
                 pa.array([hashlib.sha256(c.decode_bytes(x.tolist())).hexdigest() for x in every], pa.string()),
             ]
             if with_ids:
-                columns.append(_text.lists(np.concatenate(every), np.array([len(x) for x in every]), pa.int32()))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+                columns.append(_text.lists(np.concatenate(every), count, pa.int32()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_split", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
         c.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, n_tokens long, n_split long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
