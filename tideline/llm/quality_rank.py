@@ -1,6 +1,7 @@
 """Document quality by Bradley-Terry ranking.
 
-A document's strength is linear in its features. Preference pairs of a good and a bad labelled document
+A document's strength is linear in its features: shares of kinds of characters, repeats and lengths, and the hashed
+frequencies of all its byte 3-grams. Preference pairs of a good and a bad labelled document
 are fitted by the logistic loss on the difference of their features. The documents are then cut at a
 quantile of the labelled documents' strengths, the one that errs least on them.
 """
@@ -19,6 +20,8 @@ from tideline.llm.quality_rules import _sums, surface
 
 #: The score at which a document counts as good.
 CUT = 0.3
+#: Buckets of the hashed byte 3-grams.
+GRAMS = 256
 #: Preference pairs for each document of the rarer label.
 PARTNERS = 16
 
@@ -34,21 +37,34 @@ def features(batch: pa.RecordBatch) -> np.ndarray:
     shares += [_sums(flag[data], bounds) / words for flag in _IS.values()]
     shares = np.minimum(np.stack(shares, 1), 2.0)
     length = np.stack([np.log1p(x["n_words"]), x["word_chars"] / words / 10, x["n_lines"] / words], 1)
-    return np.concatenate([shares, np.sqrt(shares), length, np.minimum(length, [3.0, 0.4, 0.1])], 1) * (x["n_words"] > 0)[:, None]
+    return np.concatenate([shares, np.sqrt(shares), length, np.minimum(length, [3.0, 0.4, 0.1]), _grams(data, bounds)], 1) * (x["n_words"] > 0)[:, None]
+
+
+def _grams(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The square roots of the frequencies of each text's byte 3-grams (A-Z lower-cased, digits alike), by bucket."""
+    low = _text.LOWER[data] if len(data) else data
+    low = np.where((low >= 0x30) & (low <= 0x39), np.uint8(0x30), low).astype(np.uint32)
+    n = np.maximum(np.diff(bounds) - 2, 0)
+    doc = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds[:-1], n)
+    code = (low[at] << np.uint32(16)) | (low[at + 1] << np.uint32(8)) | low[at + 2]
+    bucket = ((code * np.uint32(2654435761)) >> np.uint32(24)).astype(np.int64)
+    found = np.bincount(doc * GRAMS + bucket, minlength=len(n) * GRAMS).reshape(-1, GRAMS)
+    return np.sqrt(found / np.maximum(n, 1)[:, None])
 
 
 class Ranker:
     """The fitted strengths: standardised features times ``weights``, moved and scaled so that the
     chosen quantile has the score ``CUT``."""
 
-    def __init__(self, x: np.ndarray, label: np.ndarray, rounds: int = 40, ridge: float = 1e-3):
+    def __init__(self, x: np.ndarray, label: np.ndarray, rounds: int = 40, ridge: float = 1e-2):
         self.mean, self.scale = (x.mean(0), np.maximum(x.std(0), 1e-6)) if len(x) else (0.0, 1.0)
         self.weights, self.cut, self.width = np.zeros(x.shape[1]), 0.0, 1.0
         good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
         if not len(good) or not len(bad):
             self.cut = -1.0 if len(good) or not len(bad) else 1.0
             return
-        z = (x - self.mean) / self.scale
+        z = ((x - self.mean) / self.scale).astype(np.float32)
         n = min(len(good), len(bad)) * PARTNERS
         draw = np.random.default_rng(0)
         gap = z[good[draw.integers(len(good), size=n)]] - z[bad[draw.integers(len(bad), size=n)]]
@@ -79,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = _labels.SAMPLE) -> Ranke
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = sorted(_labels.sample(docs, labels, "quality", most).mapInArrow(of, f"doc_id {kind}, label int, x array<double>").collect())
-    x = np.array([r.x for r in rows]) if rows else np.zeros((0, 2 * (4 + len(_IS)) + 6))
+    x = np.array([r.x for r in rows]) if rows else np.zeros((0, 2 * (4 + len(_IS)) + 6 + GRAMS))
     return Ranker(x, np.array([r.label for r in rows]))
 
 
