@@ -208,7 +208,9 @@ def judge(docs: DataFrame, threshold: float = -0.25, size: int = 4) -> DataFrame
 
 
 def keep_good(docs: DataFrame, threshold: float = -0.25, size: int = 4) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns, in one pass without a join."""
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns, in one pass without a join. Null and empty texts
+    have too few words and go. Each row is judged on its own: ids may be missing or repeated, and other columns may have
+    any names. An empty table gives an empty result."""
     ratio = _ratio(docs, size)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -108,4 +108,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+#: What SQL can express. Components and groups of lines follow links to any depth, and models, page text, checksums and
+#: token ids have no SQL form.
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontamination": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id::VARCHAR AS item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+ sized AS (SELECT item_id, w, least(13, len(w)) AS n FROM i WHERE len(w) > 0), win AS (SELECT DISTINCT item_id, n, list_slice(w, k, k + n - 1) AS v FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM sized)),
+ dw AS (SELECT doc_id, n, k, list_slice(w, k, k + n - 1) AS v FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+ m AS (SELECT doc_id, k, dw.n, item_id FROM dw JOIN win ON win.n = dw.n AND win.v = dw.v), hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM m) GROUP BY 1),
+ own AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS items FROM m GROUP BY 1)
+ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)""",
+}
