@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm._store import small_or_shuffled, written
+from tideline.llm._store import discard, small_or_shuffled, written
 from tideline.llm.bpe import round_trip
 from tideline.llm.decontaminate import contamination
 from tideline.llm.line_dedup import dedup_lines
@@ -18,31 +18,50 @@ from tideline.llm.near_dedup import near_duplicates
 from tideline.llm.quality_rules import keep_good
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that numbers its rows, kept in a table so that a row's number never changes, and its name.
+    Decisions are applied by it, since ids may be missing or repeated."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def _without(docs: DataFrame, gone: DataFrame, row: str) -> DataFrame:
+    return docs.join(small_or_shuffled(written(gone, "gone")), row, "left_anti").drop(row)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the n-gram ratio reject go."""
+    """Documents that the base rules or the n-gram ratio reject go, null and empty texts among them; each row is
+    judged on its own, whatever its id. An empty table stays empty; other columns are kept."""
     return keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one go from the texts; ``n_chars`` follows."""
-    return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Lines that repeat an earlier one go from the texts; ``n_chars`` follows. No row goes; null texts stay null; rows
+    without an id are left alone, rows that repeat one count as one document."""
+    found = dedup_lines(docs)
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else found.select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    gone = written(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "near-copies")
-    return docs.join(small_or_shuffled(gone), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates the document with the smallest id stays, with all its rows if it has several; of
+    texts that one set of shingles stands for, rows without an id go if a row with an id has it. Texts without words
+    stay."""
+    rows, row = _numbered(docs)
+    found = near_duplicates(rows, carry=(row,))
+    return _without(rows, found.where("not kept").select(row), row)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with passages of the benchmark go."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = written(found.where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(small_or_shuffled(gone), "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose text has passages of the benchmark go, whatever their id; null and empty texts stay."""
+    rows, row = _numbered(docs)
+    found = contamination(rows.select(F.col(row).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(rows, found.where("contaminated").select(F.col("doc_id").alias(row)), row)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and digests of the ids and of the bytes that they decode to."""
+    """Token ids of every text, and digests of the ids and of the bytes that they decode to, a row for each row."""
     return round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
@@ -56,9 +75,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn over ``documents``, each result written and read again; tables that no later stage reads are
+    deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
