@@ -115,6 +115,48 @@ def test_contamination(spark, docs):
         found = queries.contamination_digest(d.contamination(docs, bench, block_bytes=size)).collect()
         assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found} == want
     assert d.contamination(docs, bench.limit(0)).where("n_hit > 0").isEmpty()
+    assert d.contamination(docs.limit(0), bench).collect() == []
+
+
+@pytest.mark.parametrize("size", [10**7, 100])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_contamination_of_any_ids(spark, size, kind):
+    """Null, repeated and text ids: every row has its own result, in one block or several."""
+    from tideline.llm import decontaminate as d
+
+    r = random.Random(2)
+    passage = [r.choice(NAMES) + str(i) for i in range(30)]
+    texts = [" ".join(passage), "other words " * 9, None, "", " ".join(["xx"] * 40 + passage[3:20] + ["yy"] * 5), "short one"]
+    ids = [None, 7, 7, 7, None, 8]
+    rows = [(None if i is None else str(i) if kind == "string" else i, t) for i, t in zip(ids, texts)]
+    items = [(1, " ".join(passage)), (2, "short one"), (3, " ".join(passage[5:])), (None, "other words"), (4, None)]
+    want = brute.contamination(list(enumerate(texts)), items[:3])
+    found = d.contamination(spark.createDataFrame(rows, f"doc_id {kind}, text string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=size)
+    got = sorted(str((x.doc_id, x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated)) for x in queries.contamination_digest(found).collect())
+    assert got == sorted(str((rows[i][0], *w)) for i, w in want.items())
+
+
+def test_proximity_by_brute_force(spark):
+    from tideline.llm import decontaminate as d
+
+    r = random.Random(4)
+    docs = [(i, " ".join(r.choice("abcde") for _ in range(r.randrange(0, 25)))) for i in range(60)]
+    items = [(str(i), " ".join(r.choice("abcde") for _ in range(r.randrange(1, 6)))) for i in range(12)]
+    index = d.build_index(spark.createDataFrame(docs, "doc_id long, text string"))
+    for slack in (0, 1, 2):
+        got = {(x.doc_id, x.item_id) for x in d.matches(index, d.Phrases(items, 4), slack).collect()}
+        want = set()
+        for i, t in docs:
+            words = t.split()
+            for j, phrase in items:
+                p = phrase.split()
+                for window in [p[k : k + 4] for k in range(max(1, len(p) - 3))]:
+                    for start in range(-slack, len(words) + slack):
+                        if all(any(words[q] == w for q in range(max(0, start + k - slack), min(len(words), start + k + slack + 1))) for k, w in enumerate(window)) and any(0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(window)):
+                            want.add((i, j))
+        assert got <= want and (slack or got == want)
+        exact = {(i, j) for i, t in docs for j, p in items for k in range(max(1, len(p.split()) - 3)) if (" " + " ".join(p.split()[k : k + 4]) + " ") in f" {t} "}
+        assert exact <= got
 
 
 def test_proximity(spark):
@@ -144,6 +186,11 @@ def test_bpe(docs):
     for r in bpe.round_trip(docs, path, p.PATTERN).collect():
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids[r.doc_id]), brute.sha(",".join(map(str, ids[r.doc_id]))), brute.sha(texts[r.doc_id] or ""))
     c = bpe.codec(path, p.PATTERN)
+    for r in bpe.encode(docs, path, p.PATTERN, with_offsets=True).collect():
+        ids_of, spans = c.encode_with_offsets(texts[r.doc_id] or "")
+        assert ids_of == list(r.ids) and spans == list(zip(r.starts, r.ends))
+    for empty in (bpe.round_trip(docs.limit(0), path, p.PATTERN), bpe.encode(docs.limit(0), path, p.PATTERN)):
+        assert empty.collect() == []
     found, offsets = c.encode_with_offsets("日本語 é 🎉")
     assert found == own.encode_ordinary("日本語 é 🎉") and offsets[-1][1] == len("日本語 é 🎉")
     assert c.decode(found[:-1]).endswith("�") or len(offsets) == 1 or offsets[-1] != offsets[-2]
@@ -175,7 +222,16 @@ def test_whole_tables(spark, name):
         items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
         assert {i: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for i, r in got.items()} == brute.contamination(rows, items)
     else:
-        assert all(r.decoded_sha256 == brute.sha(dict(rows)[i] or "") for i, r in got.items())
+        import public_tokenizers as p
+        import tiktoken
+
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(p.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+        own = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        for i, t in rows:
+            ids = own.encode_ordinary(t or "")
+            parts = sum(1 for k in ids for b in [own.decode_single_token_bytes(k)] if (b[0] & 0xC0) == 0x80 or len(b.decode("utf-8", "ignore").encode()) < len(b))
+            r = got[i]
+            assert (r.n_tokens, r.n_split, r.ids_sha256, r.decoded_sha256) == (len(ids), parts, brute.sha(",".join(map(str, ids))), brute.sha(t or ""))
 
 
 @pytest.mark.parametrize("name", ["near_dedup.near_duplicates", "quality_rules.judge", "secrets.scan"])

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,10 +61,71 @@ def test_class_lm_is_a_distribution(spark, monkeypatch):
     lm.score(frame(spark, awkward())).collect()
     m = kept[0][0]
     assert np.allclose((10**m.step).sum(1), 1)
-    core = m.head.core >= 0
-    label = m.label[m.head.core[core]]
-    for c in set(label.tolist()):
-        assert m.head.n[core][label == c].sum() == pytest.approx(10 ** m.core_mass[c])
+    label = m.head.label
+    for c in set(label[label >= 0].tolist()):
+        assert m.head.n[label == c].sum() == pytest.approx(10 ** m.class_mass[c])
+
+
+def test_class_lm_scores_by_brute_force(spark, monkeypatch):
+    """With a core of eight words: the classes of all others from their neighbours, and every text's score, in plain Python."""
+    from tideline.llm import class_lm as lm
+
+    for name, value in (("CORE", 8), ("_SIDE", 8 + lm.FORMS + 1), ("LEAST", 3)):
+        monkeypatch.setattr(lm, name, value)
+    kept = []
+    real = lm._train
+    monkeypatch.setattr(lm, "_train", lambda texts: kept.append(real(texts)) or kept[-1])
+    r = random.Random(5)
+    say = lambda n: " ".join(r.choice(("a", "the")) + " " + r.choice(("red", "blue", "old")) + r.choice((" cat", " dog,", " é.", f" w{r.randrange(40)}")) for _ in range(n))
+    rows = [(i, say(r.randrange(1, 30))) for i in range(150)] + [(999, None), (998, ""), (997, "never seen, words é.")]
+    got = {x.doc_id: x.score for x in lm.score(frame(spark, rows)).collect()}
+    m = kept[0][0]
+    k = lm.CLASSES + lm.FORMS + 1
+    texts = {i: brute.words(t) for i, t in rows}
+    train = [w for i, w in texts.items() if zlib.crc32(str(i).encode()) % 10]
+    count = Counter(x for w in train for x in w)
+    hash_of = {x: int(h) for x in {x for w in texts.values() for x in w} for h in lm.Words(pa.record_batch({"text": pa.array([x])})).hash}
+    class_of = {x: int(m.head.label[m.head.find(np.array([h], np.uint64))[0]]) for x, h in hash_of.items()}
+    rank = sorted(count, key=lambda x: (-count[x], hash_of[x]))
+    form = lambda x: (0 if x[-1] == "." else 1 if x[-1] == "," else 2) + 3 * (not x.isascii())
+    assert {x for x, c in class_of.items() if c >= 0} == set(rank[:8]) | {x for x, n in count.items() if n >= 3}
+    unit = lambda x, known: class_of[x] if x in known else lm.CLASSES + form(x)
+
+    def joint(known):
+        out = np.zeros((k, k))
+        for w in train:
+            seq = [k - 1, *[unit(x, known) for x in w], k - 1]
+            for p, q in zip(seq, seq[1:]):
+                out[p, q] += 1
+        return out
+
+    core = set(rank[:8])
+    first = joint(core)
+    into, out = first[:, : lm.CLASSES].T + 0.1, first[: lm.CLASSES] + 0.1
+    for x in set(count) - core:
+        if count[x] >= 3:
+            gain = np.zeros(lm.CLASSES)
+            for w in train:
+                seq = [k - 1, *[unit(y, core) for y in w], k - 1]
+                for i, y in enumerate(w):
+                    if y == x:
+                        gain += np.log(into[:, seq[i]] / into.sum(1)) + np.log(out[:, seq[i + 2]] / out.sum(1))
+            assert gain[class_of[x]] == pytest.approx(gain.max()), x
+    known = {x for x, c in class_of.items() if c >= 0}
+    j = joint(known)
+    step = lambda p, q: math.log10((j[p, q] + lm.PULL * (j[:, q].sum() + 1) / (j.sum() + k)) / (j[p].sum() + lm.PULL))
+    mass, left, kinds = Counter(), Counter(), Counter()
+    for x, n in count.items():
+        if x in known:
+            mass[class_of[x]] += n
+        else:
+            left[form(x)] += n
+            kinds[form(x)] += 1
+    for i, w in texts.items():
+        seq = [k - 1, *[unit(x, known) for x in w], k - 1]
+        want = sum(step(p, q) for p, q in zip(seq, seq[1:]))
+        want += sum(math.log10(count[x]) - math.log10(mass[class_of[x]]) if x in known else math.log10(count[x] + 0.1) - math.log10(left[form(x)] + 0.1 * (kinds[form(x)] + 1)) for x in w)
+        assert got[i] == pytest.approx(want, abs=1e-6), i
 
 
 def test_exchange_raises_likelihood():
@@ -94,18 +156,14 @@ def test_line_dedup(spark):
     assert dedup_lines(df.limit(0)).collect() == []
 
 
-def test_simhash_by_brute_force():
-    from tideline.llm.line_dedup import simhashes
+def test_line_dedup_repeated_and_missing_ids(spark):
+    """Numbers of one row are never applied to another of the same id; rows without an id stay as they are."""
+    from tideline.llm.line_dedup import dedup_lines
 
-    r = np.random.default_rng(1)
-    h = r.integers(0, 2**64, 500, dtype=np.uint64)
-    first, count = np.array([0, 3, 10, 400]), np.array([3, 7, 390, 100])
-    got = simhashes(h, first, count)
-    big = np.concatenate([h] * 70)
-    assert simhashes(big, np.array([0]), np.array([35_000])).shape == (1,)
-    for i, (a, n) in enumerate(zip(first, count)):
-        want = sum(1 << b for b in range(64) if 2 * sum((int(x) >> b) & 1 for x in h[a : a + n]) > n)
-        assert int(got[i]) == want
+    twice = "this line is in several of the rows"
+    rows = [(1, twice), (5, f"{twice}\nits own line comes after the other one"), (5, f"a wholly unique line of eight words here\n{twice}\n{twice}"), (None, f"{twice}\n{twice}"), (None, None)]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str((r.doc_id, r.text, list(r.dropped))) for r in got) == sorted(str(x) for x in [(1, twice, []), (5, "its own line comes after the other one", [0]), (5, "a wholly unique line of eight words here", [1, 2]), (None, f"{twice}\n{twice}", []), (None, None, [])])
 
 
 def test_edit_distance_by_brute_force():
@@ -170,6 +228,41 @@ def test_pages(spark):
     assert got[2].text == got[3].text == "" and got[2].n_chars == 0 and got[5].n_chars == 60_000 * 10 - 1
 
 
+def test_cut_joins_what_margins_part():
+    """Without an article mark, headings and short lines go with the text around them, and menus do not."""
+    from tideline.llm import html_text as h
+
+    body = "<div><h1>A title</h1><p>" + "words of a long text " * 12 + "</p><p>So it was.</p><p>" + "more of the long text " * 12 + "</p></div>"
+    menu = "<ul><li><a href=x>Home</a><li><a href=y>About us</a></ul>"
+    want = " ".join(re.sub("<[^>]+>", " ", body).split())
+    for page in (f"<body class='single no-sidebar has-comments'>{menu}{body}<footer>By me</footer></body>", f"<main class='with-sidebar'>{body}</main>{menu}", f"<html><body><div id=content>{body}</div><div class='comments'><p>{'great text thanks a lot ' * 9}</p></div></body></html>"):
+        found = h.blocks(page)
+        m = h.margins(found)
+        cut = h.minimum_cut(m, h.edges(found))
+        assert h.main_text(page) == want
+        assert "<main" in page or "content" in page or any(c != (x > 0) for c, x in zip(cut, m))
+
+
+def test_broken_tags_take_linear_time():
+    import time
+
+    from tideline.llm.html_text import main_text
+
+    for part in ('<a href="x', "<!--", "<div ", "<", "</", "<p><b>", "<script>", "<a b='"):
+        began = time.time()
+        main_text(part * 8000)
+        assert time.time() - began < 2, part
+    assert main_text('<p title="' + "a" * 50 + "<article><p>" + "text that stays here " * 20 + "</article>").endswith("stays here")
+
+
+def test_pages_of_nothing(spark):
+    from tideline.llm.html_text import extract
+
+    assert extract(spark.createDataFrame([], "page_id string, url string, html string")).collect() == []
+    rows = [(None, None, "<article><p>" + "a word " * 30), (None, "u", None)] * 2
+    assert sorted(r.n_chars for r in extract(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()) == [0, 0, 209, 209]
+
+
 def test_pages_whole_table(spark):
     want = {}
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
@@ -261,3 +354,34 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(list(rows.values()), docs.schema)
     last = {r.doc_id: r for r in c.run(spark, sf).collect()}
     assert set(last) == set(rows) and all(r.decoded_sha256 == brute.sha(rows[i].text) and r.n_tokens == len(r.ids) for i, r in last.items())
+
+
+def test_pipeline_stages_on_awkward_tables(spark, tmp_path):
+    """Missing and repeated ids, nulls in any column, clashing columns, repeated rows, an empty table: every row of the
+    input is decided on its own text."""
+    import corpus_pipeline as c
+
+    r = random.Random(11)
+    say = lambda n: " ".join(r.choice(("river", "stone", "bird", "house", "walks", "sees", "under", "green", "and", "the")) + r.choice(("", "s", "ly")) for _ in range(n))
+    passage, shared, copied = say(40), say(12), say(60)
+    texts = [passage + " " + say(5), copied, copied, copied, say(50) + "\n" + shared, say(50) + "\n" + shared, None, "", "x", say(70)]
+    ids = [5, None, None, 4, 3, None, 7, None, 5, 5]
+    rows = [(i, t, None if n % 2 else "en", None, None if t is None else len(t), "x", n, None) for n, (i, t) in enumerate(zip(ids, texts))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id string, key long, _row long").repartition(3)
+    spark.createDataFrame([(1, passage), (None, copied), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    keys = lambda df: sorted(x.key for x in df.collect())
+    found = c.quality_rules(spark, docs, str(tmp_path))
+    assert found.columns == docs.columns and not {6, 7, 8} & set(keys(found))
+    found = c.line_dedup(spark, docs, str(tmp_path))
+    assert found.columns == docs.columns and keys(found) == list(range(10))
+    after = {x.key: x.text for x in found.collect()}
+    assert {k for k in range(10) if after[k] != texts[k]} == set(), "only rows with an id lose lines, and none repeats an earlier one"
+    found = c.near_dedup(spark, docs, str(tmp_path))
+    assert found.columns == docs.columns and keys(found) == [0, 3, 4, 5, 6, 7, 8, 9]
+    found = c.decontamination(spark, docs, str(tmp_path))
+    assert found.columns == docs.columns and keys(found) == list(range(1, 10))
+    assert c.byte_bpe(spark, docs, str(tmp_path)).count() == 10
+    for name, stage in c.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == [], name
+    docs.drop("_row").write.parquet(str(tmp_path / "documents.parquet"))
+    assert c.run(spark, str(tmp_path)).count() <= 7

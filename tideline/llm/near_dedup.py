@@ -12,9 +12,10 @@
 3. Candidates whose estimate on the sketch of the union is far below the threshold go.
 4. The rest are held against each other by the Jaccard coefficient of their full sets.
 
-With 48 values and a similarity of 0.75 a pair shares 36 +- 3 values and is listed together if it
-shares 21; the chance to miss a pair exactly at the threshold is about 2 in a million, and sets of at
-most 48 shingles are exact.
+With 48 values and a similarity of 0.75 a pair shares 36 +- 3 values. It is listed together if it shares 21, and
+goes on if the estimate is 0.5 or more: the chance to miss a pair exactly at the threshold is about 5 in 100,000
+(24 or fewer of 48 draws at 0.75), much less above it. Sets of at most 48 shingles are exact, and so is any set with
+``k`` at least as large; ``margin`` and ``least_share`` move the two bounds.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm import _text
 from tideline.llm._graph import similar_components
-from tideline.llm._store import written
+from tideline.llm._store import discard, written
 
 #: Members of a hub's group that one task verifies together.
 GROUP = 512
@@ -51,8 +52,8 @@ def _sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
     return out
 
 
-def sketches(docs: DataFrame, k: int = 48, width: int = 5) -> DataFrame:
-    """``(doc_id, n_shingles, set_a, set_b, sketch)``: the size of each document's shingle set, a
+def sketches(docs: DataFrame, k: int = 48, width: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, *carry, n_shingles, set_a, set_b, sketch)``: the size of each document's shingle set, a
     128-bit fingerprint of the set, and its ``k`` smallest hashes (as signed numbers of the same order). Null text has the empty set."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,14 +65,15 @@ def sketches(docs: DataFrame, k: int = 48, width: int = 5) -> DataFrame:
             sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(_text.mix(every ^ np.uint64(salt)))]) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
             kept = [x[:k] for x in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64())]
+                [batch.column(c) for c in ("doc_id", *carry)]
+                + [pa.array(size, pa.int64())]
                 + [pa.array((s[ends[1:]] - s[ends[:-1]]).view(np.int64)) for s in sums]
                 + [_text.lists((np.concatenate(kept) ^ TOP).view(np.int64), np.minimum(size, k))],
-                ["doc_id", "n_shingles", "set_a", "set_b", "sketch"],
+                ["doc_id", *carry, "n_shingles", "set_a", "set_b", "sketch"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, n_shingles long, set_a long, set_b long, sketch array<long>")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry))
+    return docs.select("doc_id", *carry, "text").mapInArrow(of, f"{kinds}, n_shingles long, set_a long, set_b long, sketch array<long>")
 
 
 def _listed(classes: DataFrame, least_share: float) -> DataFrame:
@@ -88,8 +90,8 @@ def _listed(classes: DataFrame, least_share: float) -> DataFrame:
 
 def _estimate(x, y, k: int):
     """The share of the union's ``k`` smallest values that both sketches hold."""
-    union = F.slice(F.array_sort(F.array_union(x("sketch"), y("sketch"))), 1, k)
-    return F.size(F.array_intersect(union, F.array_intersect(x("sketch"), y("sketch")))) / F.size(union)
+    union = F.slice(F.array_sort(F.array_union(x, y)), 1, k)
+    return F.size(F.array_intersect(union, F.array_intersect(x, y))) / F.size(union)
 
 
 def _verifier(texts: DataFrame, width: int, percent: int):
@@ -147,7 +149,7 @@ class _Block:
         self.sets.append(x)
         self.parts.append(part)
 
-    def meet(self, i: int, part: int, x: np.ndarray, k: int, percent: int) -> Iterator[tuple[int, int]]:
+    def meet(self, i: int, part: int, x: np.ndarray, k: int, percent: int, margin: float) -> Iterator[tuple[int, int]]:
         found = [m for v in x[:k].tolist() for m in self.lists.get(v, ())]
         if not found:
             return
@@ -155,7 +157,7 @@ class _Block:
         for m in np.flatnonzero(overlap):
             y = self.sets[m]
             few, many = sorted((len(x), len(y)))
-            if 100 * few < percent * many or overlap[m] < (percent / 100 - MARGIN) * min(k, few) or self.root(part) == self.root(self.parts[m]):
+            if 100 * few < percent * many or overlap[m] < (percent / 100 - margin) * min(k, few) or self.root(part) == self.root(self.parts[m]):
                 continue
             both = np.concatenate([x, y])
             both.sort()
@@ -166,7 +168,7 @@ class _Block:
                 yield i, self.ids[m]
 
 
-def _crosser(texts: DataFrame, width: int, percent: int, k: int):
+def _crosser(texts: DataFrame, width: int, percent: int, k: int, margin: float):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, block = None, _Block()
         for batch in _text.chunks(batches):
@@ -178,7 +180,7 @@ def _crosser(texts: DataFrame, width: int, percent: int, k: int):
                 if role[n] == 0:
                     block.add(ids[n], part[n], x, k)
                 else:
-                    links += block.meet(ids[n], part[n], x, k, percent)
+                    links += block.meet(ids[n], part[n], x, k, percent, margin)
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], ["a", "b"])
 
     def cross(groups: DataFrame) -> DataFrame:
@@ -195,8 +197,9 @@ def _crosser(texts: DataFrame, width: int, percent: int, k: int):
     return cross
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, k: int = 48, least_share: float = 0.45) -> DataFrame:
-    """``(doc_id, n_shingles, class_id, component_id, kept)`` for every row of ``docs (doc_id, text)``.
+def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, k: int = 48, least_share: float = 0.45, margin: float = MARGIN, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, *carry, n_shingles, class_id, component_id, kept)`` for every row of ``docs (doc_id, text)``; ``carry``
+    names columns that go along.
 
     Documents link if 100 * |intersection| >= ``percent`` * |union| of their sets of ``width``-word
     shingles. ``component_id`` is the smallest doc_id that can be reached, ``class_id`` the smallest
@@ -206,7 +209,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, k: int =
     the same set. Other columns of ``docs`` are ignored; an
     empty table gives an empty result. The thresholds hold at any size; nothing is capped.
     """
-    found = written(sketches(docs, k, width), "sketches")
+    found = written(sketches(docs, k, width, carry), "sketches")
     some = found.where("n_shingles > 0")
     same = some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").cast("long").alias("id"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
     classes = written(same, "classes")
@@ -214,12 +217,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, k: int =
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(listed.select("id").distinct(), "id").dropDuplicates(["id"])
     texts = written(texts, "texts")
 
-    def near(x, y):
-        a, b = x("n_shingles"), y("n_shingles")
-        return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (_estimate(x, y, k) >= percent / 100 - MARGIN)
+    def near(stars: DataFrame) -> DataFrame:
+        x, y = (classes.select(F.col("id").alias(i), F.col("n_shingles").alias(f"n_{i}"), F.col("sketch").alias(f"sketch_{i}")) for i in ("id", "hub"))
+        met = stars.join(x, "id").join(y, "hub")
+        few, many = F.least("n_id", "n_hub"), F.greatest("n_id", "n_hub")
+        return met.select("id", "hub", ((100 * few >= percent * many) & (_estimate(F.col("sketch_id"), F.col("sketch_hub"), k) >= percent / 100 - margin)).alias("near"))
 
-    parts = similar_components(classes.select("id", "n_shingles", "sketch"), listed, near, _verifier(texts, width, percent), _crosser(texts, width, percent, k))
+    parts = similar_components(listed, near, _verifier(texts, width, percent), _crosser(texts, width, percent, k, margin))
+    discard(texts)
     roots = classes.join(parts, "id", "left").select("set_a", "set_b", "n_shingles", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
-    placed = some.select("doc_id", "n_shingles", "set_a", "set_b").join(roots, ["set_a", "set_b", "n_shingles"]).select("doc_id", "n_shingles", "class_id", "component_id")
-    alone = found.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").cast("long").alias("class_id"), F.col("doc_id").cast("long").alias("component_id"))
+    placed = some.select("doc_id", *carry, "n_shingles", "set_a", "set_b").join(roots, ["set_a", "set_b", "n_shingles"]).select("doc_id", *carry, "n_shingles", "class_id", "component_id")
+    alone = found.where("n_shingles = 0").select("doc_id", *carry, "n_shingles", F.col("doc_id").cast("long").alias("class_id"), F.col("doc_id").cast("long").alias("component_id"))
     return placed.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
