@@ -148,7 +148,7 @@ ORACLE_SQL: dict[str, str] = {
  near AS (SELECT a.word, a.n, b.word AS near, b.n AS m FROM gone a JOIN gone b ON a.less = b.less AND a.i = b.i AND a.word <> b.word UNION SELECT a.word, a.n, v.word, v.n FROM gone a JOIN v ON v.word = a.less UNION SELECT v.word, v.n, a.word, a.n FROM gone a JOIN v ON v.word = a.less),
  best AS (SELECT word, count(*) AS n_near, first(near ORDER BY m DESC, near) AS near, max(m) AS m FROM near GROUP BY 1),
  f AS (SELECT v.word, v.n, CASE WHEN m >= 5 * n THEN near END AS form, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
- way AS (SELECT word, word AS at, 0 AS far FROM f UNION ALL SELECT way.word, f.form, far + 1 FROM way JOIN f ON f.word = way.at WHERE f.form IS NOT NULL), ends AS (SELECT word, last(at ORDER BY far) AS root FROM way GROUP BY 1)
+ way AS (SELECT word, word AS here, 0 AS far FROM f UNION ALL SELECT way.word, f.form, far + 1 FROM way JOIN f ON f.word = way.here WHERE f.form IS NOT NULL), ends AS (SELECT word, arg_max(here, far) AS root FROM way GROUP BY 1)
  SELECT word, n, form, root, n_near, form_n FROM f JOIN ends USING (word)""",
     "op8_decontamination": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id::VARCHAR AS item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
  sized AS (SELECT item_id, w, least(13, len(w)) AS n FROM i WHERE len(w) > 0), win AS (SELECT DISTINCT item_id, n, list_slice(w, k, k + n - 1) AS v FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM sized)),
