@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tideline.functions.meaning import BAD, ESTIMATED, UNCERTAIN, finite, usable
 from tideline.functions.times import DAY, END_OF_TIME, HOUR, MIN, SEC, plus, since
 from tideline.operators.normalize import descents, duplicate_counts, good_values, segments, steps
-from tideline.operators.ranks import counted, mad_counted, median_mad, nearest_rank, pick, rank_counted
+from tideline.operators.ranks import counted, group_medians, mad_counted, median_mad, nearest_rank, pick, rank_counted, within
 from tideline.operators.sequence import merged, neighbour, runs
 from tideline.operators.tables import written
 
@@ -156,10 +156,14 @@ def negative(norm: DataFrame, interval: int, tolerance: float = 0.0) -> DataFram
     return run_windows(norm, finite(F.col("value")) & (F.col("value") < -tolerance), interval, F.col("value"))
 
 
-def segment_values(norm: DataFrame, width: int, least: int = 1) -> DataFrame:
-    """``(series_id, segment, vals, start_ns, end_ns)``: good values of each stretch of ``width``."""
-    good = segments(norm, width).where(usable(F.col("quality")) & finite(F.col("value")))
-    return good.groupBy("series_id", "segment").agg(F.collect_list("value").alias("vals"), F.min("ts_ns").alias("start_ns"), (F.max("ts_ns") + 1).alias("end_ns")).where(F.size("vals") >= least)
+def segment_values(norm: DataFrame, width: int) -> DataFrame:
+    """Good values with ``segment``, the number of their stretch of ``width``."""
+    return segments(norm, width).where(usable(F.col("quality")) & finite(F.col("value")))
+
+
+def segment_medians(norm: DataFrame, width: int, least: int = 1) -> DataFrame:
+    """``(series_id, segment, n, med, mad, start_ns, end_ns)`` of the good values of each stretch of ``width``."""
+    return group_medians(segment_values(norm, width), ["series_id", "segment"], F.min("ts_ns").alias("start_ns"), plus(F.max("ts_ns"), 1).alias("end_ns")).where(F.col("n") >= least)
 
 
 def bucket_medians(norm: DataFrame, width: int, most: int = 2000) -> DataFrame:
@@ -169,25 +173,20 @@ def bucket_medians(norm: DataFrame, width: int, most: int = 2000) -> DataFrame:
     span = F.max("segment") - F.min("segment") + 1
     times = F.when(span <= most, F.lit(1)).otherwise(F.ceil(span / (most - 1))).cast("long")
     wide = good.join(good.groupBy("series_id").agg(times.alias("times")), "series_id").withColumn("bucket", F.col("segment") - F.pmod("segment", "times"))
-    return wide.groupBy("series_id", "bucket").agg(pick(F.collect_list("value"), 0.5).alias("med"))
-
-
-def _medians(seg: DataFrame) -> DataFrame:
-    mid = seg.withColumn("med", pick(F.col("vals"), 0.5))
-    return mid.withColumn("mad", pick(F.transform("vals", lambda v: F.abs(v - F.col("med"))), 0.5))
+    return group_medians(wide, ["series_id", "bucket"], deviation=False).drop("n")
 
 
 #: Factors by which units are mixed up.
 FACTORS = (10.0, 100.0, 1000.0, 0.1, 0.01, 0.001)
 
 
-def scale_shift(norm: DataFrame, width: int = DAY, least: int = 30, tolerance: float = 0.1) -> DataFrame:
+def scale_shift(norm: DataFrame, width: int = DAY, least: int = 30, tolerance: float = 0.1, base: DataFrame | None = None) -> DataFrame:
     """``(series_id, segment, start_ns, end_ns, med, mad, ratio, bmed, bmad, factor, candidate)``: segments whose median and
     spread are both a power of ten of the whole series', or else those of Fahrenheit for Celsius or the reverse (which
-    goes first if both fit)."""
-    seg = _medians(segment_values(norm, width, least)).drop("vals")
-    base = median_mad(good_values(norm)).select("series_id", F.col("median").alias("bmed"), F.col("mad").alias("bmad")).where("bmad > 0 and abs(bmed) > 1e-12")
-    both = seg.join(base, "series_id").withColumn("ratio", F.col("med") / F.col("bmed")).withColumn("spread", F.col("mad") / F.col("bmad"))
+    goes first if both fit). ``base (series_id, bmed, bmad)`` may give what they are held against."""
+    seg = segment_medians(norm, width, least).drop("n")
+    own = median_mad(good_values(norm)).select("series_id", F.col("median").alias("bmed"), F.col("mad").alias("bmad")) if base is None else base
+    both = seg.join(own.where("bmad > 0 and abs(bmed) > 1e-12"), "series_id").withColumn("ratio", F.col("med") / F.col("bmed")).withColumn("spread", F.col("mad") / F.col("bmad"))
     near = lambda x, y: F.abs(x - y) / F.greatest(F.abs(y), F.lit(1.0)) <= tolerance
     factor, name = F.lit(None).cast("double"), F.lit(None).cast("string")
     degrees = (("C to F", 1.8 * F.col("bmed") + 32, 1.8), ("F to C", (F.col("bmed") - 32) / 1.8, 1 / 1.8))
@@ -231,8 +230,7 @@ def rate_of_change(norm: DataFrame, interval: int, factor: float = 3.0) -> DataF
 
 def noise_segments(norm: DataFrame, interval: int, width: int = DAY) -> DataFrame:
     """``(series_id, segment, sigma, ratio)``: each segment's noise and its ratio to the series'."""
-    seg = segments(rates(norm.where(usable(F.col("quality"))), interval), width).groupBy("series_id", "segment").agg(F.collect_list("diff").alias("vals"))
-    own = _medians(seg).select("series_id", "segment", (F.col("mad") * SIGMA / F.sqrt(F.lit(2.0))).alias("sigma"))
+    own = group_medians(segments(rates(norm.where(usable(F.col("quality"))), interval), width), ["series_id", "segment"], value="diff").select("series_id", "segment", (F.col("mad") * SIGMA / F.sqrt(F.lit(2.0))).alias("sigma"))
     return own.join(noise(norm, interval).select("series_id", F.col("sigma").alias("base")), "series_id").select("series_id", "segment", "sigma", F.try_divide("sigma", "base").alias("ratio"))
 
 
@@ -251,15 +249,14 @@ def density(norm: DataFrame, width: int = DAY, least: int = 50) -> DataFrame:
 
 
 def level_drift(norm: DataFrame, width: int = DAY, least: int = 10, segments_least: int = 7, most: int = 400) -> DataFrame:
-    """``(series_id, slope_per_day, segments)``: the median of the slopes of all pairs of segment medians (at their first rows);
+    """``(series_id, slope_per_day, segments, segment_ns)``: the median of the slopes of all pairs of segment medians (at their first rows);
     segments are widened so that a series has at most ``most``."""
     extent = windows(norm).select("series_id", F.greatest(F.lit(width), F.ceil(since(F.col("w_start"), F.col("w_end")) / most)).alias("width"), "w_start")
     good = good_values(norm).join(extent, "series_id").withColumn("segment", F.call_function("div", since(F.col("w_start"), F.col("ts_ns")), F.col("width")))
-    seg = good.groupBy("series_id", "segment").agg(F.collect_list("value").alias("vals"), (since(F.first("w_start"), F.min("ts_ns")) / DAY).alias("day")).where(F.size("vals") >= least)
-    seg = seg.select("series_id", F.struct("day", pick(F.col("vals"), 0.5).alias("med")).alias("p"))
-    points = seg.groupBy("series_id").agg(F.array_sort(F.collect_list("p")).alias("p")).where(F.size("p") >= segments_least)
+    seg = group_medians(good, ["series_id", "segment"], (since(F.first("w_start"), F.min("ts_ns")) / DAY).alias("day"), F.first("width").alias("segment_ns"), deviation=False).where(F.col("n") >= least).select("series_id", "segment_ns", F.struct("day", "med").alias("p"))
+    points = seg.groupBy("series_id", "segment_ns").agg(F.array_sort(F.collect_list("p")).alias("p")).where(F.size("p") >= segments_least)
     slopes = F.flatten(F.transform("p", lambda a, i: F.transform(F.filter("p", lambda b: b["day"] > a["day"]), lambda b: (b["med"] - a["med"]) / (b["day"] - a["day"]))))
-    return points.select("series_id", pick(slopes, 0.5).alias("slope_per_day"), F.size("p").alias("segments"))
+    return points.select("series_id", pick(slopes, 0.5).alias("slope_per_day"), F.size("p").alias("segments"), "segment_ns")
 
 
 def distribution_drift(norm: DataFrame, width: int = DAY, least: int = 100, base: DataFrame | None = None) -> DataFrame:
@@ -268,14 +265,15 @@ def distribution_drift(norm: DataFrame, width: int = DAY, least: int = 100, base
     ``psi`` is null where deciles are equal."""
     if base is None:
         base = _grid(norm).withColumn("spread", F.get("g", F.lit(15)) - F.get("g", F.lit(5)))
-    seg = segment_values(norm, width, least).join(base, "series_id")
+    key = ["series_id", "segment"]
+    values = within(segment_values(norm, width), key, [i / 20 for i in range(21)]).where(F.col("_n") >= least).join(base, "series_id")
     edges = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.get("g", 2 * i))
-    shares = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.greatest(F.lit(1e-4), F.size(F.filter("vals", lambda v: F.size(F.filter("edges", lambda e: e < v)) == i)) / F.size("vals")))
+    part = F.size(F.filter("edges", lambda e: e < F.col("value")))
+    tens = F.array(*[F.greatest(F.lit(1e-4), F.count_if(F.col("part") == i) / F.count("*")) for i in range(10)])
+    seg = values.withColumn("edges", edges).withColumn("part", part).groupBy(*key).agg(F.min("ts_ns").alias("start_ns"), plus(F.max("ts_ns"), 1).alias("end_ns"), tens.alias("shares"), *[F.first(c).alias(c) for c in ("g", "spread", "edges", "_ranked")])
     psi = F.aggregate("shares", F.lit(0.0), lambda a, p: a + (p - 0.1) * F.log(p / 0.1))
-    ranks = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.get("s", F.floor((F.size("s") - 1) * i / 20 + 0.5).cast("int")))
-    far = F.aggregate(F.zip_with("g", "r", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, d: a + d) / 21
-    out = seg.withColumn("edges", edges).withColumn("shares", shares).withColumn("s", F.array_sort("vals")).withColumn("r", ranks)
-    return out.select("series_id", "segment", "start_ns", "end_ns", F.when(F.size(F.array_distinct("edges")) == 9, psi).alias("psi"), F.try_divide(far, F.col("spread")).alias("wasserstein"))
+    far = F.aggregate(F.zip_with("g", "_ranked", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, d: a + d) / 21
+    return seg.select(*key, "start_ns", "end_ns", F.when(F.size(F.array_distinct("edges")) == 9, psi).alias("psi"), F.try_divide(far, F.col("spread")).alias("wasserstein"))
 
 
 def _grid(norm: DataFrame) -> DataFrame:

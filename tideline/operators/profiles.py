@@ -16,6 +16,8 @@ from tideline.operators.tables import written
 #: What may be known of a series beforehand; all but the id may be null.
 META = "series_id string, unit string, kind string, interval_ns long, low double, high double, op_low double, op_high double, non_negative boolean, own_resolution double, sla_ns long, max_rate double"
 SHARES = ("good", "uncertain", "bad", "estimated")
+#: Figures that checks hold a series against: those of its baseline, if it has one.
+BASIS = ("n_finite", "distinct_values", "quantiles", "q001", "q999", "median", "mad", "resolution", "constant_fraction", "interval", "rate_p999", "noise_sigma")
 
 
 def beside(norm: DataFrame) -> DataFrame:
@@ -67,3 +69,13 @@ def profile(near: DataFrame, meta: DataFrame | None = None) -> DataFrame:
     out = base.join(quantiles.drop("mid_diff"), "series_id", "left").join(mads, "series_id", "left").join(distinct, "series_id", "left")
     out = out.join(resolution(near), "series_id", "left").join(constant_fraction(near).withColumnRenamed("fraction", "constant_fraction"), "series_id", "left")
     return out.withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0)))
+
+
+def basis(prof: DataFrame, given: DataFrame | None = None) -> DataFrame:
+    """``(series_id, baseline, <BASIS>)``: what each profiled series is held against. ``baseline`` is ``baseline`` where ``given`` has a
+    profile of the series, whose empty figures stay empty, else ``self``."""
+    own = prof.select("series_id", F.struct(*BASIS).alias("own"))
+    if given is None:
+        return own.select("series_id", F.lit("self").alias("baseline"), "own.*")
+    both = own.join(given.select("series_id", F.struct(*BASIS).alias("given")), "series_id", "left")
+    return both.select("series_id", F.when(F.col("given").isNull(), "self").otherwise("baseline").alias("baseline"), F.coalesce("given", "own").alias("x")).select("series_id", "baseline", "x.*")

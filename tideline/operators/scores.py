@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import heapq
+import math
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.meaning import DIMENSIONS, weight
@@ -11,17 +16,53 @@ from tideline.functions.times import DAY, floor_div, plus, since
 METHOD = "v2"
 
 
+def _swept(key: list[str]):
+    """Spans of one key and day in order of their start to the integral of the largest ``w`` that is open: one pass with a heap
+    of the open spans, from which those that have ended go when they come to its top."""
+    columns = [*key, "_day"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, now, total, heap = None, 0, 0.0, []
+
+        def until(t: float) -> None:
+            nonlocal now, total
+            while heap and now < t:
+                w, end = heap[0]
+                if end <= now:
+                    heapq.heappop(heap)
+                    continue
+                total += -w * (min(end, t) - now)
+                now = min(end, t)
+
+        for rows in batches:
+            out = []
+            for *own, s, e, w in rows[[*columns, "s", "e", "w"]].itertuples(index=False, name=None):
+                if own != at:
+                    until(math.inf)
+                    if at is not None:
+                        out.append((*at, total))
+                    at, total, heap = own, 0.0, []
+                until(s)
+                now = s
+                heapq.heappush(heap, (-w, e))
+            yield pd.DataFrame(out, columns=[*columns, "part"])
+        until(math.inf)
+        if at is not None:
+            yield pd.DataFrame([(*at, total)], columns=[*columns, "part"])
+
+    return run
+
+
 def merged_coverage(spans: DataFrame, key: list[str], width: int = DAY) -> DataFrame:
-    """``(*key, integral)``: the integral over time of the largest ``w`` of the spans ``[s, e)`` that are
-    open. Spans are cut at days and dealt to them; the bounds in a day cut it into pieces, and each span is dealt
-    to the pieces of the day that it covers, so that spans meet only those of the same day."""
+    """``(*key, integral)``: the integral over time of the largest ``w`` of the spans ``[s, e)`` that are open. Spans are cut
+    at days and dealt to them; those of a day are swept in order of their start, in time that grows with their number
+    and its logarithm."""
     own = spans.where("e > s").select(*key, "s", "e", (F.round(F.col("w") * 1e6) / 1e6).alias("w"))
     days = own.withColumn("_day", F.explode(F.sequence(floor_div(F.col("s"), width), floor_div(F.col("e") - 1, width))))
     cut = days.select(*key, "_day", F.greatest("s", F.try_multiply(F.col("_day"), F.lit(width))).alias("s"), F.least("e", F.try_multiply(F.col("_day") + 1, F.lit(width))).alias("e"), "w").groupBy(*key, "_day", "s", "e").agg(F.max("w").alias("w"))
-    bounds = cut.select(*key, "_day", F.explode(F.array("s", "e")).alias("t")).distinct()
-    pieces = bounds.withColumn("u", F.lead("t").over(Window.partitionBy(*key, "_day").orderBy("t"))).where("u is not null")
-    open_ = pieces.join(cut, [*key, "_day"]).where("s <= t and e >= u").groupBy(*key, "_day", "t", "u").agg(F.max("w").alias("w"))
-    return open_.groupBy(*key).agg(F.sum(since(F.col("t"), F.col("u")) * F.col("w")).alias("integral"))
+    ordered = cut.repartition(*key, "_day").sortWithinPartitions(*key, "_day", "s")
+    kinds = ", ".join(f"{c} {spans.schema[c].dataType.simpleString()}" for c in key)
+    return ordered.mapInPandas(_swept(key), f"{kinds}, _day long, part double").groupBy(*key).agg(F.sum("part").alias("integral"))
 
 
 def score(findings: DataFrame, window: DataFrame) -> DataFrame:

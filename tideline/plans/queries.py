@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import meaning, times
 from tideline.functions.times import DAY, HOUR, MIN, SEC
-from tideline.operators import charts, checks, group_rules, groups, kernels, lifecycle, normalize, profiles, ranks, scores, seasonal, sequence, tables
+from tideline.operators import baselines, charts, checks, group_rules, groups, kernels, lifecycle, normalize, profiles, ranks, scores, seasonal, sequence, tables
 from tideline.plans import registry
 from tideline.sources import files, store
 
@@ -300,14 +300,14 @@ def check_level_drift(spark, sf):
 @query(f"""WITH {OBS}, {NORM}, {GOOD}, {WIN}, seg AS (SELECT g.*, (g.ts_ns - w_start) // {3 * DAY} AS segment FROM good g JOIN win USING (series_id)), g0 AS (SELECT series_id, list_sort(list(value)) AS v, count(*) AS n FROM good GROUP BY 1),
  grid AS (SELECT series_id, list_transform(range(21), lambda i: v[CAST(floor((n - 1) * (i / 20.0)::DOUBLE + 0.5) AS BIGINT) + 1]) AS g FROM g0), sv AS (SELECT series_id, segment, list_sort(list(value)) AS s, count(*) AS n FROM seg GROUP BY 1, 2 HAVING count(*) >= 100),
  sb AS (SELECT s.series_id, s.segment, b, count(*) FILTER (list_sum(list_transform([3, 5, 7, 9, 11, 13, 15, 17, 19], lambda k: (g[k] < value)::INT)) = b) / count(*) AS share FROM seg s JOIN grid USING (series_id), (SELECT unnest(range(10)) AS b) GROUP BY 1, 2, 3 HAVING count(*) >= 100),
- ps AS (SELECT series_id, segment, sum((greatest(share, 1e-4) - 0.1) * ln(greatest(share, 1e-4) / 0.1)) AS psi FROM sb GROUP BY 1, 2), sr AS (SELECT sv.series_id, segment, g, list_transform(range(21), lambda i: s[CAST(floor((n - 1) * i / 20 + 0.5) AS BIGINT) + 1]) AS r FROM sv JOIN grid USING (series_id)) SELECT sr.series_id, sr.segment, round(list_sum(list_transform(range(1, 22), lambda i: abs(g[i] - r[i]))) / 21 / (g[16] - g[6]), 6) AS wasserstein, round(ps.psi, 6) AS psi FROM sr JOIN ps ON ps.series_id = sr.series_id AND ps.segment = sr.segment""")
+ ps AS (SELECT series_id, segment, sum((greatest(share, 1e-4) - 0.1) * ln(greatest(share, 1e-4) / 0.1)) AS psi FROM sb GROUP BY 1, 2), sr AS (SELECT sv.series_id, segment, g, list_transform(range(21), lambda i: s[CAST(floor((n - 1) * (i / 20.0)::DOUBLE + 0.5) AS BIGINT) + 1]) AS r FROM sv JOIN grid USING (series_id)) SELECT sr.series_id, sr.segment, round(list_sum(list_transform(range(1, 22), lambda i: abs(g[i] - r[i]))) / 21 / (g[16] - g[6]), 6) AS wasserstein, round(ps.psi, 6) AS psi FROM sr JOIN ps ON ps.series_id = sr.series_id AND ps.segment = sr.segment""")
 def check_distribution_drift(spark, sf):
     return checks.distribution_drift(norm(spark, sf), 3 * DAY).select("series_id", "segment", r6("wasserstein"), r6("psi"))
 
 
 @query(f"WITH {SEGS} SELECT series_id, segment, {pick('value', 0.5)} AS med, count(*) AS n FROM seg GROUP BY 1, 2")
 def changepoint_buckets(spark, sf):
-    return checks.segment_values(norm(spark, sf), DAY).select("series_id", "segment", ranks.pick(F.col("vals"), 0.5).alias("med"), F.size("vals").cast("long").alias("n"))
+    return checks.segment_medians(norm(spark, sf), DAY).select("series_id", "segment", "med", "n")
 
 
 @query()
@@ -703,3 +703,42 @@ def merge_metadata(spark, sf):
     known = p.select(F.col("p_partkey").alias("series_id"), F.col("p_brand").alias("unit"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).alias("name"))
     new = p.select((F.col("p_partkey") + 7).alias("series_id"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).alias("name"))
     return lifecycle.merge_metadata(known, new)
+
+
+#: Rows that a baseline may be fitted on: a few days of any event series at each scale.
+BASE_ROWS = 150_000
+BASE = f"""{COVER}, {NORM}, ex AS (SELECT series_id, min(start_ns) AS lo, max(end_ns) AS hi FROM cov GROUP BY 1), tr AS (SELECT c.*, hi, d, greatest(lo, hi - d * {DAY}) AS f FROM cov c JOIN ex USING (series_id), (SELECT unnest([28, 14, 7, 3, 1]) AS d)),
+ sz AS (SELECT series_id, hi, d, f, CAST(ceil(sum(n_rows * (greatest(0, end_ns - greatest(start_ns, f)) / (end_ns - start_ns)))) AS BIGINT) AS est FROM tr GROUP BY ALL), wn AS (SELECT series_id, hi, arg_max(f, d) AS f, arg_max(est, d) AS est FROM sz WHERE est <= {BASE_ROWS} GROUP BY 1, 2),
+ cr AS (SELECT series_id, ts_ns AS s, ts_ns + {HOUR} AS e FROM obs WHERE seq % 211 = 0), hit AS (SELECT DISTINCT n.series_id, n.ts_ns FROM norm n JOIN cr ON cr.series_id = n.series_id AND n.ts_ns >= s AND n.ts_ns < e),
+ rw AS (SELECT n.*, f, hi, CASE WHEN quality = 2 THEN 'bad' WHEN value IS NULL THEN 'number' WHEN h.ts_ns IS NOT NULL THEN 'finding' END AS taken FROM norm n JOIN wn USING (series_id) LEFT JOIN hit h ON h.series_id = n.series_id AND h.ts_ns = n.ts_ns WHERE n.ts_ns >= f AND n.ts_ns < hi)"""
+
+
+def _base_cover(spark, sf):
+    return _cover(spark, sf).withColumnsRenamed({"start_ns": "range_start", "end_ns": "range_end"})
+
+
+def _base_fit(spark, sf):
+    critical = obs(spark, sf).where("seq % 211 = 0").select("series_id", F.col("ts_ns").alias("start_ns"), (F.col("ts_ns") + HOUR).alias("end_ns"), F.lit("critical").alias("severity"), F.lit("open").alias("status"))
+    return baselines.fit(norm(spark, sf), _base_cover(spark, sf), critical, BASE_ROWS)
+
+
+@query(f"WITH {BASE} SELECT series_id, f AS from_ns, hi AS to_ns, est AS est_rows FROM wn UNION ALL SELECT series_id, NULL, hi, NULL FROM ex WHERE series_id NOT IN (SELECT series_id FROM wn)")
+def baseline_window(spark, sf):
+    return baselines.fit_window(_base_cover(spark, sf), BASE_ROWS)
+
+
+@query(f"""WITH {BASE}, kp AS (SELECT * FROM rw WHERE taken IS NULL), md AS (SELECT series_id, {pick('value', 0.5)} AS median, {pick('value', 0.999)} AS q999, min(value) AS lowest FROM kp GROUP BY 1), ma AS (SELECT series_id, {pick('abs(value - median)', 0.5)} AS mad FROM kp JOIN md USING (series_id) GROUP BY 1),
+ ct AS (SELECT series_id, f AS from_ns, hi AS to_ns, count(*) FILTER (taken IS NULL) AS n_samples, count(*) FILTER (taken = 'bad') AS bad, count(*) FILTER (taken = 'finding') AS in_findings FROM rw GROUP BY 1, 2, 3) SELECT ct.*, median, q999, lowest, round(mad, 6) AS mad FROM ct JOIN md USING (series_id) JOIN ma USING (series_id) WHERE n_samples >= 50""")
+def baseline_fit(spark, sf):
+    found = _base_fit(spark, sf).where("status = 'fitted'").select("series_id", "from_ns", "to_ns", "n_samples", "excluded.bad", F.col("excluded.findings").alias("in_findings"), *[F.col(f"profile.{c}") for c in ("median", "q999", "lowest", "mad")])
+    return found.withColumn("mad", F.round("mad", 6))
+
+
+@query(f"WITH {BASE}, ct AS (SELECT series_id, count(*) FILTER (taken IS NULL) AS n FROM rw GROUP BY 1), ok AS (SELECT series_id FROM ct WHERE n >= 50), old AS (SELECT *, series_id <> (SELECT min(series_id) FROM ok) AS same FROM ok) SELECT series_id, CASE WHEN same THEN 'unchanged' ELSE 'stored' END AS status, CASE WHEN same THEN 1 ELSE 2 END AS version FROM old")
+def baseline_versions(spark, sf):
+    """A second fit over baselines of which one has another profile than before."""
+    fitted = tables.written(_base_fit(spark, sf), "fitted")
+    first = baselines.store(None, fitted, T1)[0]
+    other = F.col("series_id") == fitted.where("status = 'fitted'").agg(F.min("series_id")).first()[0]
+    changed = first.withColumn("n_samples", F.col("n_samples") + 1).withColumn("profile", F.col("profile").withField("median", F.when(other, F.lit(-1.0)).otherwise(F.col("profile.median"))))
+    return baselines.store(changed, fitted, T1 + DAY)[1].where("version is not null")

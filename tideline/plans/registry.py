@@ -9,7 +9,8 @@ from typing import Any, NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators import checks, group_rules, normalize, profiles, rules, scores
+from tideline.operators import checks, group_rules, normalize, rules, scores
+from tideline.operators import profiles as own
 from tideline.operators.checks import PREFIX
 from tideline.operators.tables import written
 
@@ -48,7 +49,7 @@ class Result(NamedTuple):
     scores: DataFrame
 
 
-REGISTRY = {PREFIX + name: Check(PREFIX + name, dimension, severity, rule, own is group_rules.RULES) for own in (rules.RULES, group_rules.RULES) for name, (dimension, severity, rule) in own.items()}
+REGISTRY = {PREFIX + name: Check(PREFIX + name, dimension, severity, rule, kind is group_rules.RULES) for kind in (rules.RULES, group_rules.RULES) for name, (dimension, severity, rule) in kind.items()}
 
 
 def validate(configs: list[Config]) -> None:
@@ -64,19 +65,22 @@ def catalogue() -> list[dict[str, Any]]:
     return [{"id": c.id, "dimension": c.dimension, "severity": c.severity, "groups": c.groups, "params": c.params()} for c in REGISTRY.values()]
 
 
-def run_checks(obs: DataFrame, configs: list[Config] | None = None, meta: DataFrame | None = None, groups: DataFrame | None = None, now: int | None = None) -> Result:
+def run_checks(obs: DataFrame, configs: list[Config] | None = None, meta: DataFrame | None = None, groups: DataFrame | None = None, now: int | None = None, profiles: DataFrame | None = None) -> Result:
     """``(findings, metrics, skipped, scores)`` of all series of ``obs``, each one table that is written once. ``meta`` (as of
     ``profiles.META``) tells what is known of series, ``groups`` (as of ``group_rules.GROUPS``) which belong together,
-    ``now`` the time that series are stale by (staleness is not judged without).
+    ``now`` the time that series are stale by (staleness is not judged without). ``profiles`` (as of
+    ``baselines.profiles_of``) gives baselines; a series that has one is held against it, others against themselves, and
+    evidence says which.
 
     The source is read for the deliveries' own checks and to normalise it; rows with the row before and profiles are
     written once, and all other checks read these. Empty input gives empty results."""
     configs = [Config(i) for i in REGISTRY] if configs is None else configs
     validate(configs)
     spark = obs.sparkSession
-    near = written(profiles.beside(normalize.normalized(obs)), "rows")
-    prof = written(profiles.profile(near, meta), "profiles")
-    run = rules.Run(obs, near, prof, now or 0)
+    near = written(own.beside(normalize.normalized(obs)), "rows")
+    prof = written(own.profile(near, meta), "profiles")
+    base = own.basis(prof) if profiles is None else written(own.basis(prof, profiles), "bases")
+    run = rules.Run(obs, near, prof, 0 if now is None else now, base)
     members = spark.createDataFrame([], group_rules.GROUPS) if groups is None else groups
     found, metrics, skipped = (spark.createDataFrame([], schema) for schema in (FINDING, METRIC, SKIPPED))
     for c in configs:
@@ -86,8 +90,8 @@ def run_checks(obs: DataFrame, configs: list[Config] | None = None, meta: DataFr
         if c.id == PREFIX + "staleness" and now is None:
             skipped = skipped.unionByName(prof.select(F.lit(c.id).alias("check_id"), "series_id", F.lit("no time is given").alias("reason")))
             continue
-        own = {k: v for k, v in c.params.items() if v is not None}
-        out = check.rule(run, members, **own) if check.groups else check.rule(run, **own)
+        params = {k: v for k, v in c.params.items() if v is not None}
+        out = check.rule(run, members, **params) if check.groups else check.rule(run, **params)
         tag = lambda df: df.withColumn("check_id", F.lit(c.id))  # noqa: B023, E731
         if out.findings is not None:
             found = found.unionByName(tag(out.findings).withColumn("dimension", F.lit(check.dimension)).select(*found.columns))
