@@ -45,9 +45,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays, with all its rows if it has several; of
-    texts that one set of shingles stands for, rows without an id go if a row with an id has it. Texts without words
-    stay."""
+    """Of each group of near-duplicate texts the rows with the smallest id stay; others of the group go, and those without an
+    id if any has one. A row is judged by its own text, whatever other rows share its id. Texts without words stay."""
     rows, row = _numbered(docs)
     found = near_duplicates(rows, carry=(row,))
     return _without(rows, found.where("not kept").select(row), row)

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import _text
@@ -41,6 +41,11 @@ MARGIN = 0.25
 TOP = np.uint64(1 << 63)
 
 
+def _text_hash() -> Column:
+    """Tells the texts of one id apart, as ids may repeat."""
+    return F.xxhash64("text").alias("text_hash")
+
+
 def _sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each document of a chunk."""
     tokens = _text.Tokens(*_text.utf8(batch.column("text")), _text.NOT_SPACE)
@@ -53,8 +58,10 @@ def _sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
 
 
 def sketches(docs: DataFrame, k: int = 48, width: int = 5, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc_id, *carry, n_shingles, set_a, set_b, sketch)``: the size of each document's shingle set, a
-    128-bit fingerprint of the set, and its ``k`` smallest hashes (as signed numbers of the same order). Null text has the empty set."""
+    """``(doc_id, *carry, text_hash, n_shingles, set_a, set_b, sketch)``: the size of each document's shingle set, a
+    128-bit fingerprint of the set, and its ``k`` smallest hashes (as signed numbers of the same order). Null text has the
+    empty set."""
+    carry = (*carry, "text_hash")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.chunks(batches):
@@ -72,8 +79,9 @@ def sketches(docs: DataFrame, k: int = 48, width: int = 5, carry: tuple[str, ...
                 ["doc_id", *carry, "n_shingles", "set_a", "set_b", "sketch"],
             )
 
-    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry))
-    return docs.select("doc_id", *carry, "text").mapInArrow(of, f"{kinds}, n_shingles long, set_a long, set_b long, sketch array<long>")
+    own = docs.select("doc_id", *carry[:-1], _text_hash(), "text")
+    kinds = ", ".join(f"{c} {own.schema[c].dataType.simpleString()}" for c in ("doc_id", *carry))
+    return own.mapInArrow(of, f"{kinds}, n_shingles long, set_a long, set_b long, sketch array<long>")
 
 
 def _listed(classes: DataFrame, least_share: float) -> DataFrame:
@@ -204,18 +212,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, k: int =
     Documents link if 100 * |intersection| >= ``percent`` * |union| of their sets of ``width``-word
     shingles. ``component_id`` is the smallest doc_id that can be reached, ``class_id`` the smallest
     with the very same set. Null, empty and word-less texts have no shingles, link with nothing and
-    are kept. A text of fewer words has one shingle, all of them. Repeated doc_ids are an error of the
-    input and give one row each with the same component; a row without an id is kept only if no row with an id has
-    the same set. Other columns of ``docs`` are ignored; an
-    empty table gives an empty result. The thresholds hold at any size; nothing is capped.
+    are kept. A text of fewer words has one shingle, all of them.
+
+    Every row is judged by its own text: ids of any type may repeat or be null. Rows of one id with different texts are in
+    the components of these texts, and ``kept`` says whether a row's id is the smallest of its component, so all rows of the id
+    that stays, do. Nulls are larger than any id; rows of a component without any id all stay. Other columns of ``docs`` are
+    ignored; an empty table gives an empty result. The thresholds hold at any size; nothing is capped.
     """
     found = written(sketches(docs, k, width, carry), "sketches")
     some = found.where("n_shingles > 0")
-    same = some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").cast("long").alias("id"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
-    classes = written(same, "classes")
+    same = some.groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.min("doc_id").alias("class_id"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
+    classes = written(same.withColumn("id", F.monotonically_increasing_id()), "classes")
     listed = written(_listed(classes.select("id", "sketch"), least_share), "lists")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(listed.select("id").distinct(), "id").dropDuplicates(["id"])
-    texts = written(texts, "texts")
+    # one text of each class that is listed
+    reps = classes.join(listed.select("id").distinct(), "id").select("id", F.col("at.doc_id").alias("_doc"), F.col("at.text_hash").alias("_hash"))
+    own = docs.select("doc_id", _text_hash(), "text").join(reps, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
+    texts = written(own.select("id", "text").dropDuplicates(["id"]), "texts")
 
     def near(stars: DataFrame) -> DataFrame:
         x, y = (classes.select(F.col("id").alias(i), F.col("n_shingles").alias(f"n_{i}"), F.col("sketch").alias(f"sketch_{i}")) for i in ("id", "hub"))
@@ -225,7 +237,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, k: int =
 
     parts = similar_components(listed, near, _verifier(texts, width, percent), _crosser(texts, width, percent, k, margin))
     discard(texts)
-    roots = classes.join(parts, "id", "left").select("set_a", "set_b", "n_shingles", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
+    placed = classes.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = placed.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    roots = placed.join(least, "component").select("set_a", "set_b", "n_shingles", "class_id", "component_id")
     placed = some.select("doc_id", *carry, "n_shingles", "set_a", "set_b").join(roots, ["set_a", "set_b", "n_shingles"]).select("doc_id", *carry, "n_shingles", "class_id", "component_id")
-    alone = found.where("n_shingles = 0").select("doc_id", *carry, "n_shingles", F.col("doc_id").cast("long").alias("class_id"), F.col("doc_id").cast("long").alias("component_id"))
+    alone = found.where("n_shingles = 0").select("doc_id", *carry, "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     return placed.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
