@@ -252,9 +252,60 @@ def test_broken_tags_take_linear_time():
         began = time.time()
         main_text(part * 8000)
         assert time.time() - began < 2, part
+    for page in ("<b>" * 16000 + "</i>" * 16000, "<b>" * 9000 + "x<hr>" * 9000, "<ul><div>" * 5000 + "<li></li>" * 9000, "<div>x" * 9000, "<p><button>" + "<b>" * 9000 + "<hr>" * 9000):
+        began = time.time()
+        main_text(page)
+        assert time.time() - began < 1, page[:20]
     assert main_text('<p title="' + "a" * 50 + "<article><p>" + "text that stays here " * 20 + "</article>").endswith("stays here")
 
 
+def test_names_of_frames_do_not_outvote_the_text():
+    from tideline.llm.html_text import main_text
+
+    story = "".join(f"<p>{'the story goes on and on ' * 8}{k}.</p>" for k in range(6))
+    want = " ".join(re.sub("<[^>]+>", " ", story).split())
+    menu, foot = "<nav><ul><li><a href=x>Home</a><li><a href=y>News of today</a></ul></nav>", "<footer>All rights reserved by us and nobody else</footer>"
+    readers = "<div class='comments'>" + f"<p>{'I say this is a great text thanks ' * 9}</p>" * 9 + "</div>"
+    aside = "<aside class='sidebar'><article class=teaser><p>Read more of this and that here today and tomorrow</p></article></aside>"
+    frames = [
+        ('<article class="post comments-open">', "</article>"),
+        ('<article><div class="post hentry comments-open">', "</div></article>"),
+        ('<article><div class="ad-free-content">', "</div></article>"),
+        ('<article><div class="content social-layout">', "</div></article>"),
+        ('<form id="aspnetForm"><article>', "</article></form>"),
+        ('<form id="aspnetForm"><div id=story>', "</div></form>"),
+        ('<div class="layout sidebar-right"><main>', "</main></div>"),
+        ('<div class="layout sidebar-right"><div>', "</div></div>"),
+        ('<div class="header-wrapper"><article class="widget">', "</article></div>"),
+    ]
+    for head, tail in frames:
+        for rest in ("", readers, aside, readers + aside):
+            if not (rest and "<article" not in head and "<main" not in head):
+                assert main_text(f"<body>{menu}{head}{story}{tail}{rest}{foot}</body>") == want, (head, rest[:20])
+            assert main_text(f"<body>{menu}{head}{story}{rest}{tail}{foot}</body>") == want or "<article" not in head and rest, (head, rest[:20])
+
+
+def test_flow_by_brute_force():
+    import itertools
+    import random
+    import time
+
+    from tideline.llm.html_text import minimum_cut
+
+    r = random.Random(2)
+    for _ in range(300):
+        n = r.randint(1, 9)
+        margins = [r.randint(-200, 200) for _ in range(n)]
+        links = [(a, b, r.randint(0, 120)) for a in range(n) for b in range(a) if r.random() < 0.5]
+        cost = lambda side: sum(max(0, -m) if s else max(0, m) for m, s in zip(margins, side)) + sum(c for a, b, c in links if side[a] != side[b])  # noqa: B023, E731
+        assert cost(minimum_cut(margins, links)) == min(map(cost, itertools.product((False, True), repeat=n)))
+    n = 4000
+    margins = [r.choice((-90, 40, 130, 170, -60)) for _ in range(n)]
+    began = time.time()
+    minimum_cut(margins, [(i, i + 1, 110) for i in range(n - 1)] + [(i, i + 2, 90) for i in range(0, n - 2, 2)])
+    assert time.time() - began < 1
+
+
 def test_pages_of_nothing(spark):
     from tideline.llm.html_text import extract
 

@@ -37,6 +37,10 @@ CONTENT_WORDS = frozenset("article body content entry main post story text".spli
 
 #: Parts of names that say what an element lacks or is around, not what it is.
 ABOUT = frozenset("no has have with without hide is not show page single site".split())
+#: Last parts of names that tell of a state or an arrangement, and what says that the word before is missing.
+STATES, WITHOUT = frozenset("open closed enabled disabled on off layout wrapper wrap container grid columns".split()), "free"
+#: Names of what readers write; what holds it stays boilerplate, however much it is.
+READERS = frozenset("comment comments disqus reply replies respond".split())
 #: Elements whose names tell of the page and not of a block.
 WHOLE = frozenset("html body".split())
 
@@ -95,9 +99,16 @@ class Element:
     parent: Element | None
     article: bool = False
     main: bool = False
-    score: int = 0
+    own: int = 0
+    readers: bool = False
     hidden: bool = False
     link: bool = False
+    words: int = 0
+    marked: bool = False
+    whole: bool = False
+    score: int = 0
+    inside: bool = False
+    outside: bool = False
 
 
 @dataclass
@@ -108,44 +119,91 @@ class Block:
     text: str = ""
 
 
+def _named(value: str) -> tuple[int, bool]:
+    """What a class or id tells of an element, and whether of what readers write."""
+    words: set[str] = set()
+    for part in value.split():
+        own = _WORD.findall(part)
+        if not own or own[0] in ABOUT or len(own) > 1 and own[-1] in STATES:
+            continue
+        words.update(w for w, after in zip(own, [*own[1:], ""]) if after != WITHOUT)
+    return WORDS if words & BOILERPLATE_WORDS else CONTENT if words & CONTENT_WORDS else 0, bool(words & READERS)
+
+
 def _open(tag: str, attributes: str, parent: Element | None) -> Element:
     e = Element(tag, parent)
     if parent:
-        e.article, e.main, e.score, e.hidden, e.link = parent.article, parent.main, parent.score, parent.hidden, parent.link
+        e.article, e.main, e.hidden, e.link = parent.article, parent.main, parent.hidden, parent.link
+    e.marked, e.whole = tag in ("article", "main"), tag == "article"
     e.article |= tag == "article"
     e.main |= tag == "main"
     e.link |= tag == "a"
     e.hidden |= tag == "head"
-    e.score += BOILERPLATE * (tag in BOILERPLATE_TAGS)
+    e.own += BOILERPLATE * (tag in BOILERPLATE_TAGS)
     if attributes and not attributes.isspace():
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id") and tag not in WHOLE:
-                parts = [_WORD.findall(x) for x in value.split()]
-                words = {w for p in parts if p and p[0] not in ABOUT for w in p}
-                e.score += WORDS if words & BOILERPLATE_WORDS else CONTENT if words & CONTENT_WORDS else 0
+                told, readers = _named(value)
+                e.own += told
+                e.readers |= readers
             elif name == "role":
-                e.score += BOILERPLATE * (value in BOILERPLATE_ROLES)
+                e.own += BOILERPLATE * (value in BOILERPLATE_ROLES)
                 e.main |= value == "main"
                 e.article |= value == "article"
+                e.marked |= value in ("main", "article")
+                e.whole |= value == "article"
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
                 e.hidden = True
     return e
 
 
+def _weigh(elements: list[Element]) -> None:
+    """Scores of elements (parents before what they hold) from their own marks and those around them. What is held against an
+    element is dropped where it must be the frame of the text and no part beside it: it is the article or main part with the
+    most words, or holds it, or holds over half the words of that part (of the page, if none is marked) and is not what
+    readers write. Where an article has most of the text, what is in none is ``outside``."""
+    for e in reversed(elements[1:]):
+        e.parent.words += e.words
+    best = max((e for e in elements if e.marked and e.words and not e.readers), key=lambda e: e.words, default=None)
+    article = max((e.words for e in elements if e.whole and not e.readers), default=0)
+    is_article = best is not None and 2 * article > best.words
+    frame = set()
+    e = best
+    while e is not None:
+        frame.add(id(e))
+        e = e.parent
+    whole = best or elements[0]
+    for e in elements:
+        e.inside = e is whole or e.parent is not None and e.parent.inside
+        framing = id(e) in frame or e.inside and not e.readers and 2 * e.words > whole.words
+        e.outside = is_article and not e.article
+        e.score = (e.parent.score if e.parent else 0) + (max(0, e.own) if framing else e.own)
+
+
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order, without scripts, styles, comments and hidden parts."""
+    """The text blocks of a page in order, without scripts, styles, comments and hidden parts. Open elements are found by
+    their places by tag, so no tag makes the stack be searched."""
     top = Element("#root", None)
-    stack = [top]
+    stack, elements = [top], [top]
+    places: dict[str, list[int]] = {}
+    framed = [0]  # places of block elements, and of the root
     out: list[Block] = []
     now: Block | None = None
 
     def close(to: int) -> None:
         nonlocal now
-        if any(x.tag in BLOCK for x in stack[to:]):
+        if framed[-1] >= to:
             now = None
+        while framed[-1] >= to:
+            framed.pop()
+        for x in stack[to:]:
+            places[x.tag].pop()
         del stack[to:]
 
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     size = len(page)
     read = tokens(page)
     sent = None
@@ -163,39 +221,28 @@ def blocks(page: str) -> list[Block]:
             if now is None:
                 if s.isspace():
                     continue
-                now = Block(next((x for x in reversed(stack) if x.tag in BLOCK), top))
+                now = Block(stack[framed[-1]])
                 out.append(now)
             s = html.unescape(s) if "&" in s else s
             now.parts.append(s)
             if here.link:
                 now.linked += len(s)
             continue
-        tag = m[2]
-        tag = tag.lower()
+        tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-            else:
-                if tag in BLOCK:
-                    now = None
+            if places.get(tag):
+                close(places[tag][-1])
+            elif tag in BLOCK:
+                now = None
             continue
         if tag in BLOCK:
             now = None
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    close(i)
-                    break
-                if stack[i].tag in BLOCK:
-                    break
+            if stack[framed[-1]].tag == "p":
+                close(framed[-1])
         if tag in ENDS_OWN:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ENDS_OWN[tag]:
-                    close(i)
-                    break
-                if stack[i].tag in BARRIER.get(tag, ()):
-                    break
+            own = last(ENDS_OWN[tag])
+            if own > last(BARRIER.get(tag, ())):
+                close(own)
         if tag in VOID:
             if tag in ("br", "hr") and now is not None:
                 now.parts.append(" ")
@@ -205,24 +252,29 @@ def blocks(page: str) -> list[Block]:
                 close_at = _ENDS[tag].search(page, end)
                 sent = size if close_at is None else page.find(">", close_at.start()) + 1 or size
             continue
+        places.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            framed.append(len(stack))
         stack.append(_open(tag, m[3], stack[-1]))
+        elements.append(stack[-1])
     for b in out:
         b.text = " ".join("".join(b.parts).split())
+        b.container.words += b.text.count(" ") + 1 if b.text and 2 * b.linked <= len(b.text) else 0
+    _weigh(elements)
     return [b for b in out if b.text]
 
 
-def margin(b: Block, has_article: bool = False) -> int:
+def margin(b: Block) -> int:
     """The cost of calling a block boilerplate less that of calling it content (the classifier's
-    log-odds in hundredths). ``has_article``: whether the page marks some part as an article."""
+    log-odds in hundredths)."""
     e, words = b.container, b.text.count(" ") + 1
     links = min(1.0, b.linked / len(b.text))
     heading = HEADING * (e.tag[0] == "h" and e.tag[1:].isdigit())
-    return BIAS + IN_ARTICLE * e.article + OUTSIDE * (has_article and not e.article) + IN_MAIN * e.main + e.score + heading + round(LINKS * links) + min(MOST_WORDS, PER_WORD * words)
+    return BIAS + IN_ARTICLE * e.article + OUTSIDE * e.outside + IN_MAIN * e.main + e.score + heading + round(LINKS * links) + min(MOST_WORDS, PER_WORD * words)
 
 
 def margins(found: list[Block]) -> list[int]:
-    has_article = any(b.container.article for b in found)
-    return [margin(b, has_article) for b in found]
+    return [margin(b) for b in found]
 
 
 def edges(found: list[Block]) -> list[tuple[int, int, int]]:
@@ -261,35 +313,66 @@ def minimum_cut(margins: list[int], links: list[tuple[int, int, int]]) -> list[b
             near[i] = {}
     left = [i for i in range(n) if side[i] is None]
     if left:
-        source, sink = n, n + 1
-        room = {i: dict(near[i]) for i in left} | {source: {}, sink: {}}
-        for i in left:
-            a, b = (source, i) if margins[i] > 0 else (i, sink)
-            room[a][b] = abs(margins[i])
-            room[b].setdefault(a, 0)
-        while True:
-            came, queue = {source: source}, deque([source])
-            while queue and sink not in came:
-                a = queue.popleft()
-                for b, c in room[a].items():
-                    if c and b not in came:
-                        came[b] = a
-                        queue.append(b)
-            if sink not in came:
-                break
-            path, b = [], sink
-            while b != source:
-                path.append((came[b], b))
-                b = came[b]
-            least = min(room[a][b] for a, b in path)
-            for a, b in path:
-                room[a][b] -= least
-                room[b][a] = room[b].get(a, 0) + least
-        for i in left:
-            side[i] = i in came
+        for i, kept in zip(left, _flow(left, margins, near), strict=True):
+            side[i] = kept
     return side
 
 
+def _flow(nodes: list[int], margins: list[int], near: list[dict[int, int]]) -> list[bool]:
+    """Whether each node can still be reached from the source after a maximum flow: shortest paths are filled a level at a time,
+    each edge that leads nowhere is tried once a round."""
+    at = {i: k for k, i in enumerate(nodes)}
+    source, sink = len(nodes), len(nodes) + 1
+    edges: list[list[int]] = [[] for _ in range(sink + 1)]
+    to, room = [], []
+
+    def join(a: int, b: int, there: int, back: int) -> None:
+        for x, y, c in ((a, b, there), (b, a, back)):
+            edges[x].append(len(to))
+            to.append(y)
+            room.append(c)
+
+    for k, i in enumerate(nodes):
+        join(*((source, k) if margins[i] > 0 else (k, sink)), abs(margins[i]), 0)
+        for j, c in near[i].items():
+            if k < at[j]:
+                join(k, at[j], c, c)
+    while True:
+        level = [-1] * (sink + 1)
+        level[source], queue = 0, deque([source])
+        while queue:
+            a = queue.popleft()
+            for e in edges[a]:
+                if room[e] and level[to[e]] < 0:
+                    level[to[e]] = level[a] + 1
+                    queue.append(to[e])
+        if level[sink] < 0:
+            return [level[k] >= 0 for k in range(len(nodes))]
+        tried, path, a = [0] * (sink + 1), [], source
+        while True:
+            if a == sink:
+                least = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= least
+                    room[e ^ 1] += least
+                full = next(k for k, e in enumerate(path) if not room[e])
+                a = to[path[full] ^ 1]
+                del path[full:]
+                continue
+            while tried[a] < len(edges[a]):
+                e = edges[a][tried[a]]
+                if room[e] and level[to[e]] == level[a] + 1:
+                    path.append(e)
+                    a = to[e]
+                    break
+                tried[a] += 1
+            else:
+                if a == source:
+                    break
+                level[a] = -1
+                a = to[path.pop() ^ 1]
+
+
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
     keep = minimum_cut(margins(found), edges(found))
