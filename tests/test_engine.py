@@ -206,16 +206,6 @@ def test_streaming(spark, tmp_path):
     assert sorted(r.value for r in store.read(spark, path, "raw", "x", ["s"], T, T + HOUR).collect()) == [1.0] * 15 + [9.0] * 5
 
 
-def test_findings_fold_over_batches(spark, tmp_path):
-    drop, path, mark = (str(tmp_path / x) for x in ("drop", "known", "mark"))
-    schema = "id long, series_id string, check_id string, shape array<string>, start_ns long, end_ns long, run_id string"
-    for run, rows in (("r1", [(1, 0, 10), (2, 50, 60)]), ("r2", [(3, 8, 20), (4, 200, 210)])):
-        spark.createDataFrame([(i, "s", "c", ["a"], a, b, run) for i, a, b in rows], schema).coalesce(1).write.mode("append").parquet(drop)
-        ingest.merge_findings(ingest.read_drop(spark, drop, schema), path, mark).awaitTermination()
-    got = {r.id: (r.start_ns, r.end_ns, r.occurrences) for r in spark.read.parquet(f"{path}/1").collect()}
-    assert got == {1: (0, 20, 2), 2: (50, 60, 1), 4: (200, 210, 1)}
-
-
 def test_m4_keeps_extremes(spark):
     v = wave(5000)
     v[1234] = 500.0

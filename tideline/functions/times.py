@@ -69,3 +69,21 @@ def months_start(ts_ns: Column) -> Column:
     """Year and month (UTC) as ``yyyymm``."""
     t = F.timestamp_micros(floor_div(ts_ns, US))
     return F.year(t) * 100 + F.month(t)
+
+
+def before_end(ts_ns: Column, end_ns: Column | int) -> Column:
+    """Whether a time is before the end of a window; the end of time is part of its window."""
+    end = F.lit(end_ns) if isinstance(end_ns, int) else end_ns
+    return (ts_ns < end) | (end == END_OF_TIME)
+
+
+def resolve_window(now: int, last: str | None = None, start: int | None = None, end: int | None = None) -> tuple[int, int]:
+    """``[start, end)`` of a window given as ``last`` (such as ``7d``, one hour to 400 days) or by its bounds."""
+    if last is None:
+        if start is None or end is None or start >= end:
+            raise ValueError("a window needs a start before its end")
+        return start, end
+    width = parse_duration(last)
+    if not HOUR <= width <= 400 * DAY:
+        raise ValueError(f"a window is from an hour to 400 days long, not {last}")
+    return now - width, now

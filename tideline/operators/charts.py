@@ -93,9 +93,23 @@ def quality_runs(norm: DataFrame, start: int, end: int, n: int) -> DataFrame:
     return grouped.groupBy("series_id", "_run", "rank").agg(F.min("start_ns").alias("start_ns"), F.max("end_ns").alias("end_ns"), F.count("*").alias("bins")).drop("_run")
 
 
+#: A power of two that squares of the largest doubles, times it, stay below the end of.
+SMALL = 2.0**-540
+
+
+def moments(value: Column) -> tuple[Column, Column]:
+    """Mean and population deviation that stay finite where sums or squares of values don't: worked out of the values and of
+    values made smaller by a power of two, in one pass whose parts merge; the second counts where the first overflows
+    (what is lost there is 10^-160 of the largest)."""
+    pairs = [(f(value), f(value * SMALL) / SMALL) for f in (F.avg, F.stddev_pop)]
+    return tuple(F.when(finite(whole), whole).otherwise(scaled) for whole, scaled in pairs)
+
+
 def window_stats(norm: DataFrame) -> DataFrame:
+    """``(series_id, n, low, high, mean, sd, first, first_ns)`` of the good values of each series; finite at any size of values."""
     good = norm.where(usable(F.col("quality")) & finite(F.col("value")))
-    return good.groupBy("series_id").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.min_by("value", "ts_ns").alias("first"))
+    mean, sd = moments(F.col("value"))
+    return good.groupBy("series_id").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), mean.alias("mean"), sd.alias("sd"), F.min_by("value", "ts_ns").alias("first"), F.min("ts_ns").alias("first_ns"))
 
 
 def normalise(values: DataFrame, stats: DataFrame) -> DataFrame:

@@ -208,11 +208,20 @@ def series_stats(scores: DataFrame, findings: DataFrame) -> DataFrame:
     return latest(scores).join(runs, "series_id").join(left, "series_id", "left").withColumn("unresolved", F.coalesce("unresolved", F.lit(0)))
 
 
-def merge_metadata(known: DataFrame, incoming: DataFrame, key: str = "series_id") -> DataFrame:
-    """``known`` with the columns that ``incoming`` fills; its empty cells leave what is known. New rows are added."""
-    columns = [c for c in known.columns if c != key]
-    new = incoming.select(key, *[F.col(c).alias(f"_{c}") for c in columns if c in incoming.columns])
-    return known.join(new, key, "full").select(key, *[F.coalesce(f"_{c}", c).alias(c) if c in incoming.columns else F.col(c) for c in columns])
+def merge_metadata(known: DataFrame, incoming: DataFrame, key: str = "series_id", overwrite: bool = False, limits: tuple[tuple[str, str], ...] = (("low", "high"),)) -> DataFrame:
+    """``known`` with what ``incoming`` (one row a key) tells: it fills empty columns, and replaces others only with ``overwrite``; its empty cells
+    leave what is known. New rows are added. Of each pair of ``limits`` neither is taken if the lower would not be below the
+    upper. ``changed`` lists the columns that are other than before, in their order; other columns of ``incoming`` are ignored."""
+    columns = [c for c in known.columns if c not in (key, "changed")]
+    told = [c for c in columns if c in incoming.columns]
+    both = known.select(key, *columns).join(incoming.select(key, *[F.col(c).alias(f"_{c}") for c in told]), key, "full")
+    value = {c: (F.coalesce(f"_{c}", c) if overwrite else F.coalesce(c, f"_{c}")) if c in told else F.col(c) for c in columns}
+    for low, high in limits:
+        if low in columns and high in columns:
+            clash = F.coalesce(value[low] >= value[high], F.lit(False))
+            value |= {c: F.when(clash, F.col(c)).otherwise(value[c]) for c in (low, high)}
+    changed = F.filter(F.array(*[F.when(~value[c].eqNullSafe(F.col(c)), c) for c in told]).cast("array<string>"), lambda c: c.isNotNull())
+    return both.select(key, *[value[c].alias(c) for c in columns], changed.alias("changed"))
 
 
 def due_series(watched: DataFrame, now: int, most: int, lease: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import meaning, times
 from tideline.functions.times import DAY, HOUR, MIN, SEC
-from tideline.operators import baselines, charts, checks, group_rules, groups, kernels, lifecycle, normalize, profiles, ranks, scores, seasonal, sequence, tables
+from tideline.operators import baselines, charts, checks, group_rules, groups, kernels, lifecycle, normalize, outcomes, profiles, ranks, scores, seasonal, sequence, tables
 from tideline.plans import registry
 from tideline.sources import files, store
 
@@ -426,9 +426,9 @@ def quality_runs(spark, sf):
     return charts.quality_runs(norm(spark, sf), T0, T1, 48)
 
 
-@query(f"WITH {OBS}, {NORM}, {GOOD} SELECT series_id, count(*) AS n, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, arg_min(value, ts_ns) AS first FROM good GROUP BY 1")
+@query(f"WITH {OBS}, {NORM}, {GOOD} SELECT series_id, count(*) AS n, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, arg_min(value, ts_ns) AS first, min(ts_ns) AS first_ns FROM good GROUP BY 1")
 def window_stats(spark, sf):
-    return charts.window_stats(norm(spark, sf)).select("series_id", "n", "low", "high", r6("mean"), r6("sd"), "first")
+    return charts.window_stats(norm(spark, sf)).select("series_id", "n", "low", "high", r6("mean"), r6("sd"), "first", "first_ns")
 
 
 @query(f"WITH {OBS}, {NORM}, {GOOD}, s AS (SELECT series_id, min(value) AS lo, max(value) AS hi, avg(value) AS m, stddev_pop(value) AS sd, arg_min(value, ts_ns) AS f FROM good GROUP BY 1) SELECT series_id, ts_ns, round((value - lo) / nullif(hi - lo, 0), 6) AS range01, round((value - m) / nullif(sd, 0), 6) AS z, round(value * 100 / nullif(f, 0), 6) AS index100 FROM norm JOIN s USING (series_id)")
@@ -697,12 +697,12 @@ def union_window(spark, sf):
     return scores.union_window(_findings(spark, sf))
 
 
-@query("WITH k AS (SELECT p_partkey AS series_id, p_brand AS unit, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS name FROM part), n AS (SELECT p_partkey + 7 AS series_id, CASE WHEN p_partkey % 2 = 0 THEN p_name END AS name FROM part) SELECT coalesce(k.series_id, n.series_id) AS series_id, unit, coalesce(n.name, k.name) AS name FROM k FULL JOIN n ON k.series_id = n.series_id")
+@query("WITH k AS (SELECT p_partkey AS series_id, p_brand AS unit, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS name FROM part), n AS (SELECT p_partkey + 7 AS series_id, CASE WHEN p_partkey % 2 = 0 THEN p_name END AS name FROM part) SELECT coalesce(k.series_id, n.series_id) AS series_id, unit, coalesce(k.name, n.name) AS name FROM k FULL JOIN n ON k.series_id = n.series_id")
 def merge_metadata(spark, sf):
     p = read(spark, sf, "part")
     known = p.select(F.col("p_partkey").alias("series_id"), F.col("p_brand").alias("unit"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).alias("name"))
     new = p.select((F.col("p_partkey") + 7).alias("series_id"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).alias("name"))
-    return lifecycle.merge_metadata(known, new)
+    return lifecycle.merge_metadata(known, new).drop("changed")
 
 
 #: Rows that a baseline may be fitted on: a few days of any event series at each scale.
@@ -742,3 +742,40 @@ def baseline_versions(spark, sf):
     other = F.col("series_id") == fitted.where("status = 'fitted'").agg(F.min("series_id")).first()[0]
     changed = first.withColumn("n_samples", F.col("n_samples") + 1).withColumn("profile", F.col("profile").withField("median", F.when(other, F.lit(-1.0)).otherwise(F.col("profile.median"))))
     return baselines.store(changed, fitted, T1 + DAY)[1].where("version is not null")
+
+
+@query(f"""WITH f AS (SELECT 'src' || (o_custkey % 97) AS source_id, o_orderkey AS fetch_id, epoch_us(o_orderdate) * 1000 AS at_ns, CASE WHEN o_orderkey % 5 < 3 THEN 'failed' ELSE 'succeeded' END AS status, o_orderpriority AS error, o_orderkey % 1000 AS rows FROM orders),
+ s AS (SELECT source_id, max((at_ns, fetch_id)) FILTER (status = 'succeeded') AS good FROM f GROUP BY 1), c AS (SELECT f.source_id, count(*) FILTER (status <> 'succeeded' AND (good IS NULL OR (at_ns, fetch_id) > good)) AS consecutive_failures FROM f JOIN s USING (source_id) GROUP BY 1),
+ l AS (SELECT source_id, max(at_ns) FILTER (status = 'succeeded') AS last_success_ns, arg_max(error, (at_ns, fetch_id)) FILTER (status <> 'succeeded') AS last_error, max(at_ns) FILTER (status <> 'succeeded') AS last_error_ns, arg_max(fetch_id, (at_ns, fetch_id)) AS last_fetch_id, arg_max(status, (at_ns, fetch_id)) AS last_fetch_status, arg_max(rows, (at_ns, fetch_id)) AS last_rows FROM f GROUP BY 1)
+ SELECT l.*, consecutive_failures, CASE WHEN consecutive_failures = 0 THEN 'ok' WHEN consecutive_failures < {outcomes.FAILING_AFTER} THEN 'degraded' ELSE 'failing' END AS status FROM l JOIN c USING (source_id)""")
+def source_health(spark, sf):
+    utc(spark)
+    key = F.col("o_orderkey")
+    fetches = read(spark, sf, "orders").select(F.concat(F.lit("src"), (F.col("o_custkey") % 97).cast("string")).alias("source_id"), key.alias("fetch_id"), _ns("o_orderdate").alias("at_ns"), F.when(key % 5 < 3, "failed").otherwise("succeeded").alias("status"), F.col("o_orderpriority").alias("error"), F.lit("poll").alias("trigger"), (key % 1000).alias("rows"))
+    return outcomes.next_health(fetches)
+
+
+@query(f"""WITH {FINDINGS}, lb AS (SELECT DISTINCT 's' || (o_custkey % 40) AS series_id, epoch_us(o_orderdate) * 1000 AS ws, epoch_us(o_orderdate) * 1000 + {DAY} AS we FROM orders), m AS (SELECT check_id, id, fin.series_id, ws, we FROM fin JOIN lb ON lb.series_id = fin.series_id AND start_ns <= we AND end_ns >= ws),
+ h AS (SELECT check_id, count(DISTINCT (series_id, ws)) AS hit FROM m GROUP BY 1), i AS (SELECT check_id, count(*) AS inside FROM fin WHERE EXISTS (SELECT 1 FROM lb WHERE lb.series_id = fin.series_id AND start_ns <= we AND end_ns >= ws) GROUP BY 1), n AS (SELECT check_id, count(*) AS findings FROM fin GROUP BY 1), t AS (SELECT count(*) AS windows FROM lb)
+ SELECT check_id, windows, coalesce(hit, 0) AS hit, findings, findings - coalesce(inside, 0) AS outside, coalesce(hit, 0) / windows AS recall, (findings - coalesce(inside, 0)) / findings AS false_share FROM n LEFT JOIN h USING (check_id) LEFT JOIN i USING (check_id), t""")
+def label_hits(spark, sf):
+    found = _findings(spark, sf)
+    start = _ns("o_orderdate")
+    labels = read(spark, sf, "orders").select(F.concat(F.lit("s"), (F.col("o_custkey") % 40).cast("string")).alias("series_id"), start.alias("start_ns"), (start + DAY).alias("end_ns"))
+    return outcomes.label_hits(labels, found, 10 * DAY)
+
+
+@query(f"WITH {FINDINGS}, g AS (SELECT series_id, check_id, max(list_position(['low', 'medium', 'high', 'critical'], severity)) AS worst, count(*) AS n, min(start_ns) AS start_ns, max(end_ns) AS end_ns FROM fin GROUP BY 1, 2) SELECT series_id, check_id, ['low', 'medium', 'high', 'critical'][worst] AS severity, n, start_ns, end_ns, row_number() OVER (ORDER BY worst DESC, n DESC, series_id, check_id) - 1 AS lane FROM g")
+def finding_lanes(spark, sf):
+    return outcomes.lanes(_findings(spark, sf))
+
+
+@query("SELECT n_nationkey AS source_id, n_name AS name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS n_series FROM nation")
+def source_counts(spark, sf):
+    return outcomes.source_counts(read(spark, sf, "nation").select(F.col("n_nationkey").alias("source_id"), F.col("n_name").alias("name")), read(spark, sf, "customer").select(F.col("c_nationkey").alias("source_id")))
+
+
+@query(f"WITH c AS (SELECT user_id AS key, epoch_us(ts) * 1000 // {HOUR} * {HOUR} AS window_ns, count(*) AS n FROM events GROUP BY 1, 2) SELECT key, window_ns, n, greatest(0, n - 1) AS limited FROM c")
+def rate_counts(spark, sf):
+    utc(spark)
+    return outcomes.rate_counts(read(spark, sf, "events").select(F.col("user_id").alias("key"), _ns("ts").alias("at_ns")), HOUR, 1)

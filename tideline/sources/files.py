@@ -24,7 +24,9 @@ def text_time(c: Column, zone: str = "UTC") -> Column:
     micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), there)
     sign = F.when(offset.startswith("-"), -1).otherwise(1)
     minutes = F.when(F.length(offset) > 1, sign * (F.substring(offset, 2, 2).cast("int") * 60 + F.right(offset, F.lit(2)).cast("int"))).otherwise(0)
-    return (micros - minutes.cast("long") * 60_000_000) * 1000
+    finer = F.regexp_extract(F.regexp_replace(text, _OFFSET, ""), r"\.[0-9]{6}([0-9]{1,3})[0-9]*$", 1)
+    nanos = F.when(finer == "", 0).otherwise(F.rpad(finer, 3, "0").cast("int"))
+    return (micros - minutes.cast("long") * 60_000_000) * 1000 + nanos
 
 
 class BadColumn(ValueError):
@@ -77,12 +79,12 @@ def time_column(rows: DataFrame, column: str, zone: str = "UTC") -> DataFrame:
 
 
 def epoch_column(df: DataFrame, column: str = "ts") -> DataFrame:
-    """Adds ``ts_ns`` from epoch integers, whose one unit the lower median of their magnitudes tells."""
+    """Adds ``ts_ns`` from epoch integers, whose one unit the lower median of their magnitudes tells; null where the integer is."""
     from tideline.operators.ranks import nearest_rank
 
     size = df.where(F.col(column).isNotNull()).select(F.lit(0).alias("g"), F.abs(column).alias("m"))
     mid = nearest_rank(size, [0.5], "m", ["g"], half=0.0).select(epoch_unit(F.col("v")).alias("_unit"))
-    return df.crossJoin(F.broadcast(mid.limit(1))).withColumn("ts_ns", F.try_multiply(F.col(column).cast("long"), F.col("_unit"))).drop("_unit")
+    return df.join(F.broadcast(mid.limit(1)), F.lit(True), "left").withColumn("ts_ns", F.try_multiply(F.col(column).cast("long"), F.col("_unit"))).drop("_unit")
 
 
 def read_long(spark: SparkSession, path: str, ts: str = "ts", series: str = "series", value: str = "value", quality: str | None = "quality", ingest: str | None = None, sep: str = ",", zone: str = "UTC", strict: bool = False) -> DataFrame:

@@ -34,11 +34,14 @@ def _write_time(spark: SparkSession, checkpoint: str, number: int) -> int:
     """The time in nanoseconds kept for a batch; the first to ask for it sets it. One small file a batch."""
     at = f"{checkpoint.rstrip('/')}/write-times/{number}"
     try:
-        return int(spark.read.text(at).first()[0])
+        kept = spark.read.text(at).head(1)
     except AnalysisException:
-        now = time.time_ns()
-        spark.createDataFrame([(str(now),)], "value string").coalesce(1).write.text(at)
-        return now
+        kept = []
+    if kept:
+        return int(kept[0][0])
+    now = time.time_ns()  # none yet, or a write that was broken off
+    spark.createDataFrame([(str(now),)], "value string").coalesce(1).write.mode("overwrite").text(at)
+    return now
 
 
 def settled(rows: DataFrame, now: int, settle: int = 300 * SEC) -> DataFrame:
@@ -46,19 +49,6 @@ def settled(rows: DataFrame, now: int, settle: int = 300 * SEC) -> DataFrame:
     return rows.where(F.col("ts_ns") < now - settle)
 
 
-def merge_findings(incoming: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Folds each batch of findings into the table of known ones at ``path``: every batch writes a new version of the
-    table, ``path/<batch>``, from the last one before it, so a batch that runs again gives the same table."""
-    from tideline.operators import lifecycle
-
-    def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        known = spark.read.schema(lifecycle.STATE).parquet(f"{path}/{number - 1}") if number else spark.createDataFrame([], lifecycle.STATE)
-        lifecycle.merge_run(known, batch).write.mode("overwrite").parquet(f"{path}/{number}")
-
-    return incoming.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def bin_counts(rows: DataFrame, late: str = "5 minutes", width: str = "1 hour") -> DataFrame:
     """Good values by window of event time (``ts`` timestamp); rows later than ``late`` are dropped."""
     good = F.count_if(usable(F.col("quality")) & finite(F.col("value")))
