@@ -18,17 +18,19 @@ from tideline.llm.near_dedup import near_duplicates
 from tideline.llm.quality_rules import keep_good
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a column that numbers its rows, kept in a table so that a row's number never changes, and its name.
-    Decisions are applied by it, since ids may be missing or repeated."""
-    name = "_row"
+def _told(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that tells the texts of one id apart, and its name. Decisions depend on a row's text alone, so they are
+    applied by id and this column: ids may be missing or repeated, and no copy of the texts is needed."""
+    name = "_text"
     while name in docs.columns:
         name += "_"
-    return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    return docs.withColumn(name, F.xxhash64("text")), name
 
 
-def _without(docs: DataFrame, gone: DataFrame, row: str) -> DataFrame:
-    return docs.join(small_or_shuffled(written(gone, "gone")), row, "left_anti").drop(row)
+def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """Rows of ``docs`` but those of ``gone (doc_id, <name>)``."""
+    which = small_or_shuffled(written(gone.distinct(), "gone")).withColumnsRenamed({"doc_id": "_gone_id", name: "_gone_text"})
+    return docs.join(which, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & F.col(name).eqNullSafe(F.col("_gone_text")), "left_anti").drop(name)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,16 +49,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicate texts the rows with the smallest id stay; others of the group go, and those without an
     id if any has one. A row is judged by its own text, whatever other rows share its id. Texts without words stay."""
-    rows, row = _numbered(docs)
-    found = near_duplicates(rows, carry=(row,))
-    return _without(rows, found.where("not kept").select(row), row)
+    rows, name = _told(docs)
+    found = near_duplicates(rows, carry=(name,))
+    return _without(rows, found.where("not kept").select("doc_id", name), name)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text has passages of the benchmark go, whatever their id; null and empty texts stay."""
-    rows, row = _numbered(docs)
-    found = contamination(rows.select(F.col(row).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(rows, found.where("contaminated").select(F.col("doc_id").alias(row)), row)
+    rows, name = _told(docs)
+    both = F.struct("doc_id", name)
+    found = contamination(rows.select(both.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(rows, found.where("contaminated").select("doc_id.*"), name)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm import _text
-from tideline.llm._store import written
+from tideline.llm._store import discard, written
 
 #: Bytes of benchmark text sent to the executors at once (about three times as much in memory); a larger
 #: benchmark is searched for in blocks.
@@ -230,4 +230,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, percen
         every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
         found = found.groupBy("shard", "row", "doc_id").agg(F.max("n_words").alias("n_words"), *[every(c) for c in ("hit_words", "items", "near_items")])
     n_hit = F.size("hit_words").cast("long")
-    return found.select("doc_id", "n_words", "hit_words", "items", "near_items", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), ((n_hit > 0) & (n_hit * 100 >= percent * F.col("n_words"))).alias("contaminated"))
+    told = found.select("doc_id", "n_words", "hit_words", "items", "near_items", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), ((n_hit > 0) & (n_hit * 100 >= percent * F.col("n_words"))).alias("contaminated"))
+    result = written(told, "contamination")
+    discard(index)
+    return result

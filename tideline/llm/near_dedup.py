@@ -242,4 +242,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, k: int =
     roots = placed.join(least, "component").select("set_a", "set_b", "n_shingles", "class_id", "component_id")
     placed = some.select("doc_id", *carry, "n_shingles", "set_a", "set_b").join(roots, ["set_a", "set_b", "n_shingles"]).select("doc_id", *carry, "n_shingles", "class_id", "component_id")
     alone = found.where("n_shingles = 0").select("doc_id", *carry, "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
-    return placed.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    result = written(placed.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near-duplicates")
+    discard(found, classes, parts)
+    return result
