@@ -290,5 +290,6 @@ def align(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     told = written(units.where("chunk is not null").select("w", "chunk", "idx").join(figures, "w").select("chunk", "idx", "groups", *_FIGURES), "told")
     discard(units, met, counts)
     rows = told.unionByName(coded.where("words is null").select("chunk", "doc_id", "units"), allowMissingColumns=True)
-    ready = rows.repartition("chunk").sortWithinPartitions("chunk", F.col("groups").isNull())
+    in_turn = rows.withColumn("turn", 2 * F.col("chunk") + F.col("groups").isNull().cast("int"))  # one number, which Spark sorts by its digits
+    ready = in_turn.repartition("chunk").sortWithinPartitions("turn")
     return ready.mapInArrow(_summed(kind), f"doc_id {id_type}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
