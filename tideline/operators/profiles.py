@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.meaning import finite
-from tideline.functions.times import SEC, plus
+from tideline.functions.times import HOUR, SEC, plus
+from tideline.operators import seasonal
 from tideline.operators.checks import SIGMA, constant_fraction, resolution
 from tideline.operators.kernels import modal
 from tideline.operators.ranks import counted, rank_counted
@@ -79,3 +80,15 @@ def basis(prof: DataFrame, given: DataFrame | None = None) -> DataFrame:
         return own.select("series_id", F.lit("self").alias("baseline"), "own.*")
     both = own.join(given.select("series_id", F.struct(*BASIS).alias("given")), "series_id", "left")
     return both.select("series_id", F.when(F.col("given").isNull(), "self").otherwise("baseline").alias("baseline"), F.coalesce("given", "own").alias("x")).select("series_id", "baseline", "x.*")
+
+
+def with_period(prof: DataFrame, near: DataFrame, step: int = HOUR) -> DataFrame:
+    """Profiles with ``dominant_period_ns`` and ``seasonal_strength``, null for series without a period: found in means of bins of ``step``, or of
+    their interval for series of a longer one (a pass for each of these intervals)."""
+    wide = prof.select("series_id", F.greatest(F.lit(step), F.col("interval")).alias("_step"))
+    found = None
+    for (own,) in wide.select("_step").distinct().orderBy("_step").collect():  # one for each interval over ``step``
+        spine = written(seasonal.regularise(near.join(wide.where(F.col("_step") == own).select("series_id"), "series_id"), own), "spine")
+        part = seasonal.dominant(spine, own)
+        found = part if found is None else found.unionByName(part)
+    return prof.withColumn("dominant_period_ns", F.lit(None).cast("long")).withColumn("seasonal_strength", F.lit(None).cast("double")) if found is None else prof.join(found, "series_id", "left")

@@ -11,10 +11,15 @@ from tideline.functions.meaning import finite
 from tideline.functions.times import DAY
 from tideline.operators.normalize import align
 from tideline.operators.sequence import neighbour, running, runs
+from tideline.operators.tables import written
 
 #: Bins that a series may have at one step; longer ones need a wider step.
 MOST_BINS = 500_000
+#: Bins of a series in one chunk of its running sums.
+BINS = 20_000
+#: Bins of a period, periods of a series and autocorrelation at least.
 LEAST_STEPS, LEAST_PERIODS, LEAST_ACF = 4, 3, 0.3
+#: The periods that are tried.
 CANDIDATES = (DAY, 7 * DAY, 365 * DAY)
 
 
@@ -29,18 +34,18 @@ def regularise(obs: DataFrame, step: int) -> DataFrame:
 
 def detrend(spine: DataFrame, period: int) -> DataFrame:
     """Adds ``d``: the value less the centred moving average over ``period`` bins (half weights at the
-    ends if it is even), null where that average has less than half its weight or leaves the series."""
+    ends if it is even), null where that average has less than half its weight or leaves the series.
+
+    The average is the difference of two running sums, which are worked out in chunks of a series and meet by bin number, so
+    neither a series nor a period is one task's."""
     h = period // 2
-    w = Window.partitionBy("series_id").orderBy("i")
-    whole, inner = w.rowsBetween(-h, h), w.rowsBetween(-h + 1, h - 1)
     has = F.col("v").isNotNull().cast("double")
-    if period % 2:
-        total, weight = F.sum("v").over(whole), F.sum(has).over(whole)
-    else:
-        total = (F.coalesce(F.sum("v").over(whole), F.lit(0.0)) + F.coalesce(F.sum("v").over(inner), F.lit(0.0))) / 2
-        weight = (F.sum(has).over(whole) + F.sum(has).over(inner)) / 2
-    full = F.count("*").over(whole) == 2 * h + 1
-    return spine.withColumn("d", F.when(full & (weight >= period / 2), F.col("v") - total / weight))
+    sums = running(running(spine.withColumn("_x", F.coalesce("v", F.lit(0.0))).withColumn("_h", has), "_s", F.col("_x"), order="i", chunk=BINS), "_c", F.col("_h"), order="i", chunk=BINS)
+    end = lambda name, by: sums.select("series_id", (F.col("i") + by).alias("i"), *[F.col(c).alias(f"{name}{c}") for c in ("_s", "_c", "_x", "_h")])
+    both = end("to", -h).join(end("from", h), ["series_id", "i"])
+    within = lambda c, x: F.col(f"to{c}") - F.col(f"from{c}") + F.col(f"from{x}") - (0 if period % 2 else (F.col(f"to{x}") + F.col(f"from{x}")) / 2)
+    trend = both.select("series_id", "i", within("_s", "_x").alias("_total"), within("_c", "_h").alias("_weight")).where(F.col("_weight") >= period / 2)
+    return spine.join(trend, ["series_id", "i"], "left").withColumn("d", F.col("v") - F.col("_total") / F.col("_weight")).drop("_total", "_weight")
 
 
 def acf(spine: DataFrame, lag: int, value: str = "d") -> DataFrame:
@@ -54,8 +59,13 @@ def acf(spine: DataFrame, lag: int, value: str = "d") -> DataFrame:
 def strength(spine: DataFrame, period: int) -> DataFrame:
     """``(series_id, strength)``: 1 less the share of the detrended variance that the phase means leave,
     from 0 to 1. Phases are counted from each series' first bin."""
-    first = spine.groupBy("series_id").agg(F.min("i").alias("_lo"))
-    d = detrend(spine, period).join(first, "series_id").where("d is not null").withColumn("phase", (F.col("i") - F.col("_lo")) % period)
+    return strength_left(detrend(spine, period), period)
+
+
+def strength_left(flat: DataFrame, period: int) -> DataFrame:
+    """`strength` of what `detrend` gave."""
+    first = flat.groupBy("series_id").agg(F.min("i").alias("_lo"))
+    d = flat.join(first, "series_id").where("d is not null").withColumn("phase", (F.col("i") - F.col("_lo")) % period)
     phases = d.groupBy("series_id", "phase").agg(F.avg("d").alias("s"))
     known = phases.groupBy("series_id").agg(F.count("*").alias("p"), F.avg("s").alias("centre")).where(F.col("p") == period)
     left = d.join(phases, ["series_id", "phase"]).join(known, "series_id").withColumn("r", F.col("d") - F.col("s") + F.col("centre"))
@@ -63,6 +73,28 @@ def strength(spine: DataFrame, period: int) -> DataFrame:
     return left.groupBy("series_id").agg(F.when(F.count("*") >= 2 * period, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.coalesce(share, F.lit(1.0))))).alias("strength"))
 
 
+def dominant(spine: DataFrame, step: int, candidates: tuple[int, ...] = CANDIDATES) -> DataFrame:
+    """``(series_id, dominant_period_ns, seasonal_strength)`` of series that have a period: the shortest of ``candidates`` with at least
+    ``LEAST_STEPS`` bins, of which the series holds ``LEAST_PERIODS``, whose detrended autocorrelation is ``LEAST_ACF`` or more.
+
+    Autocorrelations and phase means are sums that merge over the bins of a series in any order; ``spine`` (as of
+    `regularise`, best a table) is read twice for each candidate."""
+    n = spine.groupBy("series_id").agg(F.count("*").alias("_n"))
+    found = None
+    for c in sorted(c for c in candidates if c > 0):
+        period = int(c / step + 0.5)
+        if period < LEAST_STEPS:
+            continue
+        long = n.where(F.col("_n") >= LEAST_PERIODS * period).select("series_id")
+        flat = written(detrend(spine.join(long, "series_id"), period), "flat")
+        held = acf(flat, period).where(F.col("acf") >= LEAST_ACF).select("series_id")
+        own = strength_left(flat, period).where("strength is not null").join(held, "series_id").select("series_id", F.lit(c).cast("long").alias("c"), "strength")
+        found = own if found is None else found.unionByName(own)
+    if found is None:
+        return spine.sparkSession.createDataFrame([], "series_id string, dominant_period_ns long, seasonal_strength double")
+    return found.groupBy("series_id").agg(F.min("c").alias("dominant_period_ns"), F.min_by("strength", "c").alias("seasonal_strength"))
+
+
 def _flat(v: np.ndarray, period: int) -> np.ndarray:
     """``detrend`` for one array."""
     kernel = np.ones(period + 1 - period % 2)

@@ -779,3 +779,19 @@ def source_counts(spark, sf):
 def rate_counts(spark, sf):
     utc(spark)
     return outcomes.rate_counts(read(spark, sf, "events").select(F.col("user_id").alias("key"), _ns("ts").alias("at_ns")), HOUR, 1)
+
+
+#: The event series with a daily cycle laid over them.
+DAILY = f"daily AS (SELECT * REPLACE (value + 200 * sin(2 * pi() * (ts_ns % {DAY}) / {DAY}) AS value) FROM obs)"
+
+
+@query(f"""WITH {TREND.replace(OBS, OBS + ', ' + DAILY).replace('FROM obs', 'FROM daily').replace("AS value) FROM daily)", "AS value) FROM obs)")}, c AS (SELECT x.series_id, corr(x.d, y.d) AS acf FROM dt x JOIN dt y ON x.series_id = y.series_id AND y.i = x.i + 24 WHERE x.d IS NOT NULL AND y.d IS NOT NULL GROUP BY 1),
+ lo AS (SELECT series_id, min(i) AS lo FROM reg GROUP BY 1), p AS (SELECT dt.series_id, d, (i - lo) % 24 AS ph FROM dt JOIN lo USING (series_id) WHERE d IS NOT NULL), m AS (SELECT series_id, ph, avg(d) AS s FROM p GROUP BY 1, 2), k AS (SELECT series_id, avg(s) AS c FROM m GROUP BY 1 HAVING count(*) = 24),
+ st AS (SELECT p.series_id, greatest(0.0, least(1.0, 1 - var_pop(d - s + k.c) / var_pop(d))) AS strength FROM p JOIN m ON p.series_id = m.series_id AND p.ph = m.ph JOIN k ON k.series_id = p.series_id GROUP BY 1 HAVING count(*) >= 48)
+ SELECT series_id, {DAY} AS dominant_period_ns, round(strength, 6) AS seasonal_strength FROM st JOIN c USING (series_id) WHERE acf >= 0.3""")
+def dominant_period(spark, sf):
+    """The daily period of all series and how strong it is."""
+    import math
+
+    daily = obs(spark, sf).withColumn("value", F.col("value") + 200 * F.sin(2 * math.pi * (F.col("ts_ns") % DAY) / DAY))
+    return seasonal.dominant(tables.written(seasonal.regularise(daily, HOUR), "spine"), HOUR).select("series_id", "dominant_period_ns", r6("seasonal_strength"))
