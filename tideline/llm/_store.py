@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from weakref import WeakKeyDictionary
@@ -39,17 +40,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables that `written` returned and nothing needs any more, and lets Spark delete the shuffles of
-    finished queries, which it keeps until the driver collects its garbage."""
+    """Deletes tables that `written` returned and nothing needs any more, and what `free` does."""
     for table in tables:
         path = _PATHS.pop(table, None)
         if path:
             at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
     if tables:
-        tables[0].sparkSession._jvm.System.gc()
+        free(tables[0].sparkSession)
 
 
-def small_or_shuffled(df: DataFrame) -> DataFrame:
-    """``df``, marked for a broadcast join only if it has at most ``BROADCAST_ROWS`` rows now."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def free(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffles of finished queries, which it keeps until the driver collects its garbage."""
+    gc.collect()  # what Python still holds of them
+    spark._jvm.System.gc()
+
+
+def small_or_shuffled(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, marked for a broadcast join only if it has at most ``most`` rows now."""
+    return F.broadcast(df) if df.count() <= most else df

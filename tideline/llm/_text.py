@@ -112,9 +112,20 @@ def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -
     """A 64-bit hash of each span of bytes."""
     if not len(start):
         return np.zeros(0, _U)
+    return spans_of(span_sums(data), start, end, salt)
+
+
+def span_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What `spans_of` needs of the bytes, for hashes of several lists of spans."""
     up, down = Powers.of(len(data) + 1)
     total = np.zeros(len(data) + 1, _U)
     np.cumsum((data.astype(_U) + _U(1)) * up[:-1], out=total[1:])
+    return total, down
+
+
+def spans_of(sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """The hashes of `spans`, from its sums."""
+    total, down = sums
     return mix((total[end] - total[start]) * down[start] + _U(salt & (2**64 - 1)) + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
