@@ -65,8 +65,9 @@ def catalogue() -> list[dict[str, Any]]:
     return [{"id": c.id, "dimension": c.dimension, "severity": c.severity, "groups": c.groups, "params": c.params()} for c in REGISTRY.values()]
 
 
-def run_checks(obs: DataFrame, configs: list[Config] | None = None, meta: DataFrame | None = None, groups: DataFrame | None = None, now: int | None = None, profiles: DataFrame | None = None) -> Result:
-    """``(findings, metrics, skipped, scores)`` of all series of ``obs``, each one table that is written once. ``meta`` (as of
+def run_checks(obs: DataFrame, configs: list[Config] | None = None, meta: DataFrame | None = None, groups: DataFrame | None = None, now: int | None = None, profiles: DataFrame | None = None, write: tuple[str, ...] = ("findings", "metrics")) -> Result:
+    """``(findings, metrics, skipped, scores)`` of all series of ``obs``. Those named in ``write`` are worked out here, as one table
+    each; the others when they are read (scores read findings three times, so these are best written for them). ``meta`` (as of
     ``profiles.META``) tells what is known of series, ``groups`` (as of ``group_rules.GROUPS``) which belong together,
     ``now`` the time that series are stale by (staleness is not judged without). ``profiles`` (as of
     ``baselines.profiles_of``) gives baselines; a series that has one is held against it, others against themselves, and
@@ -99,7 +100,8 @@ def run_checks(obs: DataFrame, configs: list[Config] | None = None, meta: DataFr
             metrics = metrics.unionByName(tag(out.metrics).select(*metrics.columns))
         if out.skipped is not None:
             skipped = skipped.unionByName(tag(out.skipped).select(*skipped.columns))
-    found, metrics = written(found, "findings"), written(metrics, "metrics")
+    found = written(found, "findings") if "findings" in write else found
+    metrics = written(metrics, "metrics") if "metrics" in write else metrics
     window = prof.select("series_id", "w_start", "w_end")
     return Result(found, metrics, skipped, scores.score(found, window))
 
