@@ -12,11 +12,12 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ from tideline.llm._text import chunks, lists
 CHUNK = 24_000_000
 #: Units encoded at once.
 AT_ONCE = 20_000
+#: Rows of units that are packed at once.
+PACKED = 200_000
 #: Id pairs that may be broadcast, three numbers each; more go through a shuffle join, to the same result.
 PAIRS = 1_000_000
 
@@ -227,8 +230,40 @@ def pair_counts(links: DataFrame) -> DataFrame:
 _FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
+def _packed() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of figures of units to one row (chunk, idx, figures, groups) for many units of a chunk: numbers as bytes, texts as
+    lines of one. What is dealt and sorted by chunk are these few rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+
+        def packed() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(waiting).combine_chunks()
+            of = rows.column("chunk").to_numpy()
+            order = np.argsort(of, kind="stable")
+            of = of[order]
+            bounds = np.concatenate([np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])), [len(of)]])
+            idx = rows.column("idx").to_numpy().astype(np.int32)[order]
+            figures = np.stack([rows.column(c).to_numpy() for c in _FIGURES]).astype(np.int64)[:, order]
+            spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+            texts = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), rows.column("groups").take(pa.array(order)).combine_chunks())
+            told = [pa.array(of[bounds[:-1]]), pa.array([idx[x:y].tobytes() for x, y in spans]), pa.array([figures[:, x:y].tobytes() for x, y in spans]), pc.binary_join(texts, "\n")]
+            return pa.RecordBatch.from_arrays(told, ["chunk", "idx", "figures", "groups"])
+
+        for batch in batches:
+            waiting.append(batch)
+            size += batch.num_rows
+            if size >= PACKED:
+                yield packed()
+                waiting, size = [], 0
+        if size:
+            yield packed()
+
+    return run
+
+
 def _summed(kind: pa.DataType):
-    """Rows of figures of a chunk's units, then its documents, to the figures of documents."""
+    """Packed rows of a chunk's units, then its documents, to the figures of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, figures, told, parts = None, np.zeros((len(_FIGURES), 0), np.int64), [], []
@@ -239,7 +274,7 @@ def _summed(kind: pa.DataType):
                 at = np.concatenate([p[0] for p in parts])
                 order = np.argsort(at)
                 figures = np.concatenate([p[1] for p in parts], axis=1)[:, order]
-                every = list(chain.from_iterable(p[2] for p in parts))
+                every = list(chain.from_iterable(p[2].split("\n") for p in parts))
                 told, parts = [every[i] for i in order.tolist()], []
 
         for whole in batches:
@@ -251,7 +286,8 @@ def _summed(kind: pa.DataType):
                 if of[start] != chunk:
                     chunk, figures, told, parts = of[start], np.zeros((len(_FIGURES), 0), np.int64), [], []
                 if not doc[start]:
-                    parts.append((batch.column("idx").to_numpy(), np.stack([batch.column(c).to_numpy() for c in _FIGURES]), batch.column("groups").to_pylist()))
+                    for idx, numbers, groups in zip(*(batch.column(c).to_pylist() for c in ("idx", "figures", "groups")), strict=True):
+                        parts.append((np.frombuffer(idx, np.int32), np.frombuffer(numbers, np.int64).reshape(len(_FIGURES), -1), groups))
                     continue
                 ready()
                 lists_ = batch.column("units")
@@ -287,7 +323,7 @@ def align(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     small = F.broadcast(counts) if counts.count() <= PAIRS else counts
     sums = links.join(small, "link").groupBy("w").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
     figures = met.select("w", "n_a", "n_b", "n_groups", F.size("links").cast("long").alias("n_links"), "groups").join(sums, "w")
-    told = written(units.where("chunk is not null").select("w", "chunk", "idx").join(figures, "w").select("chunk", "idx", "groups", *_FIGURES), "told")
+    told = written(units.where("chunk is not null").select("w", "chunk", "idx").join(figures, "w").select("chunk", "idx", "groups", *_FIGURES).mapInArrow(_packed(), "chunk long, idx binary, figures binary, groups string"), "told")
     discard(units, met, counts)
     rows = told.unionByName(coded.where("words is null").select("chunk", "doc_id", "units"), allowMissingColumns=True)
     ready = rows.repartition("chunk").sortWithinPartitions("chunk", F.col("groups").isNull())
