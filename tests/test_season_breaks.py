@@ -44,6 +44,11 @@ def test_metrics_of_any_number_of_intervals(run):
     assert sorted((r.series_id, r.name, r.ts_ns) for r in run.metrics.collect()) == sorted((f"m{m}", "seasonal_strength", START + 42 * DAY) for m in MINUTES)
 
 
+def test_scores_of_any_number_of_intervals(run):
+    """A series that was skipped kept its full score."""
+    assert run.scores.where("plausibility < 100").count() == len(MINUTES)
+
+
 def test_times_far_apart(spark):
     """A time 80 years before the others is 700,000 hours away; before, the series was skipped."""
     rows = [("far", k, START + k * HOUR, v) for k, v in enumerate(rhythm(HOUR, 1))]
